@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernel.llm.bpe import bpe_encode
+from quernel.llm.media import media_columns
 
 #: Place of the public vocabularies on this machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe}
+    return {"op1_media": op1_media, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
