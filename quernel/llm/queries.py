@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernel.llm.bpe import bpe_encode
+from quernel.llm.langid import identify_language
+from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.media import media_columns
 
 #: Place of the public vocabularies on this machine; a parameter of the operators.
@@ -26,9 +29,30 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeated AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rid) >= 10),
+marked AS (SELECT rid, line, pos, keyed.k IN (SELECT k FROM repeated) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked JOIN docs USING (rid) GROUP BY rid, doc_id
+"""
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op6_bpe": op6_bpe}
+    return {"op1_media": op1_media, "op6_bpe": op6_bpe, "op8_lines": op8_lines, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_lines": OP8_SQL}
