@@ -11,6 +11,7 @@ from quernel.llm.bpe import bpe_encode
 from quernel.llm.langid import identify_language
 from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.media import media_columns
+from quernel.llm.mixing import copies
 
 #: Place of the public vocabularies on this machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -46,12 +47,17 @@ FROM marked JOIN docs USING (rid) GROUP BY rid, doc_id
 """
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op6_bpe": op6_bpe, "op8_lines": op8_lines, "op10_langid": op10_langid}
+    return {"op1_media": op1_media, "op6_bpe": op6_bpe, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
