@@ -12,6 +12,8 @@ from quernel.llm.langid import identify_language
 from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.media import media_columns
 from quernel.llm.mixing import copies
+from quernel.llm.topk import top_k
+from quernel.llm.urls import Rule, judge
 
 #: Place of the public vocabularies on this machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +27,33 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP3_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+#: The rules of the standard query.
+RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES).drop("url")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
@@ -57,8 +86,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op6_bpe": op6_bpe, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+    return {
+        "op1_media": op1_media, "op3_topk": op3_topk, "op4_urls": op4_urls, "op6_bpe": op6_bpe, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": OP8_SQL}
+    return {"op3_topk": OP3_SQL, "op8_lines": OP8_SQL}
