@@ -12,6 +12,7 @@ from quernel.llm.langid import identify_language
 from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.media import media_columns
 from quernel.llm.mixing import copies
+from quernel.llm.pii import KINDS, count_kind, personal_data, spans_text
 from quernel.llm.topk import top_k
 from quernel.llm.urls import Rule, judge
 
@@ -59,6 +60,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -87,7 +94,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_media": op1_media, "op3_topk": op3_topk, "op4_urls": op4_urls, "op6_bpe": op6_bpe, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+        "op1_media": op1_media, "op3_topk": op3_topk, "op4_urls": op4_urls, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
