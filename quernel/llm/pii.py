@@ -42,7 +42,7 @@ HIDDEN_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[a-z
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Gazetteers and cue words: fixed values.
-TOP_LEVEL = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at)$"
+TOP_LEVEL = r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at)$"
 RESERVED_NETWORK = r"^(?:0|10|127|255|192\.168|169\.254)\."
 CUES = {
     "email": r"(?i)(?:mail|contact|write|reach|adres)",
@@ -242,7 +242,11 @@ class SpanClassifier:
 
 def train(found: DataFrame, threshold: float = 0.9) -> SpanClassifier:
     """Estimate the labelers' reliabilities on all candidates of ``found`` and fit the classifier."""
-    each = F.flatten(F.array(*[F.transform(f"__{k}", lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["votes"].alias("votes"), x["features"].alias("features"))) for k in KINDS]))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(f"__{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["votes"].alias("votes"), x["features"].alias("features")))
+
+    each = F.flatten(F.array(*map(tagged, KINDS)))
     spans = found.select(F.explode(each).alias("x")).select("x.kind", *[F.col(f"x.votes.{v}") for v in VOTES], *[F.col(f"x.features.{f}") for f in FEATURES])
     patterns = spans.groupBy(*spans.columns).count().collect()
     weights = {}
