@@ -122,7 +122,8 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = 10,
         runs.add(own.select(F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("key")).select("key.a", "key.b"))
 
     places = keyed.select("row", F.posexplode("lines").alias("pos", "key")).where(F.col("key").isNotNull()).select("row", "pos", "key.a", "key.b")
-    dropped = places.join(runs.repeated(), KEY).groupBy("row").agg(F.collect_set("pos").alias("dropped"))
+    repeated = staged(runs.repeated(), "line-repeated")
+    dropped = places.join(repeated, KEY).groupBy("row").agg(F.collect_set("pos").alias("dropped"))
     dropped = dropped.select(F.col("row.a").alias(f"{row}_a"), F.col("row.b").alias(f"{row}_b"), F.col("dropped").alias(f"{row}_dropped"))
 
     lines, gone = lines_of(body), F.col(f"{row}_dropped")
