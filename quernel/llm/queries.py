@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernel.llm.bpe import bpe_encode
 from quernel.llm.langid import identify_language
 from quernel.llm.linededup import drop_repeated_lines
+from quernel.llm.lmscore import cross_entropy_difference
 from quernel.llm.media import media_columns
 from quernel.llm.mixing import copies
 from quernel.llm.pii import KINDS, count_kind, personal_data, spans_text
@@ -55,6 +56,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES).drop("url")
 
 
+def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return cross_entropy_difference(docs, labels, (F.col("quality") == 1) & (F.col("toxic") == 0))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=False)
@@ -94,7 +100,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_media": op1_media, "op3_topk": op3_topk, "op4_urls": op4_urls, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+        "op1_media": op1_media, "op3_topk": op3_topk, "op4_urls": op4_urls, "op5_lmscore": op5_lmscore, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
