@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, hash128
 
 UNIT_BITS = 24
-SLOT_ROWS = 1024
+SLOT_ROWS = 256
 #: Rows of the class plan up to which it is broadcast (under 8 MB); a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
