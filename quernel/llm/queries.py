@@ -13,6 +13,7 @@ from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.lmscore import cross_entropy_difference
 from quernel.llm.media import media_columns
 from quernel.llm.mixing import copies
+from quernel.llm.neardup import near_duplicates
 from quernel.llm.pii import KINDS, count_kind, personal_data, spans_text
 from quernel.llm.topk import top_k
 from quernel.llm.urls import Rule, judge
@@ -29,6 +30,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -100,7 +105,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_media": op1_media, "op3_topk": op3_topk, "op4_urls": op4_urls, "op5_lmscore": op5_lmscore, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
+        "op1_media": op1_media, "op2_neardup": op2_neardup, "op3_topk": op3_topk, "op4_urls": op4_urls, "op5_lmscore": op5_lmscore, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
