@@ -69,7 +69,8 @@ class LineRuns:
         """Add a batch: one row (a, b) for each document and distinct key in it."""
         counts = keys.groupBy(*KEY).agg(F.count("*").alias("n"))
         if self.settled:
-            counts = counts.join(self._read(self.settled).hint("merge"), KEY, "left_anti")
+            # Staged, or the optimizer would move the join below the partial sums, to all rows of a common key.
+            counts = staged(counts, "line-counts").join(self._read(self.settled).hint("merge"), KEY, "left_anti")
         self.levels[0].append(self._write(counts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
