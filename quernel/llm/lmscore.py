@@ -166,7 +166,7 @@ def score_documents(docs: DataFrame, is_target: DataFrame, target: NgramModel, b
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names=["id", "n", "plain", "own", "background"])
 
     losses = body.mapInArrow(run, "id long, n long, plain double, own double, background double")
-    known = is_target.select(F.col(f"`{id_column}`").cast("long").alias("known")).dropDuplicates()
+    known = is_target.select(F.col(f"`{id_column}`").cast("long").alias("known")).dropDuplicates().hint("merge")
     both = losses.join(known, losses["id"] == known["known"], "left")
     inside = F.col("known").isNotNull()
     ce = F.when(inside, F.col("own")).otherwise(F.col("plain"))
@@ -182,7 +182,7 @@ def score_documents(docs: DataFrame, is_target: DataFrame, target: NgramModel, b
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, wanted: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Score all of ``docs`` by a target model of the rows that ``labels`` marks as ``wanted``."""
-    ids = labels.where(wanted).select(id_column)
+    ids = labels.where(wanted).select(id_column).hint("merge")  # grows with the documents: never broadcast
     target = NgramModel.of(docs.join(ids, id_column, "left_semi").select(text))
     background = NgramModel.of(docs.select(text))
     return score_documents(docs, ids, target, background, id_column, text)
