@@ -183,8 +183,8 @@ def _similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray],
 
 def verified(pairs: DataFrame, texts: DataFrame, multiset: bool, least: float) -> DataFrame:
     """The pairs (node, hub) whose whole texts have a similarity of at least ``least``."""
-    left = pairs.select("node", "hub").join(texts.select("node", "text"), "node")
-    both = left.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub").select("node", "text", "hub", "hub_text")
+    left = pairs.select("node", "hub").join(texts.select("node", "text").hint("merge"), "node")
+    both = left.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub").select("node", "text", "hub", "hub_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -276,7 +276,7 @@ def unsettled_links(pairs: DataFrame, comp: DataFrame, texts: DataFrame, multise
     member = around.join(groups, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    full = member.join(texts, "node").select("hub", "i", "j", "node", "comp", "open", "block", "text")
+    full = member.join(texts.hint("merge"), "node").select("hub", "i", "j", "node", "comp", "open", "block", "text")
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), hash128(body).alias("t"), body.cast("binary").alias("text"))
     source = source.select("id", F.col("t.a").alias("node"), "text")
-    known = wanted.select(F.col("id").alias("known"), F.col("node").alias("own"))
+    known = wanted.select(F.col("id").alias("known"), F.col("node").alias("own")).hint("merge")  # grows with the documents: never broadcast
     match = (source["node"] == known["own"]) & source["id"].eqNullSafe(known["known"])
     texts = staged(source.join(known, match, "left_semi").select("node", "text").dropDuplicates(["node"]), "neardup-texts")
 
@@ -339,5 +339,5 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     marked = docs.withColumn(key, F.struct(hash128(F.col(f"`{id_column}`").cast("long")).getField("a").alias("i"), hash128(body).alias("t")))
     marked = marked.withColumns({f"{key}_i": F.col(f"{key}.i"), f"{key}_a": F.col(f"{key}.t.a"), f"{key}_b": F.col(f"{key}.t.b")}).drop(key)
     keys = [f"{key}_i", f"{key}_a", f"{key}_b"]
-    winners = winners.toDF(*keys)
+    winners = winners.toDF(*keys).hint("merge")
     return marked.join(winners, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
