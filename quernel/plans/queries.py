@@ -197,7 +197,7 @@ LINES = """SELECT doc_id, CASE doc_id % 6
 
 
 @query(f"""
-SELECT doc_id AS line, CASE doc_id % 6 WHEN 0 THEN 1.5 WHEN 1 THEN 4.95 WHEN 3 THEN 2.0 END AS amount,
+SELECT doc_id AS line, (CASE doc_id % 6 WHEN 0 THEN 1.5 WHEN 1 THEN 4.95 WHEN 3 THEN 2.0 END)::DOUBLE AS amount,
     CASE doc_id % 6 WHEN 2 THEN 'schema error: amount' WHEN 3 THEN 'schema error: text' WHEN 4 THEN 'invalid JSON' WHEN 5 THEN 'schema error: amount' END AS error
 FROM ({LINES})
 """)
@@ -501,7 +501,7 @@ def bootstrap_demos(spark, sf_dir):
 
 
 @query(r"""
-SELECT o_orderkey AS example_id, 'Shop' || o_orderkey AS merchant, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey + 0.25 AS amount FROM orders
+SELECT o_orderkey AS example_id, 'Shop' || o_orderkey AS merchant, strftime(o_orderdate, '%Y-%m-%d') AS date, (o_orderkey + 0.25)::DOUBLE AS amount FROM orders
 """)
 def rule_extraction(spark, sf_dir):
     orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
