@@ -48,6 +48,8 @@ class LineRuns:
     """
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 3):
+        if fanout < 2:
+            raise ValueError("a level needs at least two runs")
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.folder = shared_path(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
