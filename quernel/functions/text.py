@@ -110,10 +110,17 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
 def casefold(c: Column) -> Column:
     """Full Unicode case folding: lower-casing, then what folding does beyond it."""
     one_from, one_to, grown = _fold_table()
-    low = F.translate(F.lower(c), one_from, one_to)
     table = F.create_map(*[F.lit(x) for pair in grown.items() for x in pair])
-    letters = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    return F.when(low.rlike("[" + "".join(grown) + "]"), F.array_join(letters, "")).otherwise(low)
+
+    def unfolded(low: Column) -> Column:
+        letters = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+        return F.when(low.rlike("[" + "".join(grown) + "]"), F.array_join(letters, "")).otherwise(low)
+
+    def fold(x: Column) -> Column:
+        ascii_only = F.octet_length(x) == F.char_length(x)
+        return F.when(ascii_only, F.lower(x)).otherwise(let(F.translate(F.lower(x), one_from, one_to), unfolded))
+
+    return let(c, fold)
 
 
 def norm(c: Column) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.core import let
 from quernel.functions.stats import coerce_score, confidence, polarity, sample_stdev, summary_columns
 from quernel.functions.text import DEFAULT_MAX_SEGMENTS, segments
 
@@ -70,32 +71,40 @@ def _stdev(values: Column, mean: Column) -> Column:
 
 def score_rows(docs: DataFrame, scorer: Callable[[Column, Column], Column], *, passes: int = DEFAULT_RESAMPLE, max_segments: int = DEFAULT_MAX_SEGMENTS, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., samples): each document's scores as an array of arrays, by a Column scorer."""
-    cut = docs.select(*keep, segments(F.col(text), max_segments).alias("segments")).where(F.size("segments") > 0)
     draws = F.sequence(F.lit(0), F.lit(max(1, passes) - 1))
-    return cut.select(*keep, F.transform("segments", lambda s: F.transform(draws, lambda i: scorer(s, i))).alias("samples"))
+    return docs.select(*keep, F.transform(segments(F.col(text), max_segments), lambda s: F.transform(draws, lambda i: scorer(s, i))).alias("samples"))
+
+
+def _row_stats(samples: Column) -> Column:
+    """The figures of one document's samples as a struct; every part is computed once."""
+
+    def of_segment(s: Column) -> Column:
+        return let(_mean(s), lambda m: F.struct(m.alias("mean"), _stdev(s, m).alias("sd"), F.size(s).alias("n")))
+
+    def of_document(p: Column) -> Column:
+        def around(means: Column) -> Column:
+            return let(
+                _mean(means),
+                lambda m: F.struct(
+                    F.size(p).cast("bigint").alias("n_segments"),
+                    F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n_samples"),
+                    m.alias("mean"),
+                    _stdev(means, m).alias("volatility"),
+                    _mean(F.transform(p, lambda x: x["sd"])).alias("model_uncertainty"),
+                ),
+            )
+
+        return let(F.transform(p, lambda x: x["mean"]), around)
+
+    return let(F.transform(samples, of_segment), of_document)
 
 
 def summarize_rows(scored: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a document from arrays of samples, without a shuffle; empty segments don't count."""
-    filled = scored.withColumn("samples", F.filter("samples", lambda s: F.size(s) > 0)).where(F.size("samples") > 0)
-    means = filled.withColumn("pairs", F.transform("samples", lambda s: F.struct(_mean(s).alias("mean"), F.size(s).alias("n"), s.alias("s"))))
-    inner = means.withColumns(
-        {
-            "seg_means": F.transform("pairs", lambda p: p["mean"]),
-            "seg_stdevs": F.transform("pairs", lambda p: _stdev(p["s"], p["mean"])),
-            "n_samples": F.aggregate("pairs", F.lit(0).cast("bigint"), lambda a, p: a + p["n"]),
-        }
-    )
-    level = inner.withColumn("mean", _mean(F.col("seg_means")))
-    measured = level.select(
-        *keys,
-        F.size("seg_means").cast("bigint").alias("n_segments"),
-        "n_samples",
-        "mean",
-        _stdev(F.col("seg_means"), F.col("mean")).alias("volatility"),
-        _mean(F.col("seg_stdevs")).alias("model_uncertainty"),
-    )
-    return _labelled(measured)
+    filled = F.filter("samples", lambda s: F.size(s) > 0)
+    # A generator drops what is empty without the optimizer repeating the work in a filter.
+    some = F.filter(F.array(filled), lambda t: F.size(t) > 0)
+    return _labelled(scored.select(*keys, F.explode(F.transform(some, _row_stats)).alias("s")).select(*keys, "s.*"))
 
 
 def sentiment(docs: DataFrame, scorer: Callable[[Column, Column], Column], **options) -> DataFrame:

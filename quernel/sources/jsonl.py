@@ -62,7 +62,7 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str, fields: dict[str, str] = EXPENSE) -> DataFrame:
     """All rows, or an error that names the first bad line as ``path:line: reason``."""
-    parsed = parse(numbered_lines(spark, path), fields).cache()
+    parsed = parse(numbered_lines(spark, path), fields)
     first = quarantine(parsed).orderBy("path", "line").first()
     if first:
         raise DataLoadError(f"{first['path']}:{first['line']}: {first['error']}")
