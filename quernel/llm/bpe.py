@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -41,6 +42,14 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class BytePairCodec:
     """Encoder and decoder for one vocabulary.  ``cached`` bounds the memory of
     pre-tokens: the cache is emptied when it holds that many."""
@@ -62,7 +71,7 @@ class BytePairCodec:
 
         class Known(dict):
             def __missing__(self, token: str) -> bytes:
-                packed = np.array(codec.merge(token.encode()), dtype="<u4").tobytes()
+                packed = pack(codec.merge(token.encode()))
                 if len(token) <= 64:
                     if len(self) >= codec.cached:
                         self.clear()
@@ -77,17 +86,17 @@ class BytePairCodec:
         symbol = [self.byte_id[b] for b in token]
         if n < 2:
             return symbol
-        merges = self.merges
+        get, push, pop = self.merges.get, heapq.heappush, heapq.heappop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank_at, made_at, queue = [-1] * n, [0] * n, []
         for i in range(n - 1):
-            hit = merges.get(symbol[i] << 24 | symbol[i + 1])
+            hit = get(symbol[i] << 24 | symbol[i + 1])
             if hit:
                 rank_at[i], made_at[i] = hit
                 queue.append(hit[0] << 40 | i)
         heapq.heapify(queue)
         while queue:
-            entry = heapq.heappop(queue)
+            entry = pop(queue)
             i = entry & 0xFFFFFFFFFF
             if rank_at[i] != entry >> 40:
                 continue  # stale: the pair that starts here has changed
@@ -98,15 +107,22 @@ class BytePairCodec:
             symbol[j] = -1
             if k < n:
                 before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left < 0:
-                    continue
-                hit = merges.get(symbol[left] << 24 | symbol[right]) if right < n else None
+                hit = get(symbol[i] << 24 | symbol[k])
+                if hit:
+                    rank_at[i], made_at[i] = hit
+                    push(queue, hit[0] << 40 | i)
+                else:
+                    rank_at[i] = -1
+            else:
+                rank_at[i] = -1
+            h = before[i]
+            if h >= 0:
+                hit = get(symbol[h] << 24 | symbol[i])
                 if hit:
-                    rank_at[left], made_at[left] = hit
-                    heapq.heappush(queue, hit[0] << 40 | left)
+                    rank_at[h], made_at[h] = hit
+                    push(queue, hit[0] << 40 | h)
                 else:
-                    rank_at[left] = -1
+                    rank_at[h] = -1
         return [s for s in symbol if s >= 0]
 
     def encode_packed(self, text: str) -> bytes:
@@ -125,9 +141,7 @@ class BytePairCodec:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
 
     def decode_packed(self, packed: bytes) -> bytes:
-        ids = array("I")
-        ids.frombytes(packed)
-        return b"".join(map(self.strings.__getitem__, ids))
+        return b"".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
