@@ -720,6 +720,69 @@ def latest_wins(spark, sf_dir):
     return catalog.latest_wins(rows, "conv_id", "priority").select("conv_id", "turn")
 
 
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 4 IN (0, 2) THEN 1 ELSE 0 END::BIGINT AS n_turns FROM conversations
+""")
+def session_load(spark, sf_dir):
+    """Sessions as stored: a list with one full turn and one broken one, an object, a list with a number for an answer, and no JSON."""
+    k, text = F.col("turn") % 4, F.to_json(F.struct(F.col("text"), F.lit("a").alias("answer")))
+    content = F.when(k == 0, F.concat(F.lit("["), text, F.lit(', {"text": "only"}, 3]'))).when(k == 1, '{"text": "q"}').when(k == 2, '[{"text": "q", "answer": 5, "more": null}]').otherwise("[broken")
+    turns = sessions.session_turns(content)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(turns.isNotNull(), F.size(turns)).cast("bigint").alias("n_turns"))
+
+
+@query("SELECT conv_id, count(*) + 1 AS n_turns, 'and then' AS last_text FROM conversations GROUP BY conv_id")
+def session_append(spark, sf_dir):
+    packed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    turns = F.transform("t", lambda x: F.struct(x["text"].alias("text"), F.lit("ok").alias("answer")))
+    longer = packed.select("conv_id", sessions.append_turn(turns, F.lit("and then"), F.lit("fine")).alias("turns"))
+    return longer.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.element_at("turns", -1)["text"].alias("last_text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey || '|' ELSE 'm' || p_partkey || '|x' END AS ids FROM part")
+def model_listing(spark, sf_dir):
+    answer = F.concat(F.lit('{"object": "list", "data": [{"id": "m'), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, '"}, {"size": 1}]}').otherwise('"}, {"id": "x"}]}'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(web.model_ids(answer), "|").alias("ids"))
+
+
+@query(f"WITH {ROUTE} SELECT name FROM raw WHERE source = 'builtin' ORDER BY name")
+def skill_filter(spark, sf_dir):
+    return catalog.by_source(_skills(spark), "builtin").select("name")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '/skills/' || c_mktsegment || '/train.jsonl' END AS path FROM customer")
+def dataset_paths(spark, sf_dir):
+    relative = F.when(F.col("c_custkey") % 2 == 0, "train.jsonl")
+    directory = F.concat(F.lit("/skills/"), F.col("c_mktsegment"), F.lit("/"))
+    return table(spark, sf_dir, "customer").select("c_custkey", skills.dataset_path(directory, relative).alias("path"))
+
+
+@query("SELECT p_partkey, len(list_filter([':help', ':history', ':new', ':quit'], lambda c: starts_with(c, left(':history', (p_partkey % 9)::INT))))::INT AS n FROM part")
+def complete_prefix(spark, sf_dir):
+    commands = F.array(*map(F.lit, (":help", ":history", ":new", ":quit")))
+    typed = F.left(F.lit(":history"), (F.col("p_partkey") % 9).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(commands, lambda c: c.startswith(typed))).alias("n"))
+
+
+@query(f"""
+WITH joined AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+{SUMMARY.replace("FROM documents),", "FROM joined),", 1)} SELECT doc_id, {SUMMARY_COLUMNS} FROM summary
+""")
+def corpus_sentiment(spark, sf_dir):
+    """All turns of a conversation as one corpus: each turn is at least one paragraph."""
+    joined = docsrc.corpus(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"])
+    return rounded(sentiment.sentiment(joined.select(F.col("conv_id").alias("doc_id"), F.col("corpus").alias("text")), scoring.stub_score), *FIGURES)
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'default (alias)' ELSE 'm' || o_orderkey END AS label FROM orders
+""")
+def model_label(spark, sf_dir):
+    """The model to show: the configured one, or the default alias where that is empty."""
+    configured = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.nullif(configured, F.lit("")), F.lit("default (alias)")).alias("label"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,21 @@ def append_turn(turns: Column, text: Column, answer: Column) -> Column:
     return F.array_append(F.coalesce(turns, F.array().cast(TURNS)), F.struct(text.alias("text"), answer.alias("answer")))
 
 
+def save_session(spark: SparkSession, folder: str, name: str, turns: list[dict[str, str]]) -> None:
+    """Write one session's file anew; an empty list clears it."""
+    import json
+
+    from quernel.errors import SourceError
+
+    if not re.match(r"^[A-Za-z0-9][A-Za-z0-9._-]*$", name):
+        raise SourceError(f"invalid session name {name!r}")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.json")
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(json.dumps(turns, ensure_ascii=False, indent=2).encode()))
+    stream.close()
+
+
 def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, prompt) of a history file's non-empty lines; none for a missing file."""
     try:

@@ -160,6 +160,12 @@ def test_sessions_and_prompts(spark, tmp_path):
     got = {r["session"]: (r["readable"], r["turns"]) for r in sessions.load_sessions(spark, str(tmp_path)).collect()}
     assert [tuple(t) for t in got["s"][1]] == [("q", "5")] and got["broken"] == (False, None) and got["object"] == (True, [])
     assert sessions.load_sessions(spark, str(tmp_path / "none")).count() == 0
+    sessions.save_session(spark, str(tmp_path / "new"), "mine", [{"text": "é", "answer": "a"}])
+    assert [tuple(t) for t in sessions.load_sessions(spark, str(tmp_path / "new")).first()["turns"]] == [("é", "a")]
+    sessions.save_session(spark, str(tmp_path / "new"), "mine", [])
+    assert sessions.load_sessions(spark, str(tmp_path / "new")).first()["turns"] == []
+    with pytest.raises(SourceError):
+        sessions.save_session(spark, str(tmp_path), "../escape", [])
     turns = sessions.append_turn(F.lit(None).cast(sessions.TURNS), F.lit("a"), F.lit("b"))
     assert spark.range(1).select(sessions.session_json(turns)).first()[0] == '[{"text":"a","answer":"b"}]'
     history = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "pos int, prompt string")
