@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,9 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder.rstrip("/")
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
+        folder = tempfile.mkdtemp(prefix="quernel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 
