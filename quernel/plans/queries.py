@@ -390,6 +390,18 @@ def explanations(spark, sf_dir):
     return sentiment.explain(rows).select("doc_id", "explanation")
 
 
+@query(f"""
+WITH {SUMMARY},
+figures AS (SELECT doc_id, polarity, confidence, n_segments, round(mean, 6)::DECIMAL(18, 6) AS m, round(volatility, 6)::DECIMAL(18, 6) AS v FROM summary)
+SELECT doc_id, 'Overall the text reads as ' || polarity || ' (mean ' || CASE WHEN m < 0 THEN '-' ELSE '+' END || abs(round(m, 2)) || ' over ' || n_segments
+    || ' segments, volatility ' || round(v, 2) || '). Confidence that it differs from neutral: ' || confidence || '.' AS explanation FROM figures
+""")
+def explanations_all(spark, sf_dir):
+    """Explanations of every document with text; ties are rounded away from zero by their decimal digits."""
+    rows = rounded(summaries(spark, sf_dir), "mean", "volatility")
+    return sentiment.explain(rows).select("doc_id", "explanation")
+
+
 @query(f"""
 WITH {SUMMARY}
 SELECT doc_id, '{{"confidence":"' || confidence || '","doc_id":' || doc_id || ',"n_samples":' || n_samples || ',"n_segments":' || n_segments
