@@ -689,6 +689,30 @@ def seeded_history(spark, sf_dir):
     return conversations.seeded_history(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
 
 
+def _whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("prompt"))
+
+
+WHOLE_PROMPTS = "prompts AS (SELECT conv_id * 1000 + turn AS pos, text AS prompt FROM conversations WHERE role = 'user')"
+
+
+@query(f"WITH {WHOLE_PROMPTS} SELECT prompt, min(pos) AS pos FROM prompts GROUP BY prompt")
+def whole_prompt_dedup_keep_first(spark, sf_dir):
+    return conversations.distinct_in_order(_whole_prompts(spark, sf_dir), "prompt", "pos")
+
+
+@query(f"WITH {WHOLE_PROMPTS} SELECT pos, prompt FROM prompts ORDER BY pos DESC LIMIT 1000")
+def last_n_whole_prompts(spark, sf_dir):
+    return conversations.last_n(_whole_prompts(spark, sf_dir), sessions.MOST_PROMPTS)
+
+
+@query(f"WITH {WHOLE_PROMPTS} SELECT prompt, CASE WHEN min(pos % 2) = 0 THEN 0 ELSE 1 END AS part, coalesce(min(pos) FILTER (pos % 2 = 0), min(pos)) AS pos FROM prompts GROUP BY prompt")
+def seeded_whole_history(spark, sf_dir):
+    rows = _whole_prompts(spark, sf_dir)
+    return conversations.seeded_history(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
+
+
 @query("""
 SELECT conv_id, list_sum(list_transform(list(text), lambda t: length(t)))::BIGINT AS n_chars, count(*) AS n_turns FROM conversations GROUP BY conv_id
 """)

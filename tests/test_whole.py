@@ -11,3 +11,12 @@ def test_every_document_is_explained(spark, tmp_path, monkeypatch):
     assert sorted(got) == [1, 2, 3, 4]
     for i, figures in {1: "mean +3.00 over 1 segments, volatility 0.00", 2: "mean +0.13 over 2 segments, volatility 0.00", 3: "mean -0.00 over 2 segments, volatility 0.00", 4: "mean +1.50 over 2 segments, volatility 0.71"}.items():
         assert f"({figures})" in got[i], got[i]
+
+
+def test_prompts_are_whole(spark, tmp_path):
+    turns = [(1, 0, "user", "What is the price of tea?"), (1, 1, "assistant", "Two."), (1, 2, "user", "What is the price of salt?"), (2, 1, "user", "What is the price of tea?"), (2, 3, "user", "What is the price of oil?")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: {(r["pos"], r["prompt"]) for r in plans.queries()[name](spark, str(tmp_path)).collect()}
+    first = {(1000, turns[0][3]), (1002, turns[2][3]), (2003, turns[4][3])}
+    assert run("whole_prompt_dedup_keep_first") == run("seeded_whole_history") == first
+    assert run("last_n_whole_prompts") == first | {(2001, turns[0][3])}
