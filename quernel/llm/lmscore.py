@@ -5,41 +5,52 @@ one vocabulary, the 256 bytes, one order and one smoothing, so their per-token
 losses can be compared; a document's score is the mean of target loss minus
 background loss, and lower means more like the target.
 
-Counts of byte n-grams up to order 4 cover every text.  Each task sends its own
-counts, which are summed on the executors; orders 1 and 2 have exact tables, orders
-3 and 4 are hashed to 2**20 buckets, so a model's size (18 MB) doesn't depend on the
-corpus and it is sent once to each executor.  Probabilities back off with a
-Dirichlet prior: p(w|c) = (n(cw) + k p'(w|c')) / (n(c) + k).  A document's own counts
-are taken out of a model that was counted over it, so that no document is scored
-by what it brought along.
+Counts of byte n-grams up to order 4 are exact and keyed by the n-gram itself, so the
+models grow with the corpus and are never whole in one place.  Documents are dealt to
+blocks of about ``BLOCK`` bytes by hash of the id.  A block counts its distinct
+n-grams, these counts are summed over all blocks by n-gram in a shuffle, and the sums
+go back to the blocks that have the n-gram, so that a task holds no more n-grams than
+its block has.  Probabilities back off with a Dirichlet prior:
+p(w|c) = (n(cw) + k p'(w|c')) / (n(c) + k).  A document's own counts are taken out of
+a model that was counted over it, so that no document is scored by what it brought along.
 
 Null and empty texts have no token and the score 0.  An empty target gives the
-uniform distribution for the target.  Repeated rows get equal scores.
+uniform distribution for the target.  Repeated rows get equal scores.  Rows with the
+same id share a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
-SIZES = (1 << 8, 1 << 16, 1 << 20, 1 << 20)
+SIZES = (1 << 8, 1 << 16)
+#: Places in a table of all n-grams of orders 1 and 2.
 STARTS = np.concatenate([[0], np.cumsum(SIZES)])
 PRIOR = 20.0
 CHUNK = 1 << 22
+#: Bytes of text in a block of documents, about.
+BLOCK = 1 << 22
 START = b"\n" * (ORDER - 1)
 
 
 def _slots(key: np.ndarray, order: int) -> np.ndarray:
-    """Places in the order's table of n-grams packed as the low bytes of ``key``."""
-    own = key & np.uint32((1 << 8 * order) - 1)
-    if order <= 2:
-        return own.astype(np.int64)
-    return ((own * np.uint32(2654435761) ^ own >> np.uint32(13)) * np.uint32(2246822519) >> np.uint32(12)).astype(np.int64)
+    """The n-grams of an order packed as the low bytes of ``key``."""
+    return (key & np.uint32((1 << 8 * order) - 1)).astype(np.int64)
+
+
+def _grams(key: np.ndarray, order: int) -> np.ndarray:
+    """The same, distinct over all orders; 0 is no n-gram and stands for the number of tokens."""
+    return _slots(key, order) | order << 32
+
+
+#: Contexts of a document's first byte, which end in no document.
+FIRST = np.array([int.from_bytes(START[:k], "big") | k << 32 for k in range(1, ORDER)])
 
 
 def _packed(data: bytes) -> np.ndarray:
@@ -55,134 +66,143 @@ def _pieces(text: bytes) -> Iterator[np.ndarray]:
         yield _packed(data[at : at + CHUNK + ORDER - 1])
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(slot, n) of all byte n-grams of a one-column table of texts; slot 0 upwards
-    over the tables of all orders."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STARTS[-1], np.int64)
-        for batch in batches:
-            held, size = [], 0
-            for cell in [*batch.column(0), None]:
-                text = cell.as_py() if cell is not None else None
-                for keys in _pieces(text) if text else ():
-                    held.append(keys)
-                    size += len(keys)
-                if held and (size >= CHUNK or cell is None):
-                    keys = np.concatenate(held)
-                    for k in range(ORDER):
-                        total[STARTS[k] : STARTS[k + 1]] += np.bincount(_slots(keys, k + 1), minlength=SIZES[k])
-                    held, size = [], 0
-        found = np.flatnonzero(total)
-        for at in range(0, max(1, len(found)), 1 << 16):
-            part = found[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(part, pa.int32()), "n": pa.array(total[part], pa.int64())})
-
-    body = texts.select(F.col(f"`{texts.columns[0]}`").cast("string").cast("binary").alias("text"))
-    return body.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their summed counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, back, np.concatenate([n for _, n in parts]))
+    return keys, n
+
+
+def _tally(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the highest order in order, and how often they occur."""
+    found, held, size = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], [], 0
+    for text in texts:
+        for keys in _pieces(text):
+            held.append(keys)
+            size += len(keys)
+            if size >= CHUNK:
+                found = [_summed([*found, np.unique(np.concatenate(held), return_counts=True)])]
+                held, size = [], 0
+    return _summed([*found, np.unique(np.concatenate(held), return_counts=True)]) if held else found[0]
+
+
+def _texts(part: pa.Table) -> tuple[list[int | None], list[bytes | None], list[bool]]:
+    """Ids, texts and membership in the target of a block's documents."""
+    ids, texts, marks = (part.column(c).to_pylist() for c in ("id", "text", "mark"))
+    known = {i for i, m in zip(ids, marks, strict=True) if m}
+    rows = [r for r, m in enumerate(marks) if not m]
+    return [ids[r] for r in rows], [texts[r] for r in rows], [ids[r] in known for r in rows]
+
+
+def _count_block(part: pa.Table) -> pa.Table:
+    """(block, gram, target, n): the block's n-grams of all orders, those that it only needs as contexts, and its tokens."""
+    _, texts, inside = _texts(part)
+    halves = [_tally(t for t, x in zip(texts, inside, strict=True) if t and x == side) for side in (True, False)]
+    keys, n = (np.concatenate(x) for x in zip(*halves, strict=True))
+    target = np.concatenate([halves[0][1], np.zeros_like(halves[1][1])])
+    tokens = np.zeros(1, np.int64)
+    grams, back = np.unique(np.concatenate([*(_grams(keys, k) for k in range(1, ORDER + 1)), FIRST, tokens]), return_inverse=True)
+    sums = []
+    for x in (target, n):
+        sums.append(np.zeros(len(grams), np.int64))
+        np.add.at(sums[-1], back, np.concatenate([*[x] * ORDER, np.zeros_like(FIRST), [x.sum()]]))
+    block = part.column("block")[0].as_py()
+    return pa.table({"block": pa.array(np.full(len(grams), block), pa.int32()), "gram": pa.array(grams), "target": pa.array(sums[0]), "n": pa.array(sums[1])})
 
 
 class NgramModel:
-    """Counts of all orders in one array."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.tokens = int(counts[: SIZES[0]].sum())
-
-    @classmethod
-    def of(cls, texts: DataFrame) -> NgramModel:
-        counts = np.zeros(STARTS[-1], np.int64)
-        found = ngram_counts(texts).toArrow()
-        counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-        return cls(counts)
-
-    def losses(self, slots: list[np.ndarray], contexts: list[np.ndarray], own: list[np.ndarray], own_contexts: list[np.ndarray], own_tokens: int) -> np.ndarray:
-        """Loss in nats of each distinct n-gram, without the ``own`` counts."""
-        p = (self.counts[slots[0]] - own[0] + 1) / (self.tokens - own_tokens + SIZES[0])
+    """Counts of n-grams in order; without ``grams`` those of all n-grams of orders 1 and 2."""
+
+    def __init__(self, counts: np.ndarray, grams: np.ndarray | None = None, tokens: int | None = None):
+        self.grams = np.concatenate([np.arange(n) | k + 1 << 32 for k, n in enumerate(SIZES)]) if grams is None else grams
+        self.counts = np.append(counts, 0)
+        self.tokens = int(counts[: SIZES[0]].sum()) if tokens is None else tokens
+
+    def losses(self, slots: list[np.ndarray], contexts: list[np.ndarray], own: list, own_contexts: list, own_tokens: int) -> np.ndarray:
+        """Loss in nats of each distinct n-gram, without the ``own`` counts as far as the model has them."""
+        without = lambda at, own: (n := self.counts[at]) - np.minimum(own, n)
+        p = (without(slots[0], own[0]) + 1) / (self.tokens - min(own_tokens, self.tokens) + SIZES[0])
         for k in range(1, ORDER):
-            n = self.counts[STARTS[k] + slots[k]] - own[k]
-            context = self.counts[STARTS[k - 1] + contexts[k]] - own_contexts[k]
-            p = (n + PRIOR * p) / (np.maximum(context, n) + PRIOR)
+            n = without(slots[k], own[k])
+            p = (n + PRIOR * p) / (np.maximum(without(contexts[k], own_contexts[k]), n) + PRIOR)
         return -np.log(p)
 
 
+def _places(grams: np.ndarray, keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places of n-grams and their contexts of all orders; what isn't there is one place after the end."""
+
+    def place(wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(grams, wanted)
+        return np.where(np.append(grams, -1)[at] == wanted, at, len(grams))
+
+    before = keys >> np.uint32(8)
+    return [place(_grams(keys, k + 1)) for k in range(ORDER)], [np.zeros(0, np.int64), *[place(_grams(before, k)) for k in range(1, ORDER)]]
+
+
 class _Scratch:
-    """A document's own counts by slot, in reused arrays."""
+    """What the documents of a block share: places of its n-grams, and an array for a document's own counts."""
 
     def __init__(self):
-        self.tables = [np.zeros(n, np.int64) for n in SIZES]
+        self.grams = None
+
+    def places(self, grams: np.ndarray, keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if self.grams is not grams:
+            self.grams, self.table = grams, np.zeros(len(grams) + 1, np.int64)
+            self.longest = (grams[np.searchsorted(grams, ORDER << 32) :] & 0xFFFFFFFF).astype(np.uint32)
+            self.all = _places(grams, self.longest)
+        at = np.searchsorted(self.longest, keys)
+        if len(at) and (at[-1] == len(self.longest) or (self.longest[at] != keys).any()):
+            return _places(grams, keys)
+        return tuple([x[at] if len(x) else x for x in part] for part in self.all)
 
     def counted(self, slots: list[np.ndarray], contexts: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        own, own_contexts = [], [np.zeros(0, np.int64)]
-        for k in range(ORDER):
-            np.add.at(self.tables[k], slots[k], n)
-            own.append(self.tables[k][slots[k]])
-        for k in range(1, ORDER):
-            own_contexts.append(self.tables[k - 1][contexts[k]])
-        for k in range(ORDER):
-            self.tables[k][slots[k]] = 0
+        for at in slots:
+            np.add.at(self.table, at, n)
+        own, own_contexts = [self.table[at] for at in slots], [self.table[at] if len(at) else at for at in contexts]
+        for at in slots:
+            self.table[at] = 0
         return own, own_contexts
 
 
-def document_losses(text: bytes, target: NgramModel, background: NgramModel, scratch: _Scratch) -> tuple[int, float, float, float]:
-    """Tokens, mean target loss, mean target loss without own counts, mean background loss without own counts."""
-    keys, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for piece in _pieces(text):
-        found, times = np.unique(piece, return_counts=True)
-        keys, n = np.concatenate([keys, found]), np.concatenate([n, times])
-    if len(text) > CHUNK:
-        keys, back = np.unique(keys, return_inverse=True)
-        n = np.bincount(back, weights=n).astype(np.int64)
-    slots = [_slots(keys, k + 1) for k in range(ORDER)]
-    contexts = [np.zeros(0, np.int64), *[_slots(keys >> np.uint32(8), k) for k in range(1, ORDER)]]
-    own, own_contexts = scratch.counted(slots, contexts, n)
-    nothing = [np.int64(0)] * ORDER
+def document_losses(text: bytes, target: NgramModel, background: NgramModel, scratch: _Scratch, inside: bool = False) -> tuple[int, float, float]:
+    """Tokens, mean target loss (without own counts if ``inside`` the target), mean background loss without own counts."""
+    keys, n = _tally([text])
     total = len(text)
-    means = [target.losses(slots, contexts, nothing, nothing, 0)]
-    zero = lambda parts: [np.maximum(x, 0) for x in parts]
-    for model in (target, background):
-        left = [np.minimum(o, model.counts[STARTS[k] + slots[k]]) for k, o in enumerate(own)]
-        left_contexts = [own_contexts[0], *[np.minimum(own_contexts[k], model.counts[STARTS[k - 1] + contexts[k]]) for k in range(1, ORDER)]]
-        means.append(model.losses(slots, contexts, zero(left), zero(left_contexts), min(total, model.tokens)))
-    plain, target_own, background_own = (float((x * n).sum() / total) for x in means)
-    return total, plain, target_own, background_own
-
-
-def score_documents(docs: DataFrame, is_target: DataFrame, target: NgramModel, background: NgramModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, in_target, n_tokens, ce_target, ce_background, score) of every row.
-
-    ``is_target`` has the ids that the target model was counted over (one column
-    named as ``id_column``); the background model must have been counted over ``docs``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))
-    body = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-        scratch = _Scratch()
-        for batch in batches:
-            rows = [document_losses(t, target, background, scratch) if (t := c.as_py()) else (0, 0.0, 0.0, 0.0) for c in batch.column(1)]
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names=["id", "n", "plain", "own", "background"])
-
-    losses = body.mapInArrow(run, "id long, n long, plain double, own double, background double")
-    known = is_target.select(F.col(f"`{id_column}`").cast("long").alias("known")).dropDuplicates().hint("merge")
-    both = losses.join(known, losses["id"] == known["known"], "left")
-    inside = F.col("known").isNotNull()
-    ce = F.when(inside, F.col("own")).otherwise(F.col("plain"))
-    return both.select(
-        F.col("id").alias(id_column),
-        inside.alias("in_target"),
-        F.col("n").alias("n_tokens"),
-        ce.alias("ce_target"),
-        F.col("background").alias("ce_background"),
-        (ce - F.col("background")).alias("score"),
-    )
+    slots, contexts = scratch.places(background.grams, keys)
+    own, own_contexts = scratch.counted(slots, contexts, n)
+    nothing = [0] * ORDER
+    by_target = target.losses(slots, contexts, own, own_contexts, total) if inside else target.losses(slots, contexts, nothing, nothing, 0)
+    by_all = background.losses(slots, contexts, own, own_contexts, total)
+    return total, float((by_target * n).sum() / total), float((by_all * n).sum() / total)
+
+
+def _score_block(part: pa.Table, counts: pa.Table) -> pa.Table:
+    counts = counts.sort_by("gram")
+    grams, target, n = (counts.column(c).to_numpy() for c in ("gram", "target", "n"))  # the first is the number of tokens
+    models = [NgramModel(x[1:], grams[1:], int(x[0])) for x in (target, n)]
+    scratch = _Scratch()
+    ids, texts, inside = _texts(part)
+    rows = [document_losses(t, *models, scratch, x) if t else (0, 0.0, 0.0) for t, x in zip(texts, inside, strict=True)]
+    values = [ids, inside, *([r[i] for r in rows] for i in range(3))]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())
+    return pa.table([pa.array(v, kind) for v, kind in zip(values, kinds, strict=True)], names=["id", "in_target", "n_tokens", "ce_target", "ce_background"])
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, wanted: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score all of ``docs`` by a target model of the rows that ``labels`` marks as ``wanted``."""
-    ids = labels.where(wanted).select(id_column).hint("merge")  # grows with the documents: never broadcast
-    target = NgramModel.of(docs.join(ids, id_column, "left_semi").select(text))
-    background = NgramModel.of(docs.select(text))
-    return score_documents(docs, ids, target, background, id_column, text)
+    """Score all of ``docs`` by a target model of the rows that ``labels`` marks as ``wanted``:
+    (id, in_target, n_tokens, ce_target, ce_background, score) of every row."""
+    key = F.col(f"`{id_column}`").cast("long")
+    body = docs.select(key.alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    size = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    place = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    block = F.pmod(place, F.lit(-(-size // BLOCK) or 1)).cast("int").alias("block")
+    marks = labels.where(wanted).select(key.alias("id"), F.lit(None).cast("binary").alias("text")).where("id IS NOT NULL")
+    parts = body.select(block, "id", "text", F.lit(False).alias("mark")).unionByName(marks.dropDuplicates(["id"]).select(block, "id", "text", F.lit(True).alias("mark")))
+    found = parts.groupBy("block").applyInArrow(_count_block, "block int, gram long, target long, n long")
+    everywhere = Window.partitionBy("gram")
+    counts = found.select("block", "gram", F.sum("target").over(everywhere).alias("target"), F.sum("n").over(everywhere).alias("n"))
+    scored = parts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score_block, "id long, in_target boolean, n_tokens long, ce_target double, ce_background double")
+    return scored.select(F.col("id").alias(id_column), "in_target", "n_tokens", "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))

@@ -82,3 +82,34 @@ def test_long_texts_in_pieces(monkeypatch, words):
     whole = lm.document_losses(text, model, model, lm._Scratch())
     monkeypatch.setattr(lm, "CHUNK", 100)
     assert lm.document_losses(text, model, model, lm._Scratch()) == pytest.approx(whole)
+
+
+def test_counts_are_exact_and_grow(spark, monkeypatch):
+    """Random characters: 800,000 places, few n-grams alike, which 2^20 buckets would not hold apart."""
+    monkeypatch.setattr(lm, "BLOCK", 100_000)
+    r = random.Random(3)
+    texts = ["".join(chr(r.randrange(32, 127)) for _ in range(20_000)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 3)], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in lm.cross_entropy_difference(docs, labels, F.col("quality") == 1).collect()}
+
+    counts = [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        d = lm.START + t.encode()
+        found = Counter(d[j + 1 - k : j + 1] for j in range(3, len(d)) for k in range(1, 5))
+        counts[1].update(found)
+        if i % 3 == 0:
+            counts[0].update(found)
+    sizes = [sum(v for g, v in c.items() if len(g) == 1) for c in counts]
+    for i in (0, 1, 39):
+        d = lm.START + texts[i].encode()
+        own = Counter(d[j + 1 - k : j + 1] for j in range(3, len(d)) for k in range(1, 5))
+        for n, size, mine, column in ((counts[0], sizes[0], own if i % 3 == 0 else Counter(), "ce_target"), (counts[1], sizes[1], own, "ce_background")):
+            total, left = 0.0, lambda g: n[g] - mine[g]  # noqa: B023, E731
+            for j in range(3, len(d)):
+                p = (left(d[j : j + 1]) + 1) / (size - (len(texts[i]) if mine else 0) + 256)
+                for k in range(2, 5):
+                    w = left(d[j + 1 - k : j + 1])
+                    p = (w + lm.PRIOR * p) / (max(left(d[j + 1 - k : j]), w) + lm.PRIOR)
+                total -= math.log(p)
+            assert got[i][column] == pytest.approx(total / len(texts[i]), rel=1e-12)
