@@ -36,6 +36,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]|(?=[(0-9])(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+HIDDEN_AT = r"(?i)[\[(]at[\])]"
 #: Addresses that write the at sign in brackets.
 HIDDEN_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[a-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[a-z0-9-]++)++"
 
@@ -167,13 +168,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
     marked = docs.withColumns({"__text": t, "__digit": t.rlike("[0-9]")})
     body, digit = F.col("__text"), F.col("__digit")
-    hidden = F.lit(False)
-    for cue in ("(at)", "[at]", "(AT)", "[AT]"):
-        hidden = hidden | body.contains(cue)
     found = marked.withColumns(
         {
             "__email": F.when(body.contains("@"), spans_by(body, EMAIL)).otherwise(none),
-            "__hidden": F.when(hidden, spans_by(body, HIDDEN_EMAIL)).otherwise(none),
+            "__hidden": F.when(body.rlike(HIDDEN_AT), spans_by(body, HIDDEN_EMAIL)).otherwise(none),
             "__ip": F.when(digit & body.contains("."), spans_by(body, IP)).otherwise(none),
             "__card": F.when(digit, spans_by(body, CARD)).otherwise(none),
             "__phone": F.when(digit, spans_by(body, PHONE)).otherwise(none),

@@ -86,3 +86,10 @@ def test_places_of_many_matches(spark, n):
     df = spark.createDataFrame([("é " + "ab1 " * n,)], "t string")
     got = df.select(pii.spans_by(F.col("t"), "[0-9]").alias("s")).first()["s"]
     assert [(x["start"], x["end"]) for x in got] == [(4 + 4 * i, 5 + 4 * i) for i in range(n)]
+
+
+def test_hidden_addresses_in_any_case(spark):
+    texts = [f"mail j.doe {o}{at}{c} host.org" for at in ("at", "AT", "At", "aT") for o, c in ("()", "[]")] + ["look (atop) j.doe host.org"]
+    rows = pii.candidates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["__email"]] for r in rows}
+    assert found == {i: [(5, len(t))] if i < 8 else [] for i, t in enumerate(texts)}
