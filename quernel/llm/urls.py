@@ -8,7 +8,7 @@ them, and a host is blocked if its distrust exceeds ``threshold`` times its trus
 
 Everything is DataFrame operations.  Links are summed to weighted host edges first,
 so the iteration sees hosts, not pages.  Each round is written to the shared
-folder, which cuts the lineage.  Mass at a host without links is not passed on.
+folder, which cuts the lineage, until the scores have converged.  Mass at a host without links is not passed on.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged as the host ``''``.  Pages without links, null pages, repeated rows and an
@@ -18,13 +18,14 @@ are kept by :func:`judge`.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import LOWER, UPPER, free_name, staged
+from quernel.llm.common import LOWER, UPPER, free_name, remove, shared_path, staged
 
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -64,29 +65,35 @@ def host_edges(pages: DataFrame, host: Column, html: Column) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-9) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Personalised PageRank of every kind at once.
 
     ``edges`` has (kind, src, dst, weight), ``seeds`` has (kind, host, mass).
-    Returns (kind, host, score).  Stops when the scores move by less than
-    ``tolerance`` in total, or after ``rounds``.
+    Returns (kind, host, score).  Scores only grow from round to round; stops when
+    none grows by more than ``tolerance`` of itself, which no host does that was
+    reached just now, or after ``rounds`` if given.
     """
+    spark = edges.sparkSession
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     flow = staged(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")), "url-flow")
     base = staged(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")), "url-seeds")
-    score = base
-    for _ in range(rounds):
+    score, path = base, None
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = flow.join(score.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        after = staged(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")), "url-scores")
-        change = after.withColumnRenamed("score", "now").join(score, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0)))))
-        moved_by = change.first()[0]
-        score = after
-        if moved_by is None or moved_by < tolerance:
+        new = shared_path(spark, "url-scores")
+        base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")).write.parquet(new)
+        after = spark.read.schema(base.schema).parquet(new)
+        both = after.withColumnRenamed("score", "now").join(score, ["kind", "host"], "left")
+        grows = both.agg(F.max(F.col("now") - F.coalesce("score", F.lit(0.0)) > F.lit(tolerance) * F.col("now"))).first()[0]
+        if path:
+            remove(spark, path)
+        score, path = after, new
+        if not grows:
             break
     return score
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", threshold: float = 1.0, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", threshold: float = 1.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict, trust and distrust; columns with
     these names are replaced, and the html column is left out."""
     made = ["host", "path", "rule", "verdict", "trust", "distrust"]

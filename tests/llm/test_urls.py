@@ -78,3 +78,12 @@ def test_edges(spark):
     rows += [(8, "HTTPS://EXAMPLE.ORG/en/1", None, None, None, None), (9, "https://a?x=://b/c", None, None, None, None), (10, "https://com\n/fr/\n", None, None, None, None)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
+
+
+def test_long_chains_converge(spark):
+    """A host 41 links from the only blocked one."""
+    page = lambda i, u, to: (i, u, f'<a href="{to}">x</a>', None, None, 1)
+    rows = [page(i, f"https://h{i}.net/", f"https://h{i + 1}.net/") for i in range(40)] + [page(40, "https://h40.net/", "https://bad.com/de/"), page(41, "https://bad.com/de/", "https://bad.com/de/")]
+    got = {r["host"]: r for r in urls.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    assert all(r["verdict"] == "block" for r in got.values())
+    assert got["h0.net"]["distrust"] == pytest.approx(0.15 * 0.85**41, rel=1e-12)
