@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 1024
-#: Share of each list that is read by the end of each round.
-DEPTHS = (0.25, 0.75, 1.0)
+#: Share of each list that is read by the end of each round; from the half on each round halves the rest.
+DEPTHS = (0.25, 0.5, 0.75, 0.875, 0.9375, 0.96875, 1.0)
 #: A query stops when no more than so many candidates, by k, can still qualify.
 FEW = 8
 EXACT = float(1 << 53)

@@ -63,3 +63,17 @@ def test_reading_stops_early(monkeypatch):
     monkeypatch.setattr(topk, "DEPTHS", (0.25,))
     found = topk.search_block(lists[:1] * 0 + 100, np.array([-1]), lists, np.arange(2000), 5)
     assert set(found[0][0]) == set(range(5))
+
+
+def test_queries_of_the_tables_stop_by_their_bounds(monkeypatch):
+    """Without the last round, which reads everything, no query is left waiting."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    ids, whole = np.array(rows["vec_id"]), np.floor(256 * np.array(rows["embedding"], float))
+    asks = ids % 50 == 0
+    full = topk.search_block(whole[asks], ids[asks], whole, ids, 5)
+    monkeypatch.setattr(topk, "DEPTHS", topk.DEPTHS[:-1])
+    early = topk.search_block(whole[asks], ids[asks], whole, ids, 5)
+    assert all(e is not None and (e[0] == f[0]).all() and (e[1] == f[1]).all() for e, f in zip(early, full, strict=True))
