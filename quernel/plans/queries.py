@@ -377,6 +377,19 @@ def excerpts_2000(spark, sf_dir):
     return out.select("doc_id", F.char_length("excerpts").cast("bigint").alias("n_chars"), F.md5("excerpts").alias("digest"))
 
 
+@query(f"""
+WITH {SAMPLES}
+SELECT doc_id, length(e) AS n_chars, md5(e) AS digest FROM (
+    SELECT doc_id, substr(string_agg('- (' || printf('%+.1f', round(m, 2)) || ') ' || segment, chr(10) ORDER BY seg_idx), 1, 2000) AS e
+    FROM by_seg JOIN seg_rows USING (doc_id, seg_idx) GROUP BY doc_id)
+""")
+def excerpts_whole(spark, sf_dir):
+    """Means over all samples with whole segments as rationales, so that long documents reach the cut."""
+    rows = stub_samples(spark, sf_dir).withColumn("rationale", F.col("segment"))
+    out = sentiment.excerpts(sentiment.segment_level(rows))
+    return out.select("doc_id", F.char_length("excerpts").cast("bigint").alias("n_chars"), F.md5("excerpts").alias("digest"))
+
+
 @query(f"""
 WITH {SUMMARY}
 SELECT doc_id, 'Overall the text reads as ' || polarity || ' (mean ' || printf('%+.2f', round(mean, 6)) || ' over ' || n_segments || ' segments, volatility '

@@ -1,5 +1,7 @@
 """Standard queries over whole inputs: nothing is left out for the sake of the comparison with SQL."""
 
+import hashlib
+
 from quernel.plans import queries as plans
 
 
@@ -20,3 +22,13 @@ def test_prompts_are_whole(spark, tmp_path):
     first = {(1000, turns[0][3]), (1002, turns[2][3]), (2003, turns[4][3])}
     assert run("whole_prompt_dedup_keep_first") == run("seeded_whole_history") == first
     assert run("last_n_whole_prompts") == first | {(2001, turns[0][3])}
+
+
+def test_long_documents_reach_the_cut_of_excerpts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans.scoring, "stub_score", lambda segment, i: i.cast("double") * 2 - 1)
+    texts = {1: "short one\n\nshort two", 2: "\n\n".join(f"{i} " + "x" * 300 for i in range(20))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_chars"], r["digest"]) for r in plans.queries()["excerpts_whole"](spark, str(tmp_path)).collect()}
+    want = {i: "\n".join(f"- (+1.0) {s}" for s in t.split("\n\n"))[:2000] for i, t in texts.items()}
+    assert got == {i: (len(e), hashlib.md5(e.encode()).hexdigest()) for i, e in want.items()}
+    assert got[2][0] == 2000
