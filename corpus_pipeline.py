@@ -4,9 +4,11 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All stages but
 the last return the columns of ``documents``.
 
-1. language: documents whose language can't be told (null text, no letter, or no
-   training row at all) are rejected; the others keep their row unchanged.  A low
-   score alone rejects nothing: on the test tables these were clean short texts.
+1. language: documents whose language can't be told are rejected: null text, no
+   letter, no training row at all, or at least ``EVIDENCE`` characters of which the
+   classifier finds no language likelier than all others together.  The others keep
+   their row unchanged.  A low score rejects no shorter text: on the test tables
+   these were clean.
 2. lines: lines that at least ten documents share lose all their copies; a null
    text becomes an empty one, and ``n_chars`` follows the text.
 3. near_duplicates: one document of each class of near copies stays, the one with
@@ -31,9 +33,14 @@ from quernel.llm.neardup import drop_near_duplicates
 from quernel.llm.queries import TOKENIZERS
 
 
+#: Characters from which on a low score of the classifier is evidence.
+EVIDENCE = 100
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = predict(docs, train_on_documents(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    unsure = (F.col("score") < 0.5) & (F.char_length("text") >= EVIDENCE)
+    return found.where((F.col("lang_pred") != UNKNOWN) & ~unsure).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

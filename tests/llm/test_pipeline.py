@@ -75,3 +75,13 @@ def test_stages_against_plain_python(spark, folder):
 def test_an_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_classifier_rejects_long_texts_without_a_language(spark, monkeypatch):
+    rows = [(1, "clean. " * 20, "aa", 0.9), (2, "junk!! " * 20, "bb", 0.4), (3, "short.", "aa", 0.4), (4, "x" * 100, "aa", 0.49), (5, "x" * 99, "aa", 0.49), (6, "y" * 100, "aa", 0.5), (7, None, "und", 0.0)]
+    found = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double")
+    monkeypatch.setattr(cp, "train_on_documents", lambda docs: None)
+    monkeypatch.setattr(cp, "predict", lambda docs, model: found)
+    kept = cp.language(spark, found.select("doc_id", "text"), "")
+    assert kept.columns == ["doc_id", "text"]
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3, 5, 6}
