@@ -10,24 +10,29 @@ boundary that its interval crosses.
 
 Documents are laid out by size class within the source, so the words taken stay
 close to the target.  The prefix sum has three levels, so that no task gets a
-whole source: size classes are summed on the driver (at most a few hundred a
-source), slots of about ``SLOT_ROWS`` rows within a class in a small table, and
-rows are numbered within their slot.  Expected copies are integers in units of
-2**-24, so all sums are exact and reruns agree.
-
-Null texts have size 0.  A source of size 0 has target 0.  Equal rows share a slot
-and are numbered in any order, being alike.  Extra columns are kept.  An empty
-table gives an empty result.
+whole source: size classes within a source (a few hundred at most), slots of about
+``SLOT_ROWS`` rows within a class, and rows within their slot.  Expected copies are
+integers in units of 2**-24, so all sums are exact and reruns agree.  Words are
+counted once: the rows are written with their size to the shared folder.  Only the
+sources' sizes (a row a source) come to the driver, where the targets are shared out.
+No step uses Python workers.
+
+Null texts have size 0, very long texts are counted whole in one pass.  A source of
+size 0 has target 0, a null source is one like any other.  Equal rows share a slot
+and are numbered in any order, being alike.  Extra columns are kept; those named as
+the result's are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, hash128
+from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, hash128, staged
 
 UNIT_BITS = 24
 SLOT_ROWS = 256
@@ -54,53 +59,55 @@ def shares(sizes: list[int], weights: list[int], total: Fraction, most: int) ->
     return [out[i] for i in range(len(sizes))]
 
 
-def _class_plan(sized: DataFrame, names: dict[str, str], weights: tuple[int, ...], share: Fraction, most: int) -> tuple[DataFrame, int]:
-    """A row for each source and size class: slots, documents before it, expected copies, and the source's size and target."""
-    rows = sized.groupBy(names["source"], names["class"]).agg(F.count("*").alias("n"), F.sum(names["size"]).alias("words")).collect()
-    sources: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r[0] == "", r[0].encode(), r[1])):
-        sources.setdefault(r[0], []).append(r)
-    sizes = [sum(r["words"] for r in own) for own in sources.values()]
+def _targets(sized: DataFrame, names: dict[str, str], weights: tuple[int, ...], share: Fraction, most: int) -> DataFrame:
+    """(source, source_size, target, expected) of every source: the one thing that is summed on the driver, a row a source."""
+    rows = sized.groupBy(names["source"]).agg(F.sum(names["size"]).alias("words")).collect()
+    rows = sorted(rows, key=lambda r: (r[0] == "", r[0].encode()))
+    sizes = [r["words"] for r in rows]
     got = shares(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-    plan = []
-    for (source, own), size, target in zip(sources.items(), sizes, got, strict=True):
-        before = 0
-        for r in own:
-            plan.append((source, r[1], -(-r["n"] // SLOT_ROWS), before, int((int(target * (1 << UNIT_BITS)) // size) if size else 0), size, float(target)))
-            before += r["n"]
-    columns = ["source", "class", "slots", "before", "expected", "source_size", "target"]
-    kinds = ["string", "int", "long", "long", "long", "long", "double"]
-    schema = ", ".join(f"`{names[c]}` {k}" for c, k in zip(columns, kinds, strict=True))
-    return sized.sparkSession.createDataFrame(plan, schema), len(plan)
-
-
-def copies(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17) -> DataFrame:
+    expected = [int(t * (1 << UNIT_BITS)) // size if size else 0 for t, size in zip(got, sizes, strict=True)]
+    columns = {"source": pa.array([r[0] for r in rows], pa.string()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(map(float, got), pa.float64()), "expected": pa.array(expected, pa.int64())}
+    # As an Arrow table this becomes a relation inside the JVM; a list of rows would start Python workers on the executors.
+    return sized.sparkSession.createDataFrame(pa.table({names[k]: v for k, v in columns.items()}))
+
+
+def _class_plan(sized: DataFrame, names: dict[str, str], targets: DataFrame) -> DataFrame:
+    """A row for each source and size class: its slots, the documents in classes before it, and its source's figures."""
+    earlier = Window.partitionBy(names["source"]).orderBy(names["class"]).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col(names["n"])
+    classes = sized.groupBy(names["source"], names["class"]).agg(F.count("*").alias(names["n"]))
+    placed = classes.withColumns({names["before"]: F.coalesce(F.sum(n).over(earlier), F.lit(0)), names["slots"]: F.ceil(n / SLOT_ROWS)})
+    return staged(placed.drop(names["n"]).join(targets, names["source"]), "mix-classes")
+
+
+def copies(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, how often
-    the mix emits the row; columns of ``docs`` with these names are replaced."""
+    the mix emits the row; columns of ``docs`` with these names are replaced.
+    ``keep`` names the columns of ``docs`` to return, all by default."""
     made = ["size", "source_size", "target", "copies"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    own = docs.columns
-    names = {k: free_name(docs, f"__{k}") for k in ("source", "class", "slots", "slot", "before", "expected", "source_size", "target", "size", "id", "k", "start", "n")}
-    scalar = [F.col(f"`{c}`").cast("string") for c in own if docs.schema[c].dataType.typeName() not in ("map", "array", "struct", "variant")]
-    name = F.col(f"`{source}`").cast("string")
-    sized = docs.withColumns(
-        {
-            names["source"]: F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), name)),
-            names["size"]: word_count(F.col(f"`{text}`").cast("string")),
-            names["id"]: hash128(*scalar),
-        }
-    ).withColumn(names["class"], F.floor(F.log2(F.col(names["size"]) + 1) * 8).cast("int"))
-    plan, n = _class_plan(sized, names, weights, share, most)
-    plan = F.broadcast(plan) if n <= BROADCAST_ROWS else plan
+    own = docs.columns if keep is None else list(keep)
+    names = {k: free_name(docs, f"__{k}") for k in ("source", "class", "slots", "slot", "before", "expected", "source_size", "target", "size", "a", "b", "k", "start", "n")}
+    scalar = [F.col(f"`{c}`").cast("string") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "array", "struct", "variant")]
+    name, row = F.col(f"`{source}`").cast("string"), hash128(*scalar)
+    sized = docs.select(
+        *[F.col(f"`{c}`") for c in own],
+        F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), name)).alias(names["source"]),
+        word_count(F.col(f"`{text}`").cast("string")).alias(names["size"]),
+        row["a"].alias(names["a"]),
+        row["b"].alias(names["b"]),
+    )
+    sized = staged(sized.withColumn(names["class"], F.floor(F.log2(F.col(names["size"]) + 1) * 8).cast("int")), "mix-sized")
+    plan = _class_plan(sized, names, _targets(sized, names, weights, share, most))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     keys = [names["source"], names["class"]]
-    slot = F.pmod(F.col(f"{names['id']}.a"), F.col(names["slots"]))
-    placed = sized.join(plan, keys).withColumn(names["slot"], slot)
+    placed = sized.join(plan, keys).withColumn(names["slot"], F.pmod(F.col(names["a"]), F.col(names["slots"])))
 
     counts = placed.groupBy(*keys, names["slot"]).agg(F.count("*").alias(names["n"]))
     earlier = Window.partitionBy(*keys).orderBy(names["slot"]).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, names["slot"], F.coalesce(F.sum(names["n"]).over(earlier), F.lit(0)).alias(names["start"]))
 
-    inside = Window.partitionBy(*keys, names["slot"]).orderBy(names["size"], names["id"])
+    inside = Window.partitionBy(*keys, names["slot"]).orderBy(names["size"], names["a"], names["b"])
     numbered = placed.withColumn(names["k"], F.row_number().over(inside)).join(starts, [*keys, names["slot"]])
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col(names["source"])), F.lit(1 << UNIT_BITS))
     upto = F.col(names["before"]) + F.col(names["start"]) + F.col(names["k"])

@@ -95,7 +95,7 @@ FROM marked JOIN docs USING (rid) GROUP BY rid, doc_id
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    drawn = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
