@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +47,38 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/quernel-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Paths to remove at the end of each open :func:`scratch`, innermost last.
+_scratch: list[list[str]] = []
+
+
+def staged(df: DataFrame, label: str, kept: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts
-    the lineage and survives the loss of any executor."""
+    the lineage and survives the loss of any executor.
+
+    The innermost open :func:`scratch` removes the table at its end; with ``kept``,
+    for what a lazy result still reads, only the one around it does.  ``by`` names
+    columns that cut the table into folders.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    open_ = _scratch[:-1] if kept else _scratch
+    if open_:
+        open_[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what :func:`staged` wrote meanwhile from the shared folder."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder with the file system that owns it."""
     jvm = spark.sparkContext._jvm
@@ -61,6 +86,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -31,7 +31,7 @@ def test_equal_to_brute_force(spark):
     pool = [f"line {i}" for i in range(40)] + ["", "  ", "ÄÖ x", "ALL caps", "all CAPS\t", " all caps "]
     texts = ["\n".join(r.choice(pool) if r.random() < 0.6 else f"own {r.random()}" for _ in range(r.randrange(0, 12))) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for batches in (1, 5):
+    for batches in (1, 4, 20):
         got = [tuple(x) for x in run(docs, batches=batches).orderBy("doc_id").select("text", "n_lines", "n_dropped").collect()]
         assert got == brute(texts)
 
@@ -44,24 +44,48 @@ def test_edges(odd_docs, odd_rows, no_docs):
     assert run(no_docs).count() == 0
 
 
-def test_runs_settle_compact_and_tell_new_keys(spark):
-    keys = lambda *n: spark.createDataFrame([(x, x) for x in n], "a long, b long")
+def keyed(spark, *n):
+    return spark.createDataFrame([(x, x) for x in n], "a long, b long")
+
+
+def test_runs_compact_and_tell_new_keys(spark):
     runs = ld.LineRuns(spark, min_docs=3, fanout=2)
-    for batch in ((1, 1, 2), (1, 3), (2, 2, 4), (1, 4), (4, 5)):
-        runs.add(keys(*batch))
-    assert len(runs.levels) >= 3 and runs.settled
+    fresh = [{r["a"] for r in runs.add(keyed(spark, *batch)).collect()} for batch in ((1, 1, 2), (1, 3), (2, 2, 4), (1, 4), (4, 5))]
+    assert fresh[0] == {1, 2} and fresh[4] == {5}
+    assert len(runs.levels["keys"]) >= 3 and len(runs.levels["tallies"]) >= 3
+    stored = [r["a"] for run in runs.runs() for r in run.collect()]
+    assert sorted(stored) == [1, 2, 3, 4, 5]  # every key in one run
     assert {r["a"] for r in runs.repeated().collect()} == {1, 2, 4}
-    assert {r["a"] for r in runs.unseen(keys(1, 3, 6, 7)).collect()} == {6, 7}
+    assert {r["a"] for r in runs.unseen(keyed(spark, 1, 3, 6, 7)).collect()} == {6, 7}
+    runs.delete()
     assert ld.LineRuns(spark).repeated().count() == 0
-
-
-def test_a_settled_key_is_not_counted_again(spark):
-    runs = ld.LineRuns(spark, min_docs=2, fanout=2)
-    one = spark.createDataFrame([(1, 1)], "a long, b long")
-    for _ in range(2):
-        runs.add(one)
-    assert runs.settled
-    runs.add(one)
-    assert runs._read([p for level in runs.levels for p in level]).where(F.col("n") > 0).count() == 0
     with pytest.raises(ValueError):
         ld.LineRuns(spark, fanout=1)
+
+
+def test_a_folder_is_opened_again(spark, tmp_path):
+    batches = [(1, 1, 2), (1, 3), (2, 2, 4), (1, 4), (4, 5)]
+    for i, batch in enumerate(batches):
+        runs = ld.LineRuns(spark, folder=f"file://{tmp_path}/runs", min_docs=3, fanout=2)
+        for name in spark.catalog.listTables(pattern="quernel_lines_*"):
+            spark.sql(f"DROP TABLE {name.name}")  # as in a new session, which knows no table
+        runs.add(keyed(spark, *batch), str(i))
+        assert runs.add(keyed(spark, *batch), str(i)).count() == 0  # a repeated batch counts once
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = ld.LineRuns(spark, folder=f"file://{tmp_path}/runs", min_docs=3, fanout=2)
+        assert again.buckets == 4 and again.batches == list("01234")
+        again.add(keyed(spark, 5, 5, 9), "5")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r["a"] for r in again.repeated().collect()} == {1, 2, 4, 5}
+
+
+def test_runs_merge_without_exchange_or_sort(spark):
+    runs = ld.LineRuns(spark, fanout=9)
+    for i in range(3):
+        runs.add(keyed(spark, *range(i * 50, i * 50 + 100)))
+    with ld._sorted_scans(spark):
+        plan = runs.unseen(runs.runs()[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort [" not in plan
+    runs.delete()
