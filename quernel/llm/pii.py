@@ -1,23 +1,28 @@
 """Personal data by weak supervision (operator 7).
 
 Four kinds of spans: email, ip, card, phone.  Base spans follow fixed patterns with
-their checks.  Wider patterns add candidates (obfuscated addresses, dotted quads
-out of range, long digit runs without a valid check digit, national phone
-numbers).  On every candidate four labelers vote or abstain: the strict pattern,
-gazetteers (top-level domains, issuer digits, reserved networks, area codes), the
-words before it, and the characters around it.  Expectation-maximisation over the
-counts of vote patterns estimates each labeler's reliability and each pattern's
-probability; a logistic span classifier on other features (digits, separators,
-neighbours) is trained on these, and candidates that it accepts are added.  Base
-spans always stay.
-
-Everything that touches rows is DataFrame operations, without a shuffle of texts;
-only counts of vote and feature patterns, whose number is fixed by the labelers,
-come to the driver.  Positions come from the lengths of the texts between matches,
-so no text is searched again for a match's place.
-
-Null texts count as empty; a text without spans has counts 0 and empty strings.
-Repeated rows give equal results; extra columns are kept.
+their checks and always stay.  Matches that fail their check, and matches of wider
+patterns (addresses with the at sign or dots in brackets or words, defanged quads and
+IPv6, cards with other separators, national and 00 phone numbers), are candidates.  On every candidate
+six labelers vote or abstain: the base pattern, a gazetteer (top-level domains, issuer
+digits, reserved networks, area codes), the shape, cue words before, cue words after,
+and the characters around.  Expectation-maximisation over the counts of vote patterns
+estimates each labeler's reliability and each pattern's probability.  A logistic span
+classifier, which sees none of the votes but only features of the span's form (digits,
+groups, separators, variety, length, start, check digit, neighbours), is trained on these
+probabilities; a candidate is added if the classifier accepts it and at least one
+labeler is for it.
+
+Everything that touches rows is DataFrame operations, without a shuffle of texts.  To
+the driver come counts of vote patterns (at most 3**6 a kind) and, for each combination
+of features, a count and a mean probability; the number of both is fixed by the labelers
+and features, whatever the corpus.  Positions come from the lengths of the texts between
+matches, so no text is searched again for a match's place.
+
+Null texts count as empty; a text without spans has counts 0 and empty strings.  Very
+long texts are searched whole; all patterns take linear time.  Repeated rows give equal
+results, equal probabilities are ties that share one decision.  An empty table gives an
+empty result.  Extra columns are kept, under whatever names; ``base`` and ``spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.common import free_name, scratch, staged
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns in possessive form, which match the same spans
@@ -35,25 +42,45 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"
-PHONE = r"\+[0-9][\x20().0-9-]+[0-9]|(?=[(0-9])(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-HIDDEN_AT = r"(?i)[\[(]at[\])]"
-#: Addresses that write the at sign in brackets.
-HIDDEN_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[a-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[a-z0-9-]++)++"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+
+#: Wider patterns, and cheap tests that keep most texts away from them.
+AT = r"(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)"
+DOT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20|\.)"
+WIDE = {
+    "email": rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++{AT}[a-z0-9-]++(?:{DOT}[a-z0-9-]++)++",
+    "ip": rf"(?i)(?<![0-9a-f:.])(?:[0-9]{{1,3}}(?:\x20?[\[(]\x20?(?:dot|\.)\x20?[\])]\x20?[0-9]{{1,3}}){{3}}|(?:[0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}})(?![0-9a-f:])",
+    "card": r"(?<![0-9])[0-9]{4}(?:([./_]|\x20{2}|\x20-\x20)[0-9]{4})(?:\1[0-9]{4})\1[0-9]{1,7}(?![0-9])",
+    "phone": r"(?<![0-9+.(-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9]{0,2}[\x20/-][0-9\x20/-]{6,14}[0-9]|0[1-9][0-9]{1,4}[\x20/-]{1,3}[0-9]{5,9})(?![0-9.-][0-9]|[0-9])",
+}
+NEEDS = {
+    "email": r"(?i)(?:[\[({]\x20?at\x20?[\])}]|\x20at\x20[a-z0-9-]+(?:\.|\x20?[\[({]|\x20dot\x20))",
+    "ip": r"(?i)[0-9]\x20?[\[(]\x20?(?:dot|\.)|:[0-9a-f]{1,4}:[0-9a-f]{1,4}:",
+    "card": r"[0-9]{4}(?:[./_]|\x20{2}|\x20-\x20)[0-9]{4}",
+    "phone": r"[0-9]{2}\)?[\x20./-]{1,3}[0-9]{3}",
+}
 
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Gazetteers and cue words: fixed values.
-TOP_LEVEL = r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at)$"
-RESERVED_NETWORK = r"^(?:0|10|127|255|192\.168|169\.254)\."
+TOP_LEVEL = r"(?i)[\x20.\])}](?:com|org|net|edu|gov|mil|int|info|biz|name|io|co|me|dev|app|ai|tv|cc|us|ca|mx|br|ar|cl|uk|ie|de|at|ch|fr|be|nl|lu|es|pt|it|gr|pl|cz|sk|hu|ro|bg|se|no|fi|dk|is|ee|lv|lt|ua|ru|tr|il|in|cn|jp|kr|tw|hk|sg|au|nz|za|eu)$"
+RESERVED_NETWORK = r"^(?:0|10|127|22[4-9]|2[345][0-9]|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
+ISSUER = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3(?:0|6|8)[0-9]{12,17}|6(?:0|2|4|5)[0-9]{14,17})$"
 CUES = {
-    "email": r"(?i)(?:mail|contact|write|reach|adres)",
-    "ip": r"(?i)(?:\bip\b|host|server|address|login|from)",
-    "card": r"(?i)(?:card|visa|credit|payment|account|karte|tarjeta|carte)",
-    "phone": r"(?i)(?:phone|tel|call|mobile|fax|contact)",
+    "email": r"(?i)(?:mail|contact|write|reach|adres|correo|courriel|schreib)[^.!?\n]*$",
+    "ip": r"(?i)(?:\bip\b|host|server|address|adresse|login|client|peer|from)[^.!?\n]*$",
+    "card": r"(?i)(?:card|visa|credit|payment|karte|tarjeta|carte|amex)[^.!?\n]*$",
+    "phone": r"(?i)(?:phone|tel|call|ring|mobile|fax|contact|anruf|appel|llam)[^!?\n]*$",
 }
-COUNTER_CUES = r"(?i)(?:token|version|license|isbn|order|serial|hash|key)\W*$"
+COUNTER_CUES = r"(?i)(?:token|version|licen[cs]e|isbn|issn|order|invoice|serial|hash|key|part|build|release|section|article|parcel|ticket|case|sum|total|price)\b[^.!?\n]{0,12}$"
+FOLLOWS = r"(?i)^\W{0,2}(?:\(?(?:home|work|office|mobile|private|direct)\b|ext\b|any ?time|exp\b|cvv\b)"
+COUNTER_FOLLOWS = r"(?i)^(?:\x20?(?:%|eur\b|usd\b|kg\b|km\b|ms\b|px\b|mb\b|items?\b|pages?\b|units?\b|beta\b|alpha\b|rc[0-9])|[/\\=])"
 
-CONTEXT = 40
+CONTEXT, AFTER = 40, 12
+LABELERS = ("pattern", "listed", "shape", "before", "after", "around")
+FEATURES = ("digits", "groups", "separator", "variety", "length", "start", "check", "left", "right")
+MATCH = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
 def spans_by(text: Column, pattern: str) -> Column:
@@ -73,7 +100,6 @@ def _total(numbers: Column) -> Column:
 
 def _placed(m: Column, g: Column) -> Column:
     n = F.size(m)
-    kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
     steps = F.array(F.struct(F.zip_with(F.slice(g, 1, F.greatest(n, F.lit(1))), m, lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0))).alias("s"), F.ceil(F.sqrt(n)).cast("int").alias("b")))
 
     def within(x: Column) -> Column:
@@ -84,11 +110,11 @@ def _placed(m: Column, g: Column) -> Column:
             block = F.floor(i / b).cast("int")
             start = _total(F.slice(t, F.lit(1), block)) + _total(F.slice(s, block * b + 1, i - block * b)) + F.char_length(F.get(g, i))
             match = F.get(m, i)
-            return F.struct(start.alias("start"), (start + F.char_length(match)).alias("end"), match.alias("match"), F.right(F.get(g, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(g, i + 1), F.lit(1)).alias("after"))
+            return F.struct(start.alias("start"), (start + F.char_length(match)).alias("end"), match.alias("match"), F.right(F.get(g, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(g, i + 1), F.lit(AFTER)).alias("after"))
 
         return F.transform(sums, lambda t: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(t, i)))[0]
 
-    return F.when(n > 0, F.transform(steps, within)[0]).otherwise(F.array().cast(kind))
+    return F.when(n > 0, F.transform(steps, within)[0]).otherwise(F.array().cast(MATCH))
 
 
 def digits_of(match: Column) -> Column:
@@ -102,94 +128,116 @@ def luhn(digits: Column) -> Column:
     return _total(doubled) % 10 == 0
 
 
+def _vote(yes: Column, no: Column | None = None) -> Column:
+    out = F.when(yes, 1)
+    return (out if no is None else out.when(no, -1)).otherwise(0)
+
+
+def plain_quad(match: Column) -> Column:
+    """A dotted quad as it would be without its disguise."""
+    return F.regexp_replace(match, r"(?i)\x20?[\[(]\x20?(?:dot|\.)\x20?[\])]\x20?", ".")
+
+
 def _votes(kind: str, x: Column) -> dict[str, Column]:
-    """The labelers' votes on one match: 1 personal data, -1 not, 0 abstains."""
-    match, digits = x["match"], digits_of(x["match"])
-    vote = lambda yes, no=None: F.when(yes, 1).when(no, -1).otherwise(0) if no is not None else F.when(yes, 1).otherwise(0)
+    """The labelers' votes on one candidate: 1 personal data, -1 not, 0 abstains.  On a wide match the pattern abstains."""
+    match, digits, wide = x["match"], digits_of(x["match"]), ~x["base"]
+    many = F.char_length(digits)
     if kind == "email":
-        strict = vote(match.contains("@"))
-        listed = vote(match.rlike(TOP_LEVEL), ~match.rlike(TOP_LEVEL))
+        pattern = _vote(~wide)
+        listed = _vote(match.rlike(TOP_LEVEL), ~match.rlike(TOP_LEVEL))
+        marked, local = match.rlike(r"@|[\[({]|(?i)\x20dot\x20"), match.rlike(r"(?i)^[a-z0-9._%+-]*[a-z]")
+        shape = _vote(marked & local & match.rlike(r"(?i)[a-z]{2,}$"), ~marked | ~local | ~match.rlike(r"(?i)[a-z]$"))
     elif kind == "ip":
-        good = match.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")
-        strict = vote(good, ~good)
-        listed = vote(good & ~match.rlike(RESERVED_NETWORK), match.rlike(RESERVED_NETWORK))
+        quad, six = plain_quad(match), match.contains(":")
+        good = quad.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")
+        pattern = F.when(wide, 0).otherwise(_vote(good, ~good))
+        listed = _vote(good & ~quad.rlike(RESERVED_NETWORK) | match.rlike(r"(?i)^(?:2[0-9a-f]{3}|3[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):"), quad.rlike(RESERVED_NETWORK) | ~good & ~six)
+        shape = _vote(six | good & ~quad.rlike(r"(?:^|\.)0[0-9]"), ~six & (~good | quad.rlike(r"(?:^|\.)0[0-9]")))
     elif kind == "card":
-        good = F.char_length(digits).between(14, 19) & luhn(digits)
-        strict = vote(good, ~good)
-        listed = vote(digits.rlike("^[3-6]"), ~digits.rlike("^[3-6]"))
+        good = many.between(14, 19) & luhn(digits)
+        pattern = F.when(wide, 0).otherwise(_vote(good, ~good))
+        listed = _vote(digits.rlike(ISSUER), ~digits.rlike(ISSUER))
+        shape = _vote(luhn(digits), ~luhn(digits))
     else:
-        good = match.startswith("+") & F.char_length(digits).between(10, 15)
-        strict = vote(good, match.startswith("+") & ~good)
-        listed = vote(match.startswith("+") | digits.rlike("^[2-9]"), digits.rlike("^[01]"))
-    left, right = F.right(x["before"], F.lit(1)), x["after"]
-    around = vote(~left.rlike(r"[\p{L}_=\"]") & ~right.rlike(r"[\p{L}_=\"]"), left.rlike(r"[\p{L}_=\"]") & right.rlike(r"[\p{L}_=\"]"))
+        good = many.between(10, 15)
+        pattern = F.when(wide, 0).otherwise(_vote(good, ~good))
+        listed = _vote(match.rlike(r"^\+[1-9]|^00[1-9]|^0[1-9]") | digits.rlike("^[2-9][0-9]{2}[2-9]"), digits.rlike("^(?:[2-9][0-9]{2}[01]|[2-9]11|1)") & wide)
+        shape = _vote(good & match.rlike(r"[\x20()/-]"), ~good | match.rlike(r"\.[0-9]{3}\."))
+    left, right = F.right(x["before"], F.lit(1)), F.left(x["after"], F.lit(1))
+    glued = r"[\p{L}0-9_=\"#$/]"
     return {
-        "strict": strict,
+        "pattern": pattern,
         "listed": listed,
-        "context": vote(x["before"].rlike(CUES[kind]), x["before"].rlike(COUNTER_CUES)),
-        "around": around,
+        "shape": shape,
+        "before": F.when(x["before"].rlike(COUNTER_CUES), -1).otherwise(_vote(x["before"].rlike(CUES[kind]))),
+        "after": _vote(x["after"].rlike(FOLLOWS), x["after"].rlike(COUNTER_FOLLOWS)),
+        "around": _vote(~left.rlike(glued) & ~right.rlike(glued), left.rlike(glued) | right.rlike(glued)),
     }
 
 
+def _step(c: Column, *limits: int) -> Column:
+    """How many of the ascending ``limits`` a number reaches."""
+    return sum(((c >= limit).cast("int") for limit in limits), F.lit(0))
+
+
 def _features(x: Column) -> dict[str, Column]:
-    """Small discrete features of a match for the span classifier."""
-    digits = F.char_length(digits_of(x["match"]))
-    neighbour = lambda c: F.when(c == "", 0).when(c.rlike(r"[\s.,;:!?]"), 1).otherwise(2)
+    """Small discrete features of a candidate's form for the span classifier."""
+    match, digits = x["match"], digits_of(x["match"])
+    neighbour = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[.,;:!?()]"), 2).otherwise(3)
+    groups = F.size(F.regexp_extract_all(match, F.lit(r"[A-Za-z0-9]+"), F.lit(0)))
+    start = F.when(match.startswith("+"), 10).when(match.startswith("("), 11).otherwise(F.coalesce(F.left(match, F.lit(1)).try_cast("int"), F.lit(12)))
+    separator = F.when(match.rlike(r"[\[{]|\([a-z.]"), 4).when(match.contains("@"), 5).when(match.contains(":"), 6).when(match.rlike(r"\x20"), 3).when(match.contains("."), 2).when(match.rlike("[^0-9A-Za-z]"), 1).otherwise(0)
     return {
-        "digits": F.when(digits < 10, 0).when(digits < 13, 1).when(digits < 16, 2).when(digits == 16, 3).otherwise(4),
-        "parted": x["match"].rlike(r"[\x20().-]").cast("int"),
+        "digits": _step(F.char_length(digits), 1, 8, 10, 11, 12, 13, 14, 16, 17, 20),
+        "groups": _step(groups, 2, 3, 4, 5, 6, 8),
+        "separator": separator,
+        "variety": _step(F.size(F.array_distinct(F.split(digits, "(?!^)"))), 3, 5),
+        "length": _step(F.char_length(match), 8, 12, 16, 24, 40),
+        "start": start,
+        "check": luhn(digits),
         "left": neighbour(F.right(x["before"], F.lit(1))),
-        "right": neighbour(x["after"]),
+        "right": neighbour(F.left(x["after"], F.lit(1))),
     }
 
 
-VOTES = ("strict", "listed", "context", "around")
-FEATURES = ("digits", "parted", "left", "right")
-
-
 def _labelled(kind: str, spans: Column) -> Column:
     def label(x: Column) -> Column:
-        return F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            F.struct(*[v.cast("int").alias(k) for k, v in _votes(kind, x).items()]).alias("votes"),
-            F.struct(*[v.cast("int").alias(k) for k, v in _features(x).items()]).alias("features"),
-        )
+        votes = F.struct(*[v.cast("int").alias(k) for k, v in _votes(kind, x).items()])
+        features = F.struct(*[v.cast("int").alias(k) for k, v in _features(x).items()])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), votes.alias("votes"), features.alias("features"))
 
     return F.transform(spans, label)
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column for each kind: its candidate spans with votes and features.
-
-    Cheap tests for characters that a kind needs keep most texts away from its pattern.
-    """
+def candidates(docs: DataFrame, names: dict[str, str], text: str = "text") -> DataFrame:
+    """``docs`` with a column for each kind, named by ``names``: its candidates with votes and features."""
+    base, wide = ({k: free_name(docs, f"{names[k]}_{w}") for k in KINDS} for w in ("base", "wide"))
+    body, digit = free_name(docs, "__pii_text"), free_name(docs, "__pii_digit")
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
-    marked = docs.withColumns({"__text": t, "__digit": t.rlike("[0-9]")})
-    body, digit = F.col("__text"), F.col("__digit")
-    found = marked.withColumns(
-        {
-            "__email": F.when(body.contains("@"), spans_by(body, EMAIL)).otherwise(none),
-            "__hidden": F.when(body.rlike(HIDDEN_AT), spans_by(body, HIDDEN_EMAIL)).otherwise(none),
-            "__ip": F.when(digit & body.contains("."), spans_by(body, IP)).otherwise(none),
-            "__card": F.when(digit, spans_by(body, CARD)).otherwise(none),
-            "__phone": F.when(digit, spans_by(body, PHONE)).otherwise(none),
-        }
-    )
-    plain = F.filter("__hidden", lambda h: ~F.exists("__email", lambda e: (e["start"] < h["end"]) & (h["start"] < e["end"])))
-    found = found.withColumn("__email", F.when(F.size("__hidden") > 0, F.concat("__email", plain)).otherwise(F.col("__email")))
-    return found.withColumns({f"__{k}": _labelled(k, F.col(f"__{k}")) for k in KINDS}).drop("__text", "__digit", "__hidden")
+    marked = docs.withColumns({body: t, digit: t.rlike("[0-9]")})
+    b, d, none = F.col(body), F.col(digit), F.array().cast(MATCH)
+    gates = {"email": b.contains("@"), "ip": d & b.contains("."), "card": d, "phone": d & b.contains("+")}
+    found = marked.withColumns({base[k]: F.when(gates[k], spans_by(b, BASE[k])).otherwise(none) for k in KINDS})
+    found = found.withColumns({wide[k]: F.when((d if k != "email" else F.lit(True)) & b.rlike(NEEDS[k]), spans_by(b, WIDE[k])).otherwise(none) for k in KINDS})
+
+    def both(k: str) -> Column:
+        own = F.transform(base[k], lambda x: x.withField("base", F.lit(True)))
+        apart = F.filter(wide[k], lambda w: ~F.exists(base[k], lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"])))
+        more = F.transform(apart, lambda x: x.withField("base", F.lit(False)))
+        return F.when(F.size(wide[k]) > 0, F.concat(own, more)).otherwise(own)
+
+    merged = found.withColumns({names[k]: both(k) for k in KINDS}).drop(*base.values(), *wide.values(), body, digit)
+    return merged.withColumns({names[k]: _labelled(k, F.col(names[k])) for k in KINDS})
 
 
 def estimate(counts: dict[tuple[int, ...], float], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Probability that a span with a vote pattern is personal data, by
     expectation-maximisation over the labelers' confusion tables (two classes,
-    three votes), started from the majority of the votes."""
+    three votes, abstaining is one), started from the majority of the votes."""
     belief = {v: (sum(x > 0 for x in v) + 0.5) / (sum(x != 0 for x in v) + 1) for v in counts}
     for _ in range(rounds):
         size = [1.0, 1.0]
-        table = [[defaultdict(lambda: 1.0) for _ in VOTES] for _ in range(2)]
+        table = [[defaultdict(lambda: 1.0) for _ in LABELERS] for _ in range(2)]
         for v, n in counts.items():
             for y, p in ((1, belief[v]), (0, 1 - belief[v])):
                 size[y] += n * p
@@ -203,7 +251,7 @@ def estimate(counts: dict[tuple[int, ...], float], rounds: int = 60) -> dict[tup
     return belief
 
 
-def fit_classifier(rows: list[tuple[tuple[str, ...], float, float]], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> dict[str, float]:
+def fit_classifier(rows: list[tuple[tuple[str, ...], float, float]], rounds: int = 400, rate: float = 1.0, ridge: float = 1e-4) -> dict[str, float]:
     """Logistic weights of named binary features from (features, probability, count)."""
     weight: dict[str, float] = defaultdict(float)
     total = sum(n for *_, n in rows) or 1.0
@@ -220,7 +268,7 @@ def fit_classifier(rows: list[tuple[tuple[str, ...], float, float]], rounds: int
 
 
 class SpanClassifier:
-    """Weights by kind, as a column expression."""
+    """Weights of features by kind, as a column expression."""
 
     def __init__(self, weights: dict[str, dict[str, float]], threshold: float = 0.9):
         self.weights, self.cut = weights, math.log(threshold / (1 - threshold))
@@ -231,48 +279,50 @@ class SpanClassifier:
             return F.lit(False)
         z = F.lit(own.get("bias", 0.0))
         for name, w in sorted(own.items()):
-            group, _, value = name.partition("=")
+            feature, _, value = name.partition("=")
             if value:
-                part = x["votes"][group] if group in VOTES else x["features"][group]
-                z = z + F.when(part == int(value), w).otherwise(0.0)
-        return z > self.cut
+                z = z + F.when(x["features"][feature] == int(value), w).otherwise(0.0)
+        return (z > self.cut) & F.greatest(*[x["votes"][v] for v in LABELERS]).eqNullSafe(F.lit(1))
 
 
-def train(found: DataFrame, threshold: float = 0.9) -> SpanClassifier:
+def train(found: DataFrame, names: dict[str, str], threshold: float = 0.9) -> SpanClassifier:
     """Estimate the labelers' reliabilities on all candidates of ``found`` and fit the classifier."""
 
     def tagged(kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["votes"].alias("votes"), x["features"].alias("features")))
+        return F.transform(names[kind], lambda x: F.struct(F.lit(kind).alias("kind"), x["votes"].alias("votes"), x["features"].alias("features")))
 
     each = F.flatten(F.array(*map(tagged, KINDS)))
-    spans = found.select(F.explode(each).alias("x")).select("x.kind", *[F.col(f"x.votes.{v}") for v in VOTES], *[F.col(f"x.features.{f}") for f in FEATURES])
-    patterns = spans.groupBy(*spans.columns).count().collect()
-    weights = {}
-    for kind in KINDS:
-        own = [r for r in patterns if r["kind"] == kind]
-        counts: dict[tuple[int, ...], float] = defaultdict(float)
-        for r in own:
-            counts[tuple(r[v] for v in VOTES)] += r["count"]
-        belief = estimate(counts)
-        rows = [(("bias", *(f"{f}={r[f]}" for f in FEATURES), *(f"{v}={r[v]}" for v in VOTES)), belief[tuple(r[v] for v in VOTES)], float(r["count"])) for r in own]
-        weights[kind] = fit_classifier(sorted(rows))
-    return SpanClassifier(weights, threshold)
+    spans = found.select(F.explode(each).alias("x")).select("x.kind", *[F.col(f"x.votes.{v}") for v in LABELERS], *[F.col(f"x.features.{f}") for f in FEATURES])
+    patterns = staged(spans.groupBy(*spans.columns).count(), "pii-patterns")
+    voted: dict[str, dict[tuple[int, ...], float]] = {k: {} for k in KINDS}
+    for r in patterns.groupBy("kind", *LABELERS).agg(F.sum("count").alias("n")).collect():
+        voted[r["kind"]][tuple(r[v] for v in LABELERS)] = float(r["n"])
+    belief = {k: estimate(v) for k, v in voted.items()}
+    known = [(F.lit("|".join(map(str, (k, *v)))), F.lit(p)) for k in KINDS for v, p in sorted(belief[k].items())]
+    table = F.create_map(*[x for pair in known for x in pair]) if known else F.create_map().cast("map<string,double>")
+    weighed = patterns.withColumn("p", F.element_at(table, F.concat_ws("|", "kind", *LABELERS)) * F.col("count"))
+    rows: dict[str, list] = {k: [] for k in KINDS}
+    for r in weighed.groupBy("kind", *FEATURES).agg(F.sum("count").alias("n"), F.sum("p").alias("p")).collect():
+        rows[r["kind"]].append((("bias", *(f"{f}={r[f]}" for f in FEATURES)), r["p"] / r["n"], float(r["n"])))
+    return SpanClassifier({k: fit_classifier(sorted(v)) for k, v in rows.items() if v}, threshold)
 
 
 def personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind number, end),
     sorted, of the base spans and of all spans; columns with these names are replaced."""
     docs = docs.drop("base", "spans")
-    found = candidates(docs, text)
-    classifier = train(found, threshold)
+    names = {k: free_name(docs, f"__pii_{k}") for k in KINDS}
+    found = candidates(docs, names, text)
+    with scratch(docs.sparkSession):
+        classifier = train(found, names, threshold)
 
     def chosen(k: int, kind: str, base: bool) -> Column:
-        strict = lambda x: x["votes"]["strict"] == 1
-        keep = F.filter(f"__{kind}", strict if base else lambda x: strict(x) | classifier.accepts(kind, x))
+        strict = lambda x: x["base"] & (x["votes"]["pattern"] == 1)
+        keep = F.filter(names[kind], strict if base else lambda x: strict(x) | classifier.accepts(kind, x))
         return F.transform(keep, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
 
     both = {name: F.array_sort(F.concat(*[chosen(i, k, name == "base") for i, k in enumerate(KINDS)])) for name in ("base", "spans")}
-    return found.withColumns(both).drop(*[f"__{k}" for k in KINDS])
+    return found.withColumns(both).drop(*names.values())
 
 
 def spans_text(spans: Column) -> Column:
