@@ -1,23 +1,27 @@
 """Near-duplicate classes by DartMinHash and banded joining (operator 2).
 
-A text is the set (or, by choice, multiset) of its shingles of five words; words
-are split at ASCII white space.  DartMinHash throws hashed darts at the plane of
+A text is the weighted set of its shingles of five words, each weighing as often as it
+occurs (or, by choice, 1); words are split at ASCII white space.  DartMinHash throws hashed darts at the plane of
 weight and rank above every shingle; those under the shingle's weight count, the
 earliest one for each coordinate is the signature, and two texts agree in a
 coordinate with the probability of their (weighted) Jaccard similarity.  Bands of
 coordinates are the join keys.
 
-Equal texts are one node from the start.  Within a band's bucket nodes aren't
-paired with each other but with the bucket's hub, its most central node, and each
-pair is verified on the whole texts.  What a hub doesn't settle is settled exactly:
-the nodes around a hub that are still in different classes are compared in blocks
-of bounded size, and a block hands on a spanning forest only.  So every pair that
-shares a bucket is either in one class or was compared, and no step makes all
+Equal texts are one node, named by 128 bits, from the start.  Within a band's bucket
+nodes aren't paired with each other but with the bucket's hub, its most central node,
+and each pair is verified on the whole texts.  Around a hub that leaves nodes in other
+classes a second hub is chosen among these.  What both don't settle is settled exactly:
+the nodes outside the hub's largest class are compared in blocks of bounded size with
+each other and with that class, and a block hands on a spanning forest only.  So every
+pair that shares a bucket is either in one class or was compared, and no step makes all
 pairs of a group.  Classes are the connected components of the verified links.
 
 Null texts count as empty.  Texts without words are only copies of equal texts;
-texts under five words are one shingle.  The class id is the least id in the class
-(null if all are null).  Repeated rows share a class; extra columns are ignored.
+texts under five words are one shingle.  Very long texts are cut into words piece by
+piece and signed whole.  The class id is the least id in the class
+(null if all are null).  Repeated rows share a class, ties between hubs go to the
+greater hash; extra columns are ignored, whatever their names.  An empty table gives an
+empty result.
 With 20 bands of 5 coordinates a pair of similarity 0.8 shares a bucket with
 probability 0.9996.
 """
@@ -28,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import free_name, hash128, staged
+from quernel.llm.common import free_name, hash128, scratch, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -150,25 +154,30 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def signatures(docs: DataFrame, id_column: str, text: str, multiset: bool, bands: int, rows: int) -> DataFrame:
-    """(id, a, b, n, bands) of every row: text hash, number of shingles, band keys (empty without words)."""
+    """(id, node, n, bands) of every row: text hash, weight of all shingles, band keys (empty without words)."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), hash128(body).alias("t"), body.cast("binary").alias("text"))
+    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_hash(body).alias("node"), body.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sizes, keys = [], []
-                for cell in part.column(3):
+                for cell in part.column(2):
                     h, weight = shingles(cell.as_py(), multiset)
                     sizes.append(int(weight.sum()))
                     keys.append(band_keys(dart_minhash(h, weight, bands * rows), bands, rows) if len(h) else np.zeros(0, np.int64))
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes, pa.int64()), lists], names=["id", "a", "b", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sizes, pa.int64()), lists], names=["id", "node", "n", "bands"])
 
-    return source.select("id", "t.a", "t.b", "text").mapInArrow(run, "id long, a long, b long, n long, bands array<long>")
+    return source.mapInArrow(run, "id long, node binary, n long, bands array<long>")
 
 
 def _similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], least: float) -> bool:
@@ -197,9 +206,9 @@ def verified(pairs: DataFrame, texts: DataFrame, multiset: bool, least: float) -
                 if _similar(shingles(text, multiset), known, least):
                     nodes.append(node)
                     hubs.append(hub)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "hub": pa.array(hubs, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "hub": pa.array(hubs, pa.binary())})
 
-    return both.mapInArrow(run, "node long, hub long")
+    return both.mapInArrow(run, "node binary, hub binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,11 +229,11 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _forest(texts: list[bytes], nodes: np.ndarray, comps: np.ndarray, left: np.ndarray, cross: np.ndarray | None, multiset: bool, least: float) -> list[tuple[int, int]]:
-    """Links between classes among the texts of a block, as a forest.
+def _forest(texts: list[bytes], nodes: list[bytes], comps: list[bytes], side: np.ndarray, multiset: bool, least: float) -> list[tuple[bytes, bytes]]:
+    """Links between classes among the texts of a pair of blocks, as a forest.
 
-    ``left`` marks what its hub didn't settle: a pair needs one of these.  ``cross``
-    gives the side of each text when two blocks meet, and then only pairs across count.
+    ``side`` is 0 and 1 for the two blocks, whose pairs across count, or 0 throughout
+    for a block with itself.
     """
     own = [shingles(t, multiset) for t in texts]
     size = np.array([w.sum() for _, w in own])
@@ -241,103 +250,149 @@ def _forest(texts: list[bytes], nodes: np.ndarray, comps: np.ndarray, left: np.n
     shared = np.zeros((count, count))
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         at = slice(*np.searchsorted(column, [low, low + COLUMNS]))
-        for unit in range(int(weight[at].max())):  # a multiset's common part, one unit of weight at a time
-            m = np.zeros((count, COLUMNS), np.float32)
-            m[row[at], column[at] - low] = weight[at] > unit
-            shared += m @ m.T
+        _add_shared(shared, row[at], column[at] - low, weight[at])
     total = size[:, None] + size[None, :] - shared
-    linked = (shared >= least * total - 1e-9) & (total > 0) & (comps[:, None] != comps[None, :]) & (left[:, None] | left[None, :])
-    if cross is not None:
-        linked &= cross[:, None] != cross[None, :]
-    root = {int(c): int(c) for c in comps}
+    _, kind = np.unique(np.array(comps, object), return_inverse=True)
+    linked = (shared >= least * total - 1e-9) & (total > 0) & (kind[:, None] != kind[None, :])
+    if side.any():
+        linked &= side[:, None] != side[None, :]
+    root = {c: c for c in comps}
 
-    def find(c: int) -> int:
+    def find(c: bytes) -> bytes:
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
     out = []
     for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = find(int(comps[i])), find(int(comps[j]))
+        a, b = find(comps[i]), find(comps[j])
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append((int(nodes[i]), int(nodes[j])))
+            out.append((nodes[i], nodes[j]))
     return out
 
 
-def unsettled_links(pairs: DataFrame, comp: DataFrame, texts: DataFrame, multiset: bool, least: float) -> DataFrame:
-    """Links (node, hub) between nodes around a hub that are still in different classes."""
+def _add_shared(shared: np.ndarray, row: np.ndarray, column: np.ndarray, weight: np.ndarray) -> None:
+    """Add the common part, the sum of the lesser weights, of every pair of rows over up to ``COLUMNS`` shingles.
+
+    min(v, w) is summed in steps between the distinct weights that occur, of which texts have few.
+    """
+    before = 0.0
+    for step in np.unique(weight):
+        m = np.zeros((len(shared), COLUMNS), np.float32)
+        m[row[weight >= step], column[weight >= step]] = 1
+        shared += (step - before) * (m @ m.T)
+        before = step
+
+
+def _around(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(hub, node, comp, open) of every node around a hub, the hub included, where these are in different classes;
+    ``open`` are the nodes outside the hub's largest class."""
     label = staged(comp, "neardup-comp")
-    named = pairs.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    hubs = label.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    around = staged(named.join(hubs, "hub", "left").withColumn("open", F.col("comp") != F.coalesce("hub_comp", "hub")).select("hub", "node", "comp", "open"), "neardup-around")
-    groups = around.groupBy("hub").agg(F.count("*").alias("size"), F.max("open").alias("open"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    groups = staged(groups.where("open AND low <> high").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "neardup-open")
-    member = around.join(groups, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    full = member.join(texts.hint("merge"), "node").select("hub", "i", "j", "node", "comp", "open", "block", "text")
+    members = pairs.select("hub", "node").unionByName(pairs.select("hub", F.col("hub").alias("node")).dropDuplicates())
+    named = staged(members.join(label, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp")), "neardup-named")
+    classes = named.groupBy("hub", "comp").agg(F.count("*").alias("size"))
+    main = classes.groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("main"), F.count("*").alias("classes"))
+    main = staged(main.where("classes > 1").select("hub", F.col("main.comp").alias("main")), "neardup-open")
+    return named.join(main, "hub").select("hub", "node", "comp", (F.col("comp") != F.col("main")).alias("open"))
+
+
+def second_hubs(around: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, hub): around each hub the heaviest open node as another hub, and all nodes of other classes that its weight allows."""
+    weighed = staged(around.join(nodes.select("node", "n"), "node"), "neardup-weighed")
+    chosen = weighed.where("open").groupBy("hub").agg(F.max(F.struct("n", "node", "comp")).alias("h"))
+    chosen = staged(chosen.select("hub", F.col("h.node").alias("next"), F.col("h.n").alias("next_n"), F.col("h.comp").alias("next_comp")), "neardup-next")
+    fits = F.least("n", "next_n") >= F.lit(similarity) * F.greatest("n", "next_n") - 1e-9
+    return weighed.join(chosen, "hub").where(fits & (F.col("comp") != F.col("next_comp"))).select("node", F.col("next").alias("hub")).dropDuplicates()
+
+
+def unsettled_links(around: DataFrame, texts: DataFrame, multiset: bool, least: float) -> DataFrame:
+    """Links (node, hub) between nodes around a hub that are still in different classes.
+
+    The open nodes around a hub are cut into blocks, and so are those of its largest
+    class.  Open blocks meet each other and the blocks of the largest class; within
+    that class nothing is compared.  A text is copied once for each block that it meets:
+    those of the largest class as often as there are open blocks, which is mostly once.
+    """
+    around = staged(around, "neardup-around")
+    sizes = around.groupBy("hub").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(k) for k, c in (("opens", F.col("open")), ("mains", ~F.col("open")))])
+    sizes = staged(sizes, "neardup-sizes")
+    member = around.join(sizes, "hub")
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("opens")).otherwise(F.col("mains"))).cast("int")
+    # Blocks of open nodes are numbered from 0, those of the largest class after them.
+    member = member.withColumn("block", F.when(F.col("open"), block).otherwise(block + F.col("opens")))
+    others = F.sequence(F.lit(0), F.when(F.col("open"), F.col("opens") + F.col("mains")).otherwise(F.col("opens")) - 1)
+    member = member.withColumn("other", F.explode(others))
+    member = member.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "opens", "mains")
+    full = member.join(texts.hint("merge"), "node").select("hub", "i", "j", "node", "comp", "block", "text")
 
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        nodes, comps, left = (t.column(c).to_numpy() for c in ("node", "comp", "open"))
-        found: list[tuple[int, int]] = []
-        if left.any():
-            cross = t.column("block").to_numpy() if i != j else None
-            found = _forest(t.column("text").to_pylist(), nodes, comps, left.astype(bool), cross, multiset, least)
-        return pa.table({"node": pa.array([a for a, _ in found], pa.int64()), "hub": pa.array([b for _, b in found], pa.int64())})
-
-    return full.groupBy("hub", "i", "j").applyInArrow(run, "node long, hub long")
-
-
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, multiset: bool = False, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, a, b, class_node) of every row; a and b are the text's hash,
-    class_node names the class also where ids are null."""
-    signed = staged(signatures(docs, id_column, text, multiset, bands, rows), "neardup-signed")
-    nodes = staged(signed.groupBy("a").agg(F.min("id").alias("least"), F.min_by(F.struct("id", "b", "n", "bands"), F.struct(F.col("id").isNull(), "id", "b")).alias("x")).select(F.col("a").alias("node"), "least", F.col("x.id").alias("id"), F.col("x.b").alias("b"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands")), "neardup-nodes")
-
-    keyed = staged(nodes.select("node", "n", F.explode("bands").alias("key")), "neardup-keys")
-    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "neardup-buckets")
-    inside = staged(keyed.join(shared, "key"), "neardup-inside")
-    central = inside.groupBy("node").agg(F.sum("size").alias("central"))
-    hubs = inside.join(staged(central, "neardup-central"), "node").groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("h"))
-    hubs = staged(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "neardup-hubs")
-    pairs = staged(inside.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.first("n").alias("n"), F.first("hub_n").alias("hub_n")), "neardup-pairs")
-
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).dropDuplicates()
-    wanted = staged(nodes.select("node", "id", "b").join(wanted, "node"), "neardup-wanted")
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), hash128(body).alias("t"), body.cast("binary").alias("text"))
-    source = source.select("id", F.col("t.a").alias("node"), "text")
-    known = wanted.select(F.col("id").alias("known"), F.col("node").alias("own")).hint("merge")  # grows with the documents: never broadcast
-    match = (source["node"] == known["own"]) & source["id"].eqNullSafe(known["known"])
-    texts = staged(source.join(known, match, "left_semi").select("node", "text").dropDuplicates(["node"]), "neardup-texts")
-
-    fitting = pairs.where(F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - 1e-9)
-    links = staged(verified(fitting, texts, multiset, similarity), "neardup-links")
-    comp = components(links)
-    more = staged(unsettled_links(pairs, comp, texts, multiset, similarity), "neardup-more")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
-
-    joined = nodes.select("node", "least").join(comp, "node", "left").withColumn("class_node", F.coalesce("comp", "node"))
-    joined = staged(joined.select("node", "least", "class_node"), "neardup-joined")
-    least = staged(joined.groupBy("class_node").agg(F.min("least").alias("class_id")), "neardup-least")
-    classes = staged(joined.select("node", "class_node").join(least, "class_node"), "neardup-classes")
-    return signed.select("id", "a", "b").join(classes, F.col("a") == F.col("node")).select(F.col("id").alias(id_column), "class_id", "a", "b", "class_node")
+        nodes, comps = t.column("node").to_pylist(), t.column("comp").to_pylist()
+        side = (t.column("block").to_numpy() != t.column("i")[0].as_py()).astype(int)
+        found = _forest(t.column("text").to_pylist(), nodes, comps, side, multiset, least)
+        return pa.table({"node": pa.array([a for a, _ in found], pa.binary()), "hub": pa.array([b for _, b in found], pa.binary())})
+
+    return full.groupBy("hub", "i", "j").applyInArrow(run, "node binary, hub binary")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, multiset: bool = True, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, class_id, node, class_node) of every row; node names the text, class_node
+    the class also where ids are null."""
+    with scratch(docs.sparkSession):
+        signed = staged(signatures(docs, id_column, text, multiset, bands, rows), "neardup-signed", kept=True)
+        nodes = signed.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        nodes = staged(nodes, "neardup-nodes")
+
+        keyed = staged(nodes.select("node", "n", F.explode("bands").alias("key")), "neardup-keys")
+        shared = staged(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "neardup-buckets")
+        inside = staged(keyed.join(shared, "key"), "neardup-inside")
+        central = inside.groupBy("node").agg(F.sum("size").alias("central"))
+        hubs = inside.join(staged(central, "neardup-central"), "node").groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("h"))
+        hubs = staged(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "neardup-hubs")
+        pairs = staged(inside.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.first("n").alias("n"), F.first("hub_n").alias("hub_n")), "neardup-pairs")
+
+        wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).dropDuplicates()
+        # Of equal texts one row is sent on: the one with the least id, or any if that id is repeated.
+        wanted = staged(nodes.select("node", "least").join(wanted, "node"), "neardup-wanted")
+        body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+        source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_hash(body).alias("node"), body.cast("binary").alias("text"))
+        known = wanted.select(F.col("least").alias("known"), F.col("node").alias("own")).hint("merge")  # grows with the documents: never broadcast
+        match = (source["node"] == known["own"]) & source["id"].eqNullSafe(known["known"])
+        texts = staged(source.join(known, match, "left_semi").select("node", "text").dropDuplicates(["node"]), "neardup-texts")
+
+        fitting = pairs.where(F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - 1e-9)
+        links = staged(verified(fitting, texts, multiset, similarity), "neardup-links")
+        comp = components(links)
+        around = _around(pairs, comp)
+        again = second_hubs(around, nodes, similarity)
+        more = staged(verified(again, texts, multiset, similarity), "neardup-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links)
+            around = _around(pairs, comp)
+        more = staged(unsettled_links(around, texts, multiset, similarity), "neardup-more")
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
+
+        joined = nodes.select("node", "least").join(comp, "node", "left").withColumn("class_node", F.coalesce("comp", "node"))
+        joined = staged(joined.select("node", "least", "class_node"), "neardup-joined")
+        least = staged(joined.groupBy("class_node").agg(F.min("least").alias("class_id")), "neardup-least")
+        classes = staged(joined.select("node", "class_node").join(least, "class_node"), "neardup-classes", kept=True)
+        return signed.select("id", "node").join(classes, "node").select(F.col("id").alias(id_column), "class_id", "node", "class_node")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the one with the least id (a null
-    id comes last), then the least text hash; of equal rows one stays."""
+    id comes last), then the least text hash; of rows that share both the one whose
+    other columns hash least, so that reruns keep the same row."""
     found = near_duplicates(docs, id_column, text, **options)
-    order = F.struct(F.col(id_column).isNull().alias("last"), F.col(id_column).alias("id"), F.col("a").alias("a"), F.col("b").alias("b"))
-    winners = found.groupBy("class_node").agg(F.min(order).alias("w")).select("w.id", "w.a", "w.b")
-    winners = staged(winners.select(hash128(F.col("id")).alias("i"), "a", "b").select(F.col("i.a").alias("i"), "a", "b"), "neardup-winners")
-    key = free_name(docs, "__key")
+    order = F.struct(F.col(id_column).isNull().alias("last"), F.col(id_column).alias("id"), F.col("node").alias("node"))
+    winners = found.groupBy("class_node").agg(F.min(order).alias("w")).select("w.id", "w.node")
+    winners = staged(winners.select(hash128(F.col("id")).getField("a").alias("i"), "node"), "neardup-winners", kept=True)
+    keys, place, rest = [free_name(docs, "__id"), free_name(docs, "__node")], free_name(docs, "__place"), free_name(docs, "__rest")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    marked = docs.withColumn(key, F.struct(hash128(F.col(f"`{id_column}`").cast("long")).getField("a").alias("i"), hash128(body).alias("t")))
-    marked = marked.withColumns({f"{key}_i": F.col(f"{key}.i"), f"{key}_a": F.col(f"{key}.t.a"), f"{key}_b": F.col(f"{key}.t.b")}).drop(key)
-    keys = [f"{key}_i", f"{key}_a", f"{key}_b"]
-    winners = winners.toDF(*keys).hint("merge")
-    return marked.join(winners, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    scalar = [F.col(f"`{c}`").cast("string") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "array", "struct", "variant")]
+    marked = docs.withColumns({keys[0]: hash128(F.col(f"`{id_column}`").cast("long")).getField("a"), keys[1]: text_hash(body), rest: hash128(*scalar)})
+    kept = marked.join(winners.toDF(*keys).hint("merge"), keys, "left_semi")
+    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(rest)))
+    return ranked.where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

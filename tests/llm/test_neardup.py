@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -7,15 +7,15 @@ import pytest
 from quernel.llm import neardup as nd
 
 
-def shingle_set(text):
+def shingle_bag(text):
     w = (text or "").split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute(rows):
     """Class of each text by comparing all pairs."""
     texts = sorted({t or "" for _, t in rows})
-    sets = [shingle_set(t) for t in texts]
+    bags = [shingle_bag(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -25,8 +25,8 @@ def brute(rows):
 
     for i in range(len(texts)):
         for j in range(i):
-            shared = len(sets[i] & sets[j])
-            if shared and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+            shared = (bags[i] & bags[j]).total()
+            if shared and shared >= 0.8 * (bags[i].total() + bags[j].total() - shared):
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for k, t in rows:
@@ -50,6 +50,9 @@ def planted(words):
     for i in range(6):
         texts += copies_of(texts[i], 4, [1, 2], i)
     texts += copies_of(words(999, 150), 320, [0, 1, 2, 3, 4, 5, 6, 8], 5)  # a group whose members are not all alike
+    for i in range(8):  # lines that are repeated weigh as often as they occur
+        line = words(500 + i, 12)
+        texts += ["\n".join([line] * n + [texts[i]]) for n in (3, 12, 13, 14, 40)]
     texts += texts[:30]
     return list(enumerate(texts))
 
@@ -71,11 +74,20 @@ def test_signature_estimates_weighted_similarity():
     assert abs((one == two).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
 
 
-def test_multiset_option(spark):
+def test_weights_are_counts_or_one(spark):
     base = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, base), (2, " ".join([base] * 4)), (3, " ".join([base] * 4) + " tail")], "doc_id long, text string")
-    classes = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs, multiset=True).collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()}
     assert classes == {1: 1, 2: 2, 3: 2}
+    classes = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs, multiset=False, similarity=0.6).collect()}
+    assert classes == {1: 1, 2: 1, 3: 1}
+
+
+def test_the_same_row_stays_on_every_run(spark):
+    rows = [(1, "same id and text", s, s * 3) for s in "dcba"] + [(2, "same id and text", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kept = [nd.drop_near_duplicates(docs.repartition(n)).collect() for n in (1, 3)]
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0]["doc_id"] == 1
 
 
 def test_edges(odd_docs, odd_rows, no_docs):
