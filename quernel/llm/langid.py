@@ -4,13 +4,15 @@ A sparse multinomial logistic regression on TF-IDF character n-grams.  N-grams o
 one to three characters are hashed into a fixed number of features.  Document
 frequencies come from every training row of the corpus, counted on the executors;
 the classifier itself is fitted on a bounded sample of labelled rows
-(``per_language`` rows a language), online, with follow-the-regularised-leader and
+(``per_language`` rows a language, ``most_rows`` in all), online, with follow-the-regularised-leader and
 elastic-net penalties, which leaves most weights exactly zero.  A temperature is
 then fitted on rows kept out of the fit, so that scores are calibrated.
 
 Texts that are null or have no letter get ``und`` and score 0.  Repeated rows are
 predicted alike; ties between languages go to the one that sorts first.  With no
-training row every text is ``und``.  Only the text is an input of a prediction.
+training row, as in an empty table, every text is ``und``.  Very long texts are read
+whole, in pieces that carry n-grams over.  Only the text is an input of a prediction;
+extra columns are kept by :func:`predict`, which replaces ``lang_pred`` and ``score``.
 """
 
 from __future__ import annotations
@@ -32,24 +34,32 @@ CHUNK = 1 << 20
 UNKNOWN = "und"
 
 
-def features_of(text: str) -> np.ndarray:
-    """The feature of each n-gram occurrence of a text, lower-cased, with every
-    character that isn't a letter read as a space."""
-    cleaned = "".join(c if c.isalpha() else " " for c in text.lower()) if not text.isalpha() else text.lower()
-    code = np.frombuffer(f" {cleaned} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """The code points of a lower-cased text between two spaces, every character that isn't a letter read as a
+    space, in pieces of ``CHUNK`` that each end with the start of the next one, so that no n-gram is lost between them."""
+    low = text.lower()
+    for at in range(0, len(low) + 2, CHUNK):
+        piece = low[max(0, at - 1) : at + CHUNK + len(MULTIPLIERS) - 2]
+        cleaned = piece if piece.isalpha() else "".join(c if c.isalpha() else " " for c in piece)
+        padded = " " * (at == 0) + cleaned + " " * (at + CHUNK + len(MULTIPLIERS) - 2 > len(low))
+        yield np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _features(code: np.ndarray) -> np.ndarray:
     out, h = [], np.zeros(len(code), np.uint32)
     for n, multiplier in enumerate(MULTIPLIERS):
         h = (h[: len(code) - n] * np.uint32(31 * 2 + 2 * n + 1) + code[n:]) * np.uint32(multiplier)
         h ^= h >> np.uint32(15)
-        out.append(h >> np.uint32(32 - FEATURE_BITS))
+        out.append(h[:CHUNK] >> np.uint32(32 - FEATURE_BITS))
     return np.concatenate(out)
 
 
 def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a whole text and how often each occurs; long texts go in chunks."""
-    total = np.zeros(FEATURES, np.int64)
-    for at in range(0, max(1, len(text)), CHUNK):
-        total += np.bincount(features_of(text[at : at + CHUNK]), minlength=FEATURES)
+    """Features of a whole text and how often each occurs."""
+    parts = list(map(_features, _codes(text)))
+    total = np.bincount(parts[0], minlength=FEATURES)
+    for part in parts[1:]:
+        total += np.bincount(part, minlength=FEATURES)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -155,11 +165,12 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return total[:FEATURES], int(total[FEATURES])
 
 
-def train(labelled: DataFrame, key: Column, text: str, lang: str, per_language: int = 1000, held_back: int = 5) -> LanguageModel:
+def train(labelled: DataFrame, key: Column, text: str, lang: str, per_language: int = 1000, held_back: int = 5, most_rows: int = 20_000) -> LanguageModel:
     """Fit a model on ``labelled`` rows.
 
     ``key`` (a hash column) chooses the sample: about ``per_language`` rows of each
-    language, the same ones on every run; a language with fewer gives all.  One
+    language, the same ones on every run; a language with fewer gives all.  ``most_rows``
+    bounds the sample of all languages together, and with it what the driver holds.  One
     row in ``held_back`` of the sample fits the temperature instead of the weights.
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), key.alias("key"))
@@ -169,6 +180,7 @@ def train(labelled: DataFrame, key: Column, text: str, lang: str, per_language:
     idf = np.log((1 + rows) / (1 + df)) + 1
     if not languages:
         return LanguageModel([], idf, np.zeros((FEATURES, 0)), np.zeros(0))
+    per_language = max(1, min(per_language, most_rows // len(languages)))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     scale = 1 << 30
     chosen = usable.where(F.pmod("key", F.lit(scale)) < share[F.col("lang")] * scale)

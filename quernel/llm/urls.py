@@ -3,8 +3,10 @@
 A rule is a host and a path prefix; it fits the host and its subdomains, and the
 longest fitting rule decides.  Pages without a rule are judged by their host:
 hosts with allowed pages are trusted seeds and hosts with blocked pages distrusted
-seeds; personalised PageRank carries trust along host links and distrust against
-them, and a host is blocked if its distrust exceeds ``threshold`` times its trust.
+seeds, each kind with a mass of 1 shared by its pages; personalised PageRank carries
+trust along host links and distrust against them, and a host is blocked if its distrust
+exceeds ``threshold`` times its trust: at 1, if a walk from the blocked seeds is more
+likely to be there than one from the trusted seeds.
 
 Everything is DataFrame operations.  Links are summed to weighted host edges first,
 so the iteration sees hosts, not pages.  Each round is written to the shared
@@ -12,8 +14,9 @@ folder, which cuts the lineage, until the scores have converged.  Mass at a host
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged as the host ``''``.  Pages without links, null pages, repeated rows and an
-empty table need no special rule; equal urls get equal verdicts.  Extra columns
-are kept by :func:`judge`.
+empty table need no special rule; very long pages are searched for links whole.  Equal
+urls get equal verdicts, and equal scores are a tie that allows.  Extra columns are kept
+by :func:`judge`; those named as the result's are replaced.
 """
 
 from __future__ import annotations
@@ -104,9 +107,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str =
     small = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"), longest_rule(host, path, rules).alias(found))
 
     counted = staged(small.groupBy("host").agg(F.count_if(F.col(f"{found}.verdict") == "allow").alias("trust"), F.count_if(F.col(f"{found}.verdict") == "block").alias("distrust")), "url-hosts")
-    total = counted.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0
+    totals = counted.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
     seeds = counted.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "pages")).where("pages > 0")
-    seeds = seeds.select("kind", "host", (F.col("pages") / F.lit(max(total, 1))).alias("mass"))
+    # Each kind's seeds share a mass of 1, so that its scores are a distribution and one kind's number of pages doesn't count.
+    mass = F.when(F.col("kind") == "trust", F.lit(max(totals["trust"] or 0, 1))).otherwise(F.lit(max(totals["distrust"] or 0, 1)))
+    seeds = seeds.select("kind", "host", (F.col("pages") / mass).alias("mass"))
     edges = staged(host_edges(pages, host, F.col(f"`{html}`").cast("string")), "url-edges")
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     scores = propagate(both, seeds, damping, rounds)

@@ -13,21 +13,34 @@ def parts(url):
     return (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
 
 
+def linked_hosts(html):
+    """Hosts of absolute links, by cutting the page up at its attributes."""
+    out = set()
+    for name in ("href", "src"):
+        for part in re.split(rf"(?i){name}\s*=", html)[1:]:
+            target = part.lstrip().lstrip("\"'").lstrip()
+            scheme, slashes, rest = target.partition("//")
+            if slashes and (not scheme or re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:", scheme)):
+                host = re.split(r"[/?#\"'\s<>]", rest)[0]
+                out |= {host.lower()} if host else set()
+    return out
+
+
 def brute(rows, rounds=30, damping=0.85):
     """Rules and propagation with dictionaries."""
     pages = []
     for key, url, html, *_ in rows:
         host, path = parts(url)
         fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        pages.append((key, host, path, max(fits, key=lambda r: len(r.text), default=None), {t.lower() for t in re.findall(urls.LINK, html or "")}))
+        pages.append((key, host, path, max(fits, key=lambda r: len(r.text), default=None), linked_hosts(html or "")))
     edges, seeds = {}, {"allow": {}, "block": {}}
-    total = sum(p[3] is not None for p in pages) or 1
+    total = {v: sum(p[3] is not None and p[3].verdict == v for p in pages) for v in seeds}
     for _, host, _, rule, links in pages:
         for t in links:
             if t != host and host:
                 edges[host, t] = edges.get((host, t), 0) + 1
         if rule:
-            seeds[rule.verdict][host] = seeds[rule.verdict].get(host, 0) + 1 / total
+            seeds[rule.verdict][host] = seeds[rule.verdict].get(host, 0) + 1 / total[rule.verdict]
     scores = {}
     for kind, flip in (("allow", False), ("block", True)):
         own = {((b, a) if flip else (a, b)): w for (a, b), w in edges.items()}
@@ -72,6 +85,24 @@ def test_equal_to_brute_force(spark, linked):
     assert verdicts["b.net"] == "block" and verdicts["d.net"] == "allow"
 
 
+def test_many_allowed_pages_do_not_outweigh_by_number(spark, linked):
+    """Masses are shared within a kind: a hundred allowed pages elsewhere change no host that they don't reach."""
+    more = [(100 + i, f"https://good{i}.org/", None, None, None, 1) for i in range(100)]
+    got = run(spark, linked + more)
+    assert got == brute(linked + more)
+    assert {r[1]: r[4] for r in got}["b.net"] == "block"
+
+
+def test_the_query_over_the_table(spark):
+    """The registered query against brute force over whole pages."""
+    from quernel.llm.queries import op4_urls
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    got = op4_urls(spark, "/root/testdata/sf0.001").select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_edges(spark):
     rows = [(1, None, None, None, None, None), (None, "no scheme", "<a href=https://k.net>", None, None, None), (3, "", "", None, None, None), (4, "x://", "y" * 200_000, None, None, None)]
     rows += [(5, "https://org", "z", None, None, None), (5, "https://org", "z", None, None, None), (6, "https://org/", "z", None, None, None), (7, "http://notorg/", None, None, None, None)]
