@@ -211,5 +211,9 @@ def models_url(base: Column) -> Column:
     return F.concat(F.regexp_replace(base, r"/+\z", ""), F.lit("/models"))
 
 
+#: Names that are safe as file names: a fixed value.
+SESSION_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
+
+
 def session_name_valid(name: Column) -> Column:
-    return F.coalesce(name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"), F.lit(False))
+    return F.coalesce(name.rlike(SESSION_NAME), F.lit(False))

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
-import sys
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quernel.errors import AmbiguousSkillError, SkillError, SkillNotFoundError
+from quernel.errors import BadSkill, NoSkill
 from quernel.functions.text import casefold, overlap, strip, tokens
+from quernel.operators.scoring import call_with_retry
 
-#: Skills up to which a catalog is inlined into a routing plan.
+#: Skills up to which a catalog is inlined into a routing plan; a larger one is joined by word.
 MOST_SKILLS = 1000
 
 
@@ -43,43 +46,69 @@ def by_source(skills: DataFrame, source: str = "all") -> DataFrame:
 def get_skill(skills: DataFrame, name: str) -> dict:
     found = skills.where(F.col("name") == name).first()
     if found is None:
-        raise SkillNotFoundError(name, [r["name"] for r in names(skills).collect()])
+        raise NoSkill(name, [r["name"] for r in names(skills).collect()])
     return found.asDict()
 
 
-def _inlined(skills: DataFrame) -> list[tuple[str, str]]:
+def _inlined(skills: DataFrame) -> list[tuple[str, str]] | None:
+    """The catalog's names and descriptions in order, or None where it is too large for a plan."""
     rows = skills.select("name", "description").orderBy("name").limit(MOST_SKILLS + 1).collect()
-    if len(rows) > MOST_SKILLS:
-        raise SkillError(f"more than {MOST_SKILLS} skills can't be routed to")
-    return [(r["name"], r["description"] or "") for r in rows]
+    return None if len(rows) > MOST_SKILLS else [(r["name"], r["description"] or "") for r in rows]
+
+
+def _words(texts: Sequence[str]) -> list[list[str]]:
+    """:func:`tokens` of the catalog's texts, once on the driver."""
+    return [list(dict.fromkeys(re.findall("[a-z0-9]+", t.casefold()))) for t in texts]
 
 
 def rank_skills(requests: DataFrame, skills: DataFrame, request: str = "request") -> DataFrame:
     """Add ``ranked``: (overlap, name) of all skills, best first, ties by name.
 
-    The catalog is small and goes into the plan; requests are neither joined nor shuffled.
+    A small catalog goes into the plan, and requests are neither joined nor shuffled.  Of
+    one with more than ``MOST_SKILLS`` skills only those that share a word are ranked, by
+    a join on words; what shares none could not be routed to either.
     """
     catalog = _inlined(skills)
+    if catalog is None:
+        return _rank_by_words(requests, skills, request)
     if not catalog:
         return requests.withColumn("ranked", F.array().cast("array<struct<name:string,overlap:int>>"))
     words = requests.withColumn("__words", tokens(F.col(request)))
-    table = F.array(*[F.struct(F.lit(n).alias("name"), tokens(F.lit(f"{n} {d}")).alias("words")) for n, d in catalog])
+    listed = _words([f"{n} {d}" for n, d in catalog])
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, w)).cast("array<string>").alias("words")) for (n, _), w in zip(catalog, listed, strict=True)])
     marks = F.transform(table, lambda s: F.struct((-overlap(F.col("__words"), s["words"])).alias("minus"), s["name"].alias("name")))
     ranked = F.transform(F.array_sort(marks), lambda m: F.struct(m["name"].alias("name"), (-m["minus"]).alias("overlap")))
     return words.withColumn("ranked", ranked).drop("__words")
 
 
-def route(requests: DataFrame, skills: DataFrame, request: str = "request", selector: Callable[[str, list[tuple[str, str]]], str] | None = None) -> DataFrame:
+def _rank_by_words(requests: DataFrame, skills: DataFrame, request: str) -> DataFrame:
+    key = F.md5(F.col(request))
+    own = requests.select(key.alias("__key"), F.col(request).alias("__request")).dropDuplicates(["__key"])
+    asked = own.select("__key", F.explode(tokens(F.col("__request"))).alias("word"))
+    listed = skills.select("name", F.explode(tokens(F.concat_ws(" ", "name", "description"))).alias("word"))
+    marks = asked.join(listed, "word").groupBy("__key", "name").agg(F.count("*").cast("int").alias("overlap"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("minus"), "name")))
+    ranked = marks.groupBy("__key").agg(F.transform(order, lambda m: F.struct(m["name"].alias("name"), (-m["minus"]).alias("overlap"))).alias("ranked"))
+    none = F.array().cast("array<struct<name:string,overlap:int>>")
+    return requests.withColumn("__key", key).join(ranked, "__key", "left").withColumn("ranked", F.coalesce("ranked", none)).drop("__key")
+
+
+def route(requests: DataFrame, skills: DataFrame, request: str = "request", selector: Callable[[str, list[tuple[str, str]]], str] | None = None, retries: int = 2) -> DataFrame:
     """Add ``skill`` and ``reason``: an exact name, or the one skill that shares the most
     words; null and ``ambiguous`` where no single one does.
 
     ``selector`` may settle ambiguous requests: a function of the request and the
     catalog that returns a name; a name that isn't in the catalog leaves it ambiguous.
+    It runs in batches, like any model call, and transient failures are tried again.
     """
     catalog = _inlined(skills)
     asked = casefold(strip(F.col(request)))
-    exact = F.coalesce(*[F.when(asked == n.casefold(), F.lit(n)) for n, _ in catalog], F.lit(None).cast("string"))
-    ranked = rank_skills(requests, skills, request).withColumn("__exact", exact)
+    ranked = rank_skills(requests, skills, request)
+    if catalog is None:
+        by_name = skills.select(casefold(F.col("name")).alias("__asked"), F.col("name").alias("__exact"))
+        ranked = ranked.withColumn("__asked", asked).join(by_name, "__asked", "left").drop("__asked")
+    else:
+        ranked = ranked.withColumn("__exact", F.coalesce(*[F.when(asked == n.casefold(), F.lit(n)) for n, _ in catalog], F.lit(None).cast("string")))
     best, second = F.get("ranked", F.lit(0)), F.coalesce(F.get("ranked", F.lit(1))["overlap"], F.lit(0))
     single = F.coalesce((best["overlap"] > 0) & (best["overlap"] > second), F.lit(False))
     skill = F.when(F.col("__exact").isNotNull(), F.col("__exact")).when(single, best["name"])
@@ -87,21 +116,26 @@ def route(requests: DataFrame, skills: DataFrame, request: str = "request", sele
     out = ranked.withColumns({"skill": skill, "reason": reason}).drop("ranked", "__exact")
     if selector is None:
         return out
-    known = {n for n, _ in catalog}
+    listed = catalog if catalog is not None else [(r["name"], r["description"] or "") for r in skills.orderBy("name").collect()]
+    known = {n for n, _ in listed}
+    at = out.columns.index(request)
 
-    @F.udf("string")
-    def choose(text: str) -> str | None:
-        chosen = (selector(text, catalog) or "").strip()
-        return chosen if chosen in known else None
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in np.flatnonzero(frame["skill"].isna()):
+                text = frame.iat[i, at]
+                chosen = (call_with_retry(lambda t=text: selector(t, listed), retries) or "").strip()
+                if chosen in known:
+                    frame.loc[frame.index[i], ["skill", "reason"]] = [chosen, "selector"]
+            yield frame
 
-    settled = out.where("skill IS NOT NULL").unionByName(out.where("skill IS NULL").withColumn("skill", choose(F.col(request))).withColumn("reason", F.when(F.col("skill").isNotNull(), "selector").otherwise("ambiguous")))
-    return settled
+    return out.mapInPandas(settle, out.schema)
 
 
 def route_one(spark: SparkSession, request: str, skills: DataFrame) -> tuple[str, str]:
     found = route(spark.createDataFrame([(request,)], "request string"), skills).first()
     if found["skill"] is None:
-        raise AmbiguousSkillError(request, [r["name"] for r in names(skills).collect()])
+        raise NoSkill(request, [r["name"] for r in names(skills).collect()], several=True)
     return found["skill"], found["reason"]
 
 
@@ -111,26 +145,91 @@ def load_attribute(directory: str, reference: str, source: str, package: str | N
     module_name, _, attribute = reference.partition(":")
     try:
         if source == "builtin":
-            module = importlib.import_module(f"{package}.{module_name}" if package else module_name)
-        else:
-            path = Path(directory) / f"{module_name}.py"
-            spec = importlib.util.spec_from_file_location(f"quernel_user_{Path(directory).name}_{module_name}", path)
-            if spec is None or spec.loader is None or not path.is_file():
-                raise SkillError(f"{path}: file not found")
-            module = importlib.util.module_from_spec(spec)
-            sys.modules[spec.name] = module
-            spec.loader.exec_module(module)
-        return getattr(module, attribute or default)
-    except (ImportError, AttributeError) as error:
-        raise SkillError(f"{reference}: {error}") from error
+            return getattr(importlib.import_module(f"{package}.{module_name}" if package else module_name), attribute or default)
+        path = Path(directory) / f"{module_name}.py"
+        return code_attribute(path.read_text(encoding="utf-8"), f"{path}", attribute or default)
+    except (ImportError, AttributeError, OSError) as error:
+        raise BadSkill(f"{reference}: {error}") from error
+
+
+_modules: dict[str, dict] = {}
+
+
+def code_attribute(code: str, origin: str, attribute: str) -> object:
+    """An attribute of a module that came as source text; each text is run once a process."""
+    if code not in _modules:
+        _modules[code] = {"__name__": f"quernel_user_{len(_modules)}"}
+        exec(compile(code, origin, "exec"), _modules[code])  # noqa: S102
+    if attribute not in _modules[code]:
+        raise AttributeError(f"{origin} has no {attribute}")
+    return _modules[code][attribute]
+
+
+def _loader(skill: dict, reference: str, package: str | None) -> Callable[[], object]:
+    """A function that executors can run to get an attribute: a user's code travels as text, since they don't have the file."""
+    module_name, _, attribute = reference.partition(":")
+    attribute = attribute or "build"
+    if skill["source"] == "builtin":
+        return lambda: load_attribute(skill["directory"], f"{module_name}:{attribute}", "builtin", package)
+    path = Path(skill["directory"].removeprefix("file:")) / f"{module_name}.py"
+    try:
+        code = path.read_text(encoding="utf-8")
+    except OSError as error:
+        raise BadSkill(f"{skill['name']}: {path.name} is not there") from error
+    return lambda: code_attribute(code, str(path), attribute)
+
+
+def run_skill(rows: DataFrame, skill: dict, fields: str, inputs: Sequence[str] = ("text",), package: str | None = None, retries: int = 2) -> DataFrame:
+    """``rows`` with the ``fields`` (a DDL string) that the skill's program gives for each row's ``inputs``.
+
+    The program is made once a batch of rows by the factory that the skill names; it takes
+    the inputs by name and returns a mapping, or anything else for a field ``result``.
+    """
+    from quernel.plans.reports import as_fields
+
+    made = _loader(skill, skill.get("entrypoint") or "skill:build", package)
+    if not callable(made()):
+        raise BadSkill(f"{skill['name']}: the entrypoint can't be called")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    names = [f.name for f in StructType.fromDDL(fields)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        program = made()()
+        for frame in frames:
+            got = [as_fields(call_with_retry(lambda v=v: program(**dict(zip(inputs, v, strict=True))), retries)) for v in zip(*(frame[c] for c in inputs), strict=True)]
+            yield frame.assign(**{k: [g.get(k) for g in got] for k in names})
+
+    return rows.mapInPandas(run, f"{schema}, {fields}")
+
+
+def skill_metric(skill: dict, package: str | None = None) -> Callable[[Column, Column], Column] | None:
+    """The metric that a skill names as ``skill:attribute`` (in its own code) or ``module:attribute``, a function of
+    the structs gold and predicted that returns a Column; None stands for field accuracy."""
+    reference = skill.get("metric")
+    if not reference:
+        return None
+    place, _, attribute = reference.partition(":")
+    if not attribute:
+        raise BadSkill(f"{skill['name']}: a metric is module:attribute")
+    own = (skill.get("entrypoint") or "skill:build").partition(":")[0]
+    found = _loader(skill, f"{own}:{attribute}", package)() if place == "skill" else load_attribute("", reference, "builtin")
+    if not callable(found):
+        raise BadSkill(f"{skill['name']}: the metric can't be called")
+    return found
+
+
+def complete(typed: Column, commands: Sequence[str]) -> Column:
+    """The commands that begin with what was typed, in their order."""
+    return F.filter(F.array(*map(F.lit, commands)), lambda c: c.startswith(typed))
 
 
-def complete(prefix: str, commands: Sequence[str]) -> list[str]:
-    return [c for c in commands if c.startswith(prefix)]
+def model_label(model: Column, alias: Column) -> Column:
+    """The model to show: the configured one or, failing that, the alias that stands in."""
+    return F.coalesce(F.nullif(model, F.lit("")), F.concat(F.lit("(alias "), alias, F.lit(")")))
 
 
 #: The alias that is always there: a fixed value.
-DEFAULT_ALIAS, DEFAULT_MODEL = "default", "qwen3.5:9b-q8_0"
+DEFAULT_ALIAS, DEFAULT_MODEL = "default", "local-model"
 SPEC = "alias string, model string, ctx int, reasoning string, provider string, priority int"
 
 

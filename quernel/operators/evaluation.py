@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.errors import DataLoadError
+from quernel.errors import BadInput
 from quernel.functions.metrics import FIELDS, field_accuracy, field_hits
 from quernel.functions.text import strip
 
@@ -20,12 +22,12 @@ def pair(gold: DataFrame, predicted: DataFrame, key: str = "example_id") -> Data
     return g.join(p, key, "left")
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Add ``hits`` and ``score`` (the share of fields that match)."""
+def scored(pairs: DataFrame, metric: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Add ``hits`` and ``score``: the share of fields that match, or what ``metric`` makes of ``gold`` and ``predicted``."""
     kinds = {side: pairs.schema[side].dataType["amount"].dataType.simpleString() for side in ("gold", "predicted")}
     sides = {side: {k: F.col(f"{side}.{k}") for k in FIELDS} for side in kinds}
     hits = field_hits(sides["gold"], sides["predicted"], kinds["gold"], kinds["predicted"])
-    return pairs.withColumn("hits", hits).withColumn("score", field_accuracy(F.col("hits")))
+    return pairs.withColumn("hits", hits).withColumn("score", field_accuracy(F.col("hits")) if metric is None else metric(F.col("gold"), F.col("predicted")).cast("double"))
 
 
 def evaluate(records: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def evaluate(records: DataFrame) -> DataFrame:
 
 def require_examples(examples: DataFrame, what: str = "examples") -> DataFrame:
     if examples.isEmpty():
-        raise DataLoadError(f"no valid rows in {what}")
+        raise BadInput(f"no valid rows in {what}")
     return examples
 
 

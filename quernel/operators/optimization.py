@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.errors import DataLoadError
+from quernel.errors import BadInput
 from quernel.functions.metrics import passes_gate
 from quernel.operators.evaluation import evaluate
 
@@ -94,7 +94,7 @@ def optimize(run: Run, train: DataFrame, *, dev: DataFrame | None = None, method
     ``instructions`` with and without them, on ``dev`` or else ``train``.
     """
     if train.isEmpty():
-        raise DataLoadError("the training set is empty")
+        raise BadInput("the training set is empty")
 
     def measured(program: Program) -> float | None:
         return evaluate(run(program, dev)).first()["score_frac"] if dev is not None else None

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.errors import ModelCallError
+from quernel.errors import CallFailed
 
 R = TypeVar("R")
 Scorer = Callable[[Sequence[str], Sequence[int]], Sequence[tuple[object, str]]]
@@ -55,7 +55,7 @@ def call_with_retry(call: Callable[[], R], retries: int = 2, sleep: Callable[[fl
             if attempt > retries or not transient(error):
                 raise
             sleep(min(LONGEST_WAIT, 2.0 ** (attempt - 1)))
-    raise ModelCallError("no attempt was allowed")
+    raise CallFailed("no attempt was allowed")
 
 
 def stub_score(segment: Column, sample_idx: Column) -> Column:
@@ -105,14 +105,27 @@ def score_with(samples: DataFrame, scorer: Scorer, *, retries: int = 2, parallel
 def score_distinct(samples: DataFrame, scorer: Scorer, **options) -> DataFrame:
     """:func:`score_with`, each distinct (segment, sample index) once, joined back.
 
-    This is the response cache: copies of a segment cost one call.
+    This is the response cache: copies of a segment cost one call.  Calls are told apart
+    by 128 bits of hash, so that segments are not compared, and not sent back, as texts.
     """
-    keys = ["segment", "sample_idx"]
-    scored = score_with(samples.select(*keys).distinct(), scorer, **options)
-    return samples.join(scored, keys)
+    keyed = samples.withColumns({"__call": call_key(), "__len": F.char_length("segment")})
+    first = keyed.groupBy("__call", "__len").agg(F.first("segment").alias("segment"), F.first("sample_idx").alias("sample_idx"))
+    scored = score_with(first, scorer, **options).select("__call", "__len", "raw", "rationale")
+    return keyed.join(scored, ["__call", "__len"]).drop("__call", "__len")
+
+
+def call_key(segment: str = "segment", sample_idx: str = "sample_idx") -> Column:
+    """What tells model calls apart: 128 bits of the segment and the sample index."""
+    return F.md5(F.concat_ws("#", F.col(sample_idx).cast("string"), F.col(segment)))
+
+
+def calls_since(calls: DataFrame, start: int, n: int | None = None, index: str = "call_idx") -> DataFrame:
+    """The calls from number ``start`` on, and of these the last ``n`` where given."""
+    added = calls.where(F.col(index) >= start)
+    return added if n is None else added.orderBy(F.desc(index)).limit(n)
 
 
 def distinct_calls(samples: DataFrame) -> DataFrame:
     """How many calls a table of samples asks for, and how many remain after deduplication."""
-    per_call = samples.groupBy("segment", "sample_idx").agg(F.count("*").alias("n"))
+    per_call = samples.groupBy(call_key()).agg(F.count("*").alias("n"))
     return per_call.agg(F.sum("n").alias("calls"), F.count("*").alias("distinct_calls"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quernel.functions.core import let
 from quernel.functions.stats import coerce_score, confidence, polarity, sample_stdev, summary_columns
 from quernel.functions.text import DEFAULT_MAX_SEGMENTS, segments
+from quernel.operators.display import printed
 
 DEFAULT_RESAMPLE = 3
 EXCERPT_CHARS = 2000
@@ -120,8 +121,7 @@ def coerced(scored: DataFrame) -> DataFrame:
 
 def excerpts(by_segment: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = EXCERPT_CHARS) -> DataFrame:
     """Per document a line for each segment in order, its mean to one decimal and its rationale, cut to ``limit``."""
-    mean = F.round("seg_mean", 2)
-    line = F.concat(F.lit("- ("), F.format_string("%+.1f", mean), F.lit(") "), F.col("rationale"))
+    line = F.concat(F.lit("- ("), printed(F.col("seg_mean"), "+.1f", digits=2), F.lit(") "), F.col("rationale"))
     rows = by_segment.select(*keys, F.struct("seg_idx", line.alias("line")).alias("row")).groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("rows"))
     return rows.select(*keys, F.left(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit(limit)).alias("excerpts"))
 
@@ -129,8 +129,8 @@ def excerpts(by_segment: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit:
 def explain(summary: DataFrame) -> DataFrame:
     """Add a plain-language ``explanation`` by a fixed template, in place of a model's prose."""
     verdict = F.concat(
-        F.lit("Overall the text reads as "), F.col("polarity"), F.lit(" (mean "), F.format_string("%+.2f", F.col("mean")),
-        F.lit(" over "), F.col("n_segments").cast("string"), F.lit(" segments, volatility "), F.format_string("%.2f", F.col("volatility")),
+        F.lit("Overall the text reads as "), F.col("polarity"), F.lit(" (mean "), printed(F.col("mean"), "+.2f"),
+        F.lit(" over "), F.col("n_segments").cast("string"), F.lit(" segments, volatility "), printed(F.col("volatility"), ".2f"),
         F.lit("). Confidence that it differs from neutral: "), F.col("confidence"), F.lit("."),
     )
     return summary.withColumn("explanation", verdict)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.errors import BadInput, CallFailed
 from quernel.functions import metrics, stats
 from quernel.functions import text as tx
 from quernel.operators import catalog, conversations, evaluation, optimization, scoring, sentiment
 from quernel.plans import reports
 from quernel.sources import documents as docsrc
-from quernel.sources import jsonl, sessions, settings, skills, web
+from quernel.sources import jsonl, scratch, sessions, settings, skills, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,16 +24,16 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is read in fewer tasks than there are cores, as a single row group is, is dealt to all of them."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores and name in ("documents", "pages") else rows
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str) -> Callable[[Query], Query]:
     """Register a query under its function's name, with the SQL for the same rows."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
         return f
 
     return add
@@ -365,25 +369,13 @@ def sentiment_vs_label(spark, sf_dir):
     return rounded(both.groupBy("quality", "toxic", "polarity").agg(F.count("*").alias("n"), F.avg("mean").alias("mean")), "mean")
 
 
-@query(f"""
-WITH {SAMPLES}
-SELECT doc_id, length(e) AS n_chars, md5(e) AS digest FROM (
-    SELECT doc_id, substr(string_agg('- (' || printf('%+.1f', score) || ') ' || left(segment, 40), chr(10) ORDER BY seg_idx), 1, 2000) AS e
-    FROM samples WHERE sample_idx = 0 GROUP BY doc_id)
-""")
-def excerpts_2000(spark, sf_dir):
-    rows = stub_samples(spark, sf_dir).where("sample_idx = 0").select("doc_id", "seg_idx", F.col("score").alias("seg_mean"), F.left("segment", F.lit(40)).alias("rationale"))
-    out = sentiment.excerpts(rows)
-    return out.select("doc_id", F.char_length("excerpts").cast("bigint").alias("n_chars"), F.md5("excerpts").alias("digest"))
-
-
 @query(f"""
 WITH {SAMPLES}
 SELECT doc_id, length(e) AS n_chars, md5(e) AS digest FROM (
     SELECT doc_id, substr(string_agg('- (' || printf('%+.1f', round(m, 2)) || ') ' || segment, chr(10) ORDER BY seg_idx), 1, 2000) AS e
     FROM by_seg JOIN seg_rows USING (doc_id, seg_idx) GROUP BY doc_id)
 """)
-def excerpts_whole(spark, sf_dir):
+def excerpts_2000(spark, sf_dir):
     """Means over all samples with whole segments as rationales, so that long documents reach the cut."""
     rows = stub_samples(spark, sf_dir).withColumn("rationale", F.col("segment"))
     out = sentiment.excerpts(sentiment.segment_level(rows))
@@ -392,27 +384,22 @@ def excerpts_whole(spark, sf_dir):
 
 @query(f"""
 WITH {SUMMARY}
-SELECT doc_id, 'Overall the text reads as ' || polarity || ' (mean ' || printf('%+.2f', round(mean, 6)) || ' over ' || n_segments || ' segments, volatility '
-    || printf('%.2f', round(volatility, 6)) || '). Confidence that it differs from neutral: ' || confidence || '.' AS explanation FROM summary
-WHERE abs(mean * 1000 - round(mean * 1000)) > 1e-6 AND abs(volatility * 1000 - round(volatility * 1000)) > 1e-6
+SELECT doc_id, 'Overall the text reads as ' || polarity || ' (mean ' || printf('%+.2f', round(mean, 6) + 0.0) || ' over ' || n_segments || ' segments, volatility '
+    || printf('%.2f', round(volatility, 6) + 0.0) || '). Confidence that it differs from neutral: ' || confidence || '.' AS explanation FROM summary
 """)
 def explanations(spark, sf_dir):
-    """Explanations; figures that end on a tie of their rounding are left to the tests."""
-    off_tie = lambda c: F.abs(F.col(c) * 1000 - F.round(F.col(c) * 1000)) > 1e-6
-    rows = rounded(summaries(spark, sf_dir).where(off_tie("mean") & off_tie("volatility")), "mean", "volatility")
-    return sentiment.explain(rows).select("doc_id", "explanation")
+    """Explanations of every document with text; figures are rounded from their binary value, ties to even."""
+    return sentiment.explain(rounded(summaries(spark, sf_dir), "mean", "volatility")).select("doc_id", "explanation")
 
 
-@query(f"""
-WITH {SUMMARY},
-figures AS (SELECT doc_id, polarity, confidence, n_segments, round(mean, 6)::DECIMAL(18, 6) AS m, round(volatility, 6)::DECIMAL(18, 6) AS v FROM summary)
-SELECT doc_id, 'Overall the text reads as ' || polarity || ' (mean ' || CASE WHEN m < 0 THEN '-' ELSE '+' END || abs(round(m, 2)) || ' over ' || n_segments
-    || ' segments, volatility ' || round(v, 2) || '). Confidence that it differs from neutral: ' || confidence || '.' AS explanation FROM figures
-""")
-def explanations_all(spark, sf_dir):
-    """Explanations of every document with text; ties are rounded away from zero by their decimal digits."""
-    rows = rounded(summaries(spark, sf_dir), "mean", "volatility")
-    return sentiment.explain(rows).select("doc_id", "explanation")
+FORMS = {"mean": 2, "volatility": 3, "model_uncertainty": 3, "std_error": 3, "t_statistic": 3, "p_value": 4, "ci_low": 2, "ci_high": 2}
+
+
+@query(f"WITH {SUMMARY} SELECT doc_id, {', '.join(f"printf('%.{d}f', round({c}, 6))::DOUBLE + 0.0 AS {c}" for c, d in FORMS.items())} FROM summary")
+def figures_presented(spark, sf_dir):
+    """Figures rounded for display."""
+    shown = reports.presented(rounded(summaries(spark, sf_dir), *FIGURES))
+    return shown.select("doc_id", *[(F.col(c) + F.lit(0.0)).alias(c) for c in FORMS])
 
 
 @query(f"""
@@ -476,18 +463,29 @@ def amount_tolerance(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", metrics.amount_matches(F.col("l_extendedprice"), moved).alias("ok"))
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold records from orders, and predictions that miss some fields by rule."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_totalprice")
-    key = F.col("o_orderkey")
-    gold = orders.select(key.alias("example_id"), F.col("o_orderpriority").alias("merchant"), F.col("d").alias("date"), F.col("o_totalprice").alias("amount"))
-    predicted = orders.select(
-        key.alias("example_id"),
-        F.when(key % 3 == 0, "Costco").otherwise(F.concat(F.lit("  "), F.upper("o_orderpriority"))).alias("merchant"),
-        F.when(key % 5 == 0, "2026-01-01").otherwise(F.col("d")).alias("date"),
-        F.when(key % 7 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))).alias("amount"),
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold records from orders."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("merchant"), day.alias("date"), F.col("o_totalprice").alias("amount"))
+
+
+def _predicted(gold: DataFrame, program: optimization.Program) -> DataFrame:
+    """A stand-in for a model under a program: it misses merchants unless instructed about them, dates
+    unless it is instructed about them or has demonstrations, and some amounts in any case."""
+    key = F.col("example_id")
+    lost = lambda known, n: F.lit(not known) & (key % n == 0)
+    return gold.select(
+        "example_id",
+        F.when(lost("merchants" in program.instructions, 3), "Costco").otherwise(F.concat(F.lit("  "), F.upper("merchant"))).alias("merchant"),
+        F.when(lost("dates" in program.instructions or bool(program.demos), 5), "2026-01-01").otherwise(F.col("date")).alias("date"),
+        F.when(key % 7 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("amount").cast("decimal(18,2)").cast("string"))).alias("amount"),
     )
-    return evaluation.pair(gold, predicted)
+
+
+def examples(spark: SparkSession, sf_dir: str, program: optimization.Program | None = None) -> DataFrame:
+    """Gold records and what a program predicts for them."""
+    gold = _gold(spark, sf_dir)
+    return evaluation.pair(gold, _predicted(gold, program or optimization.Program()))
 
 
 EXAMPLES = """
@@ -536,12 +534,10 @@ def rule_extraction(spark, sf_dir):
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three prompts' scored records: the base, one that reads dates, one that reads merchants."""
-    base = evaluation.scored(examples(spark, sf_dir)).select("example_id", "hits")
-    better = lambda name, rule: base.select(F.lit(name).alias("candidate"), F.least(F.col("hits") + rule.cast("int"), F.lit(3)).alias("hits"))
-    key = F.col("example_id")
-    rows = better("a-base", F.lit(False)).unionByName(better("b-dates", key % 5 == 0)).unionByName(better("c-merchants", key % 3 == 0))
-    return rows.withColumn("score", metrics.field_accuracy(F.col("hits")))
+    """The scored records of three programs: without instructions, instructed about dates, and about merchants."""
+    programs = {"a-base": "", "b-dates": "dates", "c-merchants": "merchants"}
+    each = [evaluation.scored(examples(spark, sf_dir, optimization.Program(i))).select(F.lit(name).alias("candidate"), "score") for name, i in programs.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 CANDIDATES = (
@@ -680,10 +676,10 @@ def turn_numbers(spark, sf_dir):
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with a position that orders them over all conversations."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.left("text", F.lit(12)).alias("prompt"))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("prompt"))
 
 
-PROMPTS = "prompts AS (SELECT conv_id * 1000 + turn AS pos, left(text, 12) AS prompt FROM conversations WHERE role = 'user')"
+PROMPTS = "prompts AS (SELECT conv_id * 1000 + turn AS pos, text AS prompt FROM conversations WHERE role = 'user')"
 
 
 @query(f"WITH {PROMPTS} SELECT prompt, min(pos) AS pos FROM prompts GROUP BY prompt")
@@ -702,30 +698,6 @@ def seeded_history(spark, sf_dir):
     return conversations.seeded_history(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
 
 
-def _whole_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("prompt"))
-
-
-WHOLE_PROMPTS = "prompts AS (SELECT conv_id * 1000 + turn AS pos, text AS prompt FROM conversations WHERE role = 'user')"
-
-
-@query(f"WITH {WHOLE_PROMPTS} SELECT prompt, min(pos) AS pos FROM prompts GROUP BY prompt")
-def whole_prompt_dedup_keep_first(spark, sf_dir):
-    return conversations.distinct_in_order(_whole_prompts(spark, sf_dir), "prompt", "pos")
-
-
-@query(f"WITH {WHOLE_PROMPTS} SELECT pos, prompt FROM prompts ORDER BY pos DESC LIMIT 1000")
-def last_n_whole_prompts(spark, sf_dir):
-    return conversations.last_n(_whole_prompts(spark, sf_dir), sessions.MOST_PROMPTS)
-
-
-@query(f"WITH {WHOLE_PROMPTS} SELECT prompt, CASE WHEN min(pos % 2) = 0 THEN 0 ELSE 1 END AS part, coalesce(min(pos) FILTER (pos % 2 = 0), min(pos)) AS pos FROM prompts GROUP BY prompt")
-def seeded_whole_history(spark, sf_dir):
-    rows = _whole_prompts(spark, sf_dir)
-    return conversations.seeded_history(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
-
-
 @query("""
 SELECT conv_id, list_sum(list_transform(list(text), lambda t: length(t)))::BIGINT AS n_chars, count(*) AS n_turns FROM conversations GROUP BY conv_id
 """)
@@ -808,9 +780,8 @@ def dataset_paths(spark, sf_dir):
 
 @query("SELECT p_partkey, len(list_filter([':help', ':history', ':new', ':quit'], lambda c: starts_with(c, left(':history', (p_partkey % 9)::INT))))::INT AS n FROM part")
 def complete_prefix(spark, sf_dir):
-    commands = F.array(*map(F.lit, (":help", ":history", ":new", ":quit")))
     typed = F.left(F.lit(":history"), (F.col("p_partkey") % 9).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(commands, lambda c: c.startswith(typed))).alias("n"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(catalog.complete(typed, (":help", ":history", ":new", ":quit"))).alias("n"))
 
 
 @query(f"""
@@ -823,13 +794,229 @@ def corpus_sentiment(spark, sf_dir):
     return rounded(sentiment.sentiment(joined.select(F.col("conv_id").alias("doc_id"), F.col("corpus").alias("text")), scoring.stub_score), *FIGURES)
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'default (alias)' ELSE 'm' || o_orderkey END AS label FROM orders
-""")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '(alias default)' ELSE 'm' || o_orderkey END AS label FROM orders")
 def model_label(spark, sf_dir):
-    """The model to show: the configured one, or the default alias where that is empty."""
     configured = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.nullif(configured, F.lit("")), F.lit("default (alias)")).alias("label"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", catalog.model_label(configured, F.lit("default")).alias("label"))
+
+
+# Files that the query writes first ----------------------------------------
+
+
+@query(f"SELECT item_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT item_id, trim(text, {WS}) AS t FROM benchmark)")
+def text_files(spark, sf_dir):
+    """Texts as files with CR LF line ends, read back as files."""
+    folder = scratch.shared_path(spark, "texts")
+    body = F.concat(F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit(" \r\n"))
+    docsrc.write_files(table(spark, sf_dir, "benchmark").select(F.concat("item_id", F.lit(".txt")).alias("name"), body.alias("text")), folder)
+    got = docsrc.with_text(docsrc.files_under(spark, f"{folder}/*.txt"))
+    key = F.regexp_extract("origin", r"(\d+)\.txt$", 1).cast("bigint")
+    return got.select(key.alias("item_id"), F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(_html_sql())
+def html_files(spark, sf_dir):
+    """Pages as files of three suffixes, read back as files."""
+    folder = scratch.shared_path(spark, "pages")
+    suffix = F.get(F.array(*map(F.lit, (".html", ".HTM", ".xhtml"))), (F.col("page_id") % 3).cast("int"))
+    docsrc.write_files(table(spark, sf_dir, "pages").select(F.concat("page_id", suffix).alias("name"), F.col("html").alias("text")), folder)
+    got = docsrc.files_under(spark, f"{folder}/*").select(F.regexp_extract("origin", r"(\d+)\.\w+$", 1).cast("bigint").alias("page_id"), F.col("text").alias("t"))
+    return got.select("page_id", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+def _stored_lines(spark: SparkSession, sf_dir: str, good: bool = False) -> str:
+    """A JSON Lines file of one line a document in order, with a blank line for each seventh; with ``good`` only valid rows."""
+    folder, k = scratch.shared_path(spark, "lines"), F.col("doc_id") % 7
+    valid = F.concat(F.lit('{"text": "t'), F.col("doc_id").cast("string"), F.lit('", "merchant": "m", "date": "d", "amount": 1.5}'))
+    value = F.when(k == 0, "  ").when((k == 3) & F.lit(not good), "{broken").when((k == 5) & F.lit(not good), '{"text": "t"}').otherwise(valid)
+    table(spark, sf_dir, "documents").select("doc_id", value.alias("value")).repartition(1).sortWithinPartitions("doc_id").select("value").write.text(folder)
+    return folder
+
+
+@query("""
+WITH n AS (SELECT doc_id % 7 AS k, row_number() OVER (ORDER BY doc_id) AS line FROM documents)
+SELECT line, CASE WHEN k IN (3, 5) THEN NULL ELSE 1.5 END AS amount, CASE k WHEN 3 THEN 'invalid JSON' WHEN 5 THEN 'schema error: merchant, date, amount' END AS error FROM n WHERE k <> 0
+""".replace("THEN NULL ELSE 1.5 END", "THEN NULL ELSE 1.5 END::DOUBLE"))
+def jsonl_scan(spark, sf_dir):
+    """A file by its lines: blank ones are counted and left out, bad ones carry their error."""
+    return jsonl.parse(jsonl.numbered_lines(spark, _stored_lines(spark, sf_dir))).select("line", "amount", "error")
+
+
+@query("""
+WITH n AS (SELECT doc_id % 7 AS k, row_number() OVER (ORDER BY doc_id) AS line FROM documents), bad AS (SELECT min(line) AS line FROM n WHERE k IN (3, 5))
+SELECT 'bad' AS file, line, (SELECT CASE k WHEN 3 THEN 'invalid JSON' ELSE 'schema error: merchant, date, amount' END FROM n WHERE n.line = bad.line) AS outcome FROM bad
+UNION ALL SELECT 'good', max(line), count(*) || ' rows' FROM n WHERE k <> 0
+""")
+def jsonl_first_error(spark, sf_dir):
+    """Loading stops at the first bad line and names it; a good file gives all rows."""
+    try:
+        jsonl.load(spark, _stored_lines(spark, sf_dir)).count()
+        failure = ("", "0", "none")
+    except BadInput as error:
+        failure = str(error).rsplit(":", 2) if "schema" not in str(error) else [*str(error).rsplit(":", 3)[:2], ":".join(str(error).rsplit(":", 2)[1:])]
+    rows = jsonl.load(spark, _stored_lines(spark, sf_dir, good=True))
+    bad = spark.range(1).select(F.lit("bad").alias("file"), F.lit(int(failure[1])).cast("bigint").alias("line"), F.lit(failure[2].strip()).alias("outcome"))
+    return bad.unionByName(rows.agg(F.lit("good").alias("file"), F.max("line").alias("line"), F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("outcome")))
+
+
+@query("SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, 'q ' || length(text) AS prompt FROM conversations WHERE role = 'user'")
+def prompt_lines(spark, sf_dir):
+    """A history file of prompts, one a line, read back in order."""
+    folder = scratch.shared_path(spark, "prompts")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("q "), F.char_length("text").cast("string")).alias("value"))
+    rows.repartition(1).sortWithinPartitions("conv_id", "turn").select("value").write.text(folder)
+    return sessions.prompt_lines(spark, f"{folder}/part-*").select(F.col("pos").cast("bigint").alias("pos"), "prompt")
+
+
+def _skill_folders(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The catalog as skill folders, built-in and a user's, and one folder without a header."""
+    root = scratch.shared_path(spark, "skills")
+    for name, description, source, directory in SKILLS:
+        scratch.save_text(spark, f"{root}{directory}/SKILL.md", f"---\nname: {name}\ndescription: '{description}'\n---\nHow to.\n")
+    scratch.save_text(spark, f"{root}/u/broken/SKILL.md", "no header")
+    return skills.discover(skills.scan(spark, f"{root}/b", f"{root}/u"))
+
+
+@query(f"SELECT name, description, source, NULL::VARCHAR AS error FROM (VALUES {', '.join(map(str, SKILLS))}) v(name, description, source, directory) UNION ALL SELECT 'broken', NULL, 'user', 'the header block is missing'")
+def skill_scan(spark, sf_dir):
+    good, bad = _skill_folders(spark)
+    named = bad.select(F.regexp_extract("directory", "([^/]+)$", 1).alias("name"), F.lit(None).cast("string").alias("description"), "source", "error")
+    return good.select("name", "description", "source", F.lit(None).cast("string").alias("error")).unionByName(named)
+
+
+@query(f"WITH {ROUTE} SELECT name, description FROM cat WHERE name = 'chat'")
+def skill_lookup(spark, sf_dir):
+    """One skill by name, from folders: the user's shadows the built-in one."""
+    found = catalog.get_skill(catalog.shadowed(_skill_folders(spark)[0]), "chat")
+    return spark.range(1).select(*[F.lit(found[k]).alias(k) for k in ("name", "description")])
+
+
+#: A user's skill for the queries: a factory, and a metric.
+CODE = """
+def build():
+    def program(text):
+        return {"first": text.split()[0] if text.split() else "", "words": len(text.split())}
+    return program
+
+def same_merchant(gold, predicted):
+    from pyspark.sql import functions as F
+    return (F.lower(F.trim(gold["merchant"])) == F.lower(F.trim(predicted["merchant"]))).cast("int")
+"""
+
+
+def _own_skill(spark: SparkSession) -> dict:
+    """A user's skill in a folder of this machine; executors get its code, not the folder."""
+    folder = tempfile.mkdtemp(prefix="quernel-skill-")
+    Path(folder, "skill.py").write_text(CODE, encoding="utf-8")
+    return {"name": "words", "source": "user", "directory": folder, "entrypoint": "skill:build", "metric": "skill:same_merchant"}
+
+
+@query(r"SELECT item_id, w[1] AS first, len(w) AS words FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark)")
+def skill_run(spark, sf_dir):
+    """A user's skill over every row of a table."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return catalog.run_skill(rows, _own_skill(spark), "first string, words long").select("item_id", "first", "words")
+
+
+@query("SELECT o_orderkey AS example_id, (o_orderkey % 3 <> 0)::INT::DOUBLE AS score FROM orders")
+def skill_metric(spark, sf_dir):
+    """Examples scored by a skill's own metric."""
+    return evaluation.scored(examples(spark, sf_dir), catalog.skill_metric(_own_skill(spark))).select("example_id", "score")
+
+
+# Calls --------------------------------------------------------------------
+
+
+@query("""
+SELECT url AS origin, CASE WHEN length(url) % 4 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN length(url) % 4 <> 0 THEN length('<p>' || url || '</p>') END AS n_bytes,
+    CASE WHEN length(url) % 4 = 0 THEN 'status 404' END AS error FROM pages
+""")
+def fetched_answers(spark, sf_dir):
+    """Every page is asked for; the server is a stand-in that is busy at first, and has no page for some urls."""
+    busy = set()
+
+    def server(url):
+        if url not in busy:
+            busy.add(url)
+            raise CallFailed("busy", kind="timeout")
+        return (404, "", b"") if len(url) % 4 == 0 else (200, "text/html", f"<p>{url}</p>".encode())
+
+    got = web.fetch(table(spark, sf_dir, "pages"), lambda u: scoring.call_with_retry(lambda: server(u), 1, lambda s: None), retries=0)
+    return got.select("origin", "status", F.octet_length("content").cast("bigint").alias("n_bytes"), "error")
+
+
+@query(f"""
+WITH {ROUTE}, names AS (SELECT list(name ORDER BY name) AS n FROM cat)
+SELECT item_id, coalesce(skill, CASE WHEN length(request) % 4 < 3 THEN n[length(request) % 4 + 1] END) AS skill,
+    CASE WHEN skill IS NULL AND length(request) % 4 < 3 THEN 'selector' ELSE reason END AS reason FROM routed JOIN asked USING (item_id), names
+""")
+def route_selector(spark, sf_dir):
+    """Ambiguous requests are settled by a stand-in for a model, which sometimes names no skill."""
+    choose = lambda text, known: [*(n for n, _ in known), "none of them"][len(text) % 4]
+    return catalog.route(_requests(spark, sf_dir), catalog.shadowed(_skills(spark)), selector=choose).select("item_id", "skill", "reason")
+
+
+@query(f"WITH {SAMPLES} SELECT doc_id, seg_idx, sample_idx, score FROM samples")
+def retried_scores(spark, sf_dir):
+    """A model that is busy at every first attempt gives the same scores."""
+    import hashlib
+
+    failed = set()
+
+    def model(segments, indexes):
+        if segments[0] not in failed:
+            failed.add(segments[0])
+            raise ConnectionError("busy")
+        failed.clear()
+        return [(int(hashlib.md5(f"{s}#{i}".encode()).hexdigest()[:8], 16) % 21 - 10, "") for s, i in zip(segments, indexes, strict=True)]
+
+    patient = lambda segments, indexes: scoring.call_with_retry(lambda: model(segments, indexes), 1, lambda s: None)
+    cut = sentiment.explode_segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentiment.coerced(scoring.score_with(scoring.resample(cut, 3), patient, retries=0)).select("doc_id", "seg_idx", "sample_idx", "score")
+
+
+@query(f"""
+WITH {SAMPLES} SELECT doc_id, round(avg(score), 6) + 0.0 AS one, round(avg((('0x' || substr(md5('b' || segment || '#' || sample_idx), 1, 8))::BIGINT % 21 - 10)::DOUBLE), 6) + 0.0 AS other
+FROM samples GROUP BY doc_id
+""")
+def two_models(spark, sf_dir):
+    """Two models in one plan, each with its own scope."""
+    rows = stub_samples(spark, sf_dir).withColumn("b", scoring.stub_score(F.concat(F.lit("b"), F.col("segment")), F.col("sample_idx")))
+    return rounded(rows.groupBy("doc_id").agg(F.avg("score").alias("one"), F.avg("b").alias("other")), "one", "other")
+
+
+@query(f"WITH {SAMPLES} SELECT count(*) AS calls, sum(length(segment))::BIGINT AS usage FROM samples")
+def run_metrics(spark, sf_dir):
+    """What a run cost, observed while it runs: calls, and characters sent."""
+    with reports.observed(stub_samples(spark, sf_dir), "scores", usage=F.char_length("segment")) as (rows, seen):
+        rows.write.format("noop").mode("overwrite").save()
+    return spark.range(1).select(F.lit(seen.calls).cast("bigint").alias("calls"), F.lit(seen.usage).cast("bigint").alias("usage"))
+
+
+@query("SELECT event_id, kind FROM (SELECT event_id, event_type AS kind FROM events WHERE event_id >= 100 ORDER BY event_id DESC LIMIT 250)")
+def last_calls(spark, sf_dir):
+    """Of the calls since number 100 the last 250."""
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_idx"), F.col("event_type").alias("kind"))
+    return scoring.calls_since(calls, 100, 250).select(F.col("call_idx").alias("event_id"), "kind")
+
+
+@query(f"WITH {EXAMPLES} SELECT 'extract' AS skill, round(avg(hits / 3.0), 6) + 0.0 AS score, count(*) AS n FROM hits")
+def eval_report(spark, sf_dir):
+    return rounded(reports.evaluation_report(evaluation.evaluate(evaluation.scored(examples(spark, sf_dir))), "extract"), "score")
+
+
+@query(f"""
+WITH {CANDIDATES} SELECT 'merchants' AS instructions, 8::BIGINT AS n_demos, round(b.score, 6) + 0.0 AS baseline,
+    round((SELECT avg(((o_orderkey % 7 <> 0)::INT + 2) / 3.0) FROM orders), 6) + 0.0 AS after FROM marks b WHERE b.candidate = 'a-base'
+""")
+def program_search(spark, sf_dir):
+    """The whole sequence: baseline, demonstrations, search over instructions, measure again, save and load."""
+    path = Path(tempfile.mkdtemp(prefix="quernel-program-"), "deep", "program.json")
+    orders = _gold(spark, sf_dir)
+    run = lambda program, rows: evaluation.scored(evaluation.pair(rows, _predicted(rows, program)))
+    found = optimization.optimize(run, orders, dev=orders, method="search", instructions=("", "merchants"), save_path=path)
+    kept = optimization.Program.load(path)
+    return rounded(spark.range(1).select(F.lit(kept.instructions).alias("instructions"), F.lit(len(kept.demos)).cast("bigint").alias("n_demos"), F.lit(found.baseline).alias("baseline"), F.lit(found.after).alias("after")), "baseline", "after")
 
 
 def queries() -> dict[str, Query]:

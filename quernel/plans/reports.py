@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 
 def json_row(df: DataFrame) -> Column:
@@ -22,63 +21,57 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(json_row(df).alias("json"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
-def rounded(c: Column, digits: int) -> Column:
-    """Rounding for display: to the nearest decimal of the binary value, ties to even."""
-
-    @pandas_udf("double")
-    def nearest(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else round(v, digits))
-
-    return nearest(c)
-
-
 #: Digits of each figure in a report: fixed values.
 DIGITS = {"mean": 2, "volatility": 3, "model_uncertainty": 3, "std_error": 3, "t_statistic": 3, "p_value": 4, "ci_low": 2, "ci_high": 2}
 
 
 def presented(summary: DataFrame) -> DataFrame:
-    """A summary with its figures rounded for display; labels keep what the full figures said."""
-    return summary.withColumns({k: rounded(F.col(k), d) for k, d in DIGITS.items() if k in summary.columns})
+    """A summary with its figures rounded for display, from the binary value and ties to even; labels keep what the full figures said."""
+    digits = [DIGITS.get(c) for c in summary.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c if d is None else pa.array([None if v is None else round(v, d) for v in c.to_pylist()], c.type) for c, d in zip(batch.columns, digits, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return summary.mapInArrow(run, summary.schema)
 
 
 def sentiment_report(row: dict, origins: Sequence[str] = ()) -> str:
-    """The printed form of one document's summary."""
-    lines = [
-        f"sentiment    : {row['mean']:+.2f}  ({row['polarity']})",
-        f"volatility   : {row['volatility']:.2f}  (across {row['n_segments']} segments)",
-        f"uncertainty  : {row['model_uncertainty']:.2f}  (model spread over {row['n_samples']} samples)",
-    ]
+    """One document's summary as a short paragraph."""
+    said = [f"{row['polarity'].capitalize()}, {row['mean']:+.2f} on a scale from -10 to 10, over {row['n_segments']} segments that differ by {row['volatility']:.2f}."]
+    said.append(f"{row['n_samples']} samples put the model's own spread at {row['model_uncertainty']:.2f}.")
     if row["p_value"] is None:
-        lines.append(f"significance : {row['confidence']}")
+        said.append("Too little text to test against neutral.")
     else:
-        t = "n/a" if row["t_statistic"] is None else f"{row['t_statistic']:+.2f}"
-        lines.append(f"significance : p={row['p_value']:.4f} ({row['confidence']}); t={t}")
-    if row["ci_low"] is not None:
-        lines.append(f"95% CI       : [{row['ci_low']:+.2f}, {row['ci_high']:+.2f}] (normal approx)")
-    if origins:
-        lines.append(f"sources      : {', '.join(origins)}")
-    if row.get("explanation"):
-        lines += ["", row["explanation"]]
-    return "\n".join(lines)
-
-
-def fields_report(row: dict) -> str:
+        within = f", 95 % between {row['ci_low']:+.2f} and {row['ci_high']:+.2f}" if row["ci_low"] is not None else ""
+        said.append(f"Difference from neutral: {row['confidence']} (p {row['p_value']:.4f}{within}).")
+    said += [f"Read from {', '.join(origins)}."] if origins else []
+    return " ".join([*said, *[row["explanation"]] * bool(row.get("explanation"))])
+
+
+def as_fields(result: object) -> dict:
+    """A prediction as a dictionary: rows and mappings as they are, anything else as the text of its only field."""
+    if hasattr(result, "asDict"):
+        return result.asDict()
+    return dict(result) if isinstance(result, Mapping) else {"result": str(result)}
+
+
+def fields_report(result: object) -> str:
     """A result's fields, one a line, sorted by name."""
+    row = as_fields(result)
     return "\n".join(f"{k}: {row[k]}" for k in sorted(row))
 
 
-def evaluation_report(skill: str, row: dict) -> dict:
-    return {"skill": skill, "score": row["score_frac"], "n": row["n"]}
+def evaluation_report(evaluated: DataFrame, skill: str) -> DataFrame:
+    """(skill, score, n) of a one-row evaluation."""
+    return evaluated.select(F.lit(skill).alias("skill"), F.col("score_frac").alias("score"), "n")
 
 
 def optimization_report(baseline: float | None, after: float | None) -> str:
     if baseline is None or after is None:
-        return "no evaluation set: nothing measured"
-    return f"baseline: {baseline:.4f}\nafter   : {after:.4f}\nlift    : {after - baseline:+.4f}"
+        return "Nothing measured: there was no evaluation set."
+    return f"Score {baseline:.4f} before and {after:.4f} after, a lift of {after - baseline:+.4f}."
 
 
 @dataclass
@@ -87,12 +80,14 @@ class RunMetrics:
     model: str = ""
     elapsed_s: float = 0.0
     calls: int = 0
+    usage: int = 0
 
 
 @contextmanager
-def observed(df: DataFrame, name: str, model: str = "") -> Iterator[tuple[DataFrame, RunMetrics]]:
-    """``df`` with its rows counted while it runs; the figures are there after the block."""
+def observed(df: DataFrame, name: str, model: str = "", usage: Column | None = None) -> Iterator[tuple[DataFrame, RunMetrics]]:
+    """``df`` with its rows counted, and their ``usage`` (tokens, say) summed, while it runs; the figures are there after the block."""
     seen, metrics, began = Observation(f"{name}-{time.time_ns()}"), RunMetrics(name, model), time.monotonic()
-    yield df.observe(seen, F.count(F.lit(1)).alias("calls")), metrics
+    spent = F.coalesce(F.sum(usage), F.lit(0)) if usage is not None else F.sum(F.lit(0))
+    yield df.observe(seen, F.count(F.lit(1)).alias("calls"), spent.cast("bigint").alias("usage")), metrics
     metrics.elapsed_s = time.monotonic() - began
-    metrics.calls = seen.get["calls"]
+    metrics.calls, metrics.usage = seen.get["calls"], seen.get["usage"] or 0

@@ -7,17 +7,20 @@ in which sources were named: literals, then files, then pages.
 from __future__ import annotations
 
 import io
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from quernel.errors import SourceError
+from quernel.errors import BadInput
 from quernel.functions.text import HIDDEN_TAGS, collapse_lines, content_kind, decode_utf8, is_blank, normalize_newlines, strip, suffix_kind
 
 SCHEMA = "origin string, text string, kind_ord int, arg_ord long"
@@ -57,7 +60,7 @@ def _pdf_pages(content: pd.Series) -> pd.Series:
     try:
         from pypdf import PdfReader
     except ImportError as error:
-        raise SourceError("reading PDF needs the optional package pypdf") from error
+        raise BadInput("reading PDF needs the optional package pypdf") from error
 
     def pages(data: bytes) -> str:
         return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
@@ -88,19 +91,52 @@ def literals(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
     return rows.withColumn("text", strip(F.col("text"))).where("text <> ''")
 
 
-def files(spark: SparkSession, paths: Sequence[str], *, binary: bool = True) -> DataFrame:
-    """Text, HTML and PDF files, told apart by their suffix."""
+def files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Text, HTML and PDF files, told apart by their suffix, in the order in which they are named."""
+    full = []
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(target) or not fs.getFileStatus(target).isFile():
+            raise BadInput(f"{path}: {'not a file' if fs.exists(target) else 'there is no such file'}")
+        full.append(_bare(fs.makeQualified(target).toString()))
+    places = spark.createDataFrame([(p, i) for i, p in enumerate(full)], "place string, arg_ord long")
+    return _read_files(spark, list(dict.fromkeys(full)), places)
+
+
+def files_under(spark: SparkSession, pattern: str) -> DataFrame:
+    """All files that a pattern such as ``folder/*.html`` matches, however many, without an order of their own."""
     try:
-        found = spark.read.format("binaryFile").load(list(paths))
+        return _read_files(spark, [pattern], None)
     except AnalysisException as error:
-        raise SourceError(f"file not found: {error.getMessage()}") from error
-    place = F.array_position(F.array(*[F.lit(_tail(p)) for p in paths]), F.element_at(F.split("path", "/"), -1)) - 1
-    rows = found.select(F.col("path").alias("origin"), "content", suffix_kind(F.col("path")).alias("kind"), place.alias("arg_ord"))
+        raise BadInput(f"{pattern}: no file matches") from error
+
+
+def _bare(path: str) -> str:
+    """A qualified path in one spelling: Spark writes ``file:///x`` where Hadoop writes ``file:/x``."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _read_files(spark: SparkSession, paths: list[str], places: DataFrame | None) -> DataFrame:
+    found = spark.read.format("binaryFile").load(paths).withColumn("place", F.regexp_replace("path", "^file:/+", "file:/"))
+    found = found.join(F.broadcast(places), "place") if places is not None else found.withColumn("arg_ord", F.lit(0).cast("long"))
+    rows = found.select(F.col("path").alias("origin"), "content", suffix_kind(F.col("path")).alias("kind"), "arg_ord")
     return _by_kind(rows).select("origin", "text", F.lit(1).alias("kind_ord"), "arg_ord")
 
 
-def _tail(path: str) -> str:
-    return path.rstrip("/").rsplit("/", 1)[-1]
+def write_files(rows: DataFrame, folder: str, name: str = "name", text: str = "text") -> int:
+    """Write each row's text as the file ``name`` in a folder that all executors share; returns how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for own, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_output_stream(f"{base}/{own}") as out:  # a second attempt writes the same file
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select(name, F.col(text).cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def fetched(pages: DataFrame) -> DataFrame:
@@ -120,9 +156,9 @@ def with_text(docs: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def union_in_order(*sources: DataFrame) -> DataFrame:
-    """All sources with their place ``ord`` among all of them, from 0."""
+    """All sources in the order of their kinds and, within a kind, in which they were named."""
     if not sources:
-        raise SourceError("at least one text, file or page is needed")
+        raise BadInput("at least one text, file or page is needed")
     return reduce(DataFrame.unionByName, sources).orderBy("kind_ord", "arg_ord")
 
 

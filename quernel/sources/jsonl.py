@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.errors import DataLoadError
-from quernel.functions.text import LINE_END, decode_utf8, strip
+from quernel.errors import BadInput
+from quernel.functions.text import LINE_END, strip
 
 #: Rows of the expense set: every field is needed.
 EXPENSE = {"text": "string", "merchant": "string", "date": "string", "amount": "double"}
@@ -17,15 +17,21 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value) of the files under ``path``; blank lines are numbered and then dropped.
 
-    Files are read whole, which line numbers need; sets of examples are small.
+    Files are read by splits.  A line's number is its place in the split plus the number
+    of lines in the splits before it, of which only the counts are brought together.
     """
     try:
-        found = spark.read.format("binaryFile").load(path)
+        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.make_valid_utf8("value").alias("value"))
     except AnalysisException as error:
-        raise DataLoadError(f"{path}: file not found") from error
-    lines = F.split(decode_utf8(F.col("content")), LINE_END, -1)
-    rows = found.select("path", F.posexplode(lines).alias("line", "value"))
-    return rows.select("path", (F.col("line") + 1).alias("line"), strip(F.col("value")).alias("value")).where("value <> ''")
+        raise BadInput(f"{path}: there is no such file") from error
+    parts = rows.withColumn("lines", F.split("value", LINE_END, -1))  # line ends that the reader doesn't know
+    inside = Window.partitionBy("path", "split").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("first", F.coalesce(F.sum(F.size("lines")).over(inside), F.lit(0)))
+    counts = parts.groupBy("path", "split").agg(F.sum(F.size("lines")).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    each = placed.join(starts, ["path", "split"]).select("path", (F.col("before") + F.col("first")).alias("at"), F.posexplode("lines").alias("pos", "value"))
+    return each.select("path", (F.col("at") + F.col("pos") + 1).alias("line"), strip(F.col("value")).alias("value")).where("value <> ''")
 
 
 def _typed(v: Column, name: str, kind: str) -> Column:
@@ -65,9 +71,9 @@ def load(spark: SparkSession, path: str, fields: dict[str, str] = EXPENSE) -> Da
     parsed = parse(numbered_lines(spark, path), fields)
     first = quarantine(parsed).orderBy("path", "line").first()
     if first:
-        raise DataLoadError(f"{first['path']}:{first['line']}: {first['error']}")
+        raise BadInput(f"{first['path']}:{first['line']}: {first['error']}")
     if parsed.isEmpty():
-        raise DataLoadError(f"{path}: no valid rows")
+        raise BadInput(f"{path}: no valid rows")
     return good_rows(parsed, fields)
 
 
@@ -76,14 +82,14 @@ def run_input(spark: SparkSession, text: str | None = None, path: str | None = N
     if text is not None:
         return {"text": text}
     if path is None:
-        raise DataLoadError("a text or an input file is needed")
+        raise BadInput("a text or an input file is needed")
     import json
 
     try:
         content = spark.read.text(path, wholetext=True).first()
         found = json.loads(content["value"] if content else "")
     except (AnalysisException, ValueError) as error:
-        raise DataLoadError(f"{path}: not readable as JSON: {error}") from error
+        raise BadInput(f"{path}: not readable as JSON: {error}") from error
     if not isinstance(found, dict):
-        raise DataLoadError(f"{path}: a JSON object is needed")
+        raise BadInput(f"{path}: a JSON object is needed")
     return found

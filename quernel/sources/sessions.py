@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.text import LINE_END, decode_utf8
+from quernel.functions.text import LINE_END, SESSION_NAME, decode_utf8
 
 TURNS = "array<struct<text:string,answer:string>>"
 MOST_PROMPTS = 1000
@@ -50,15 +50,12 @@ def save_session(spark: SparkSession, folder: str, name: str, turns: list[dict[s
     """Write one session's file anew; an empty list clears it."""
     import json
 
-    from quernel.errors import SourceError
+    from quernel.errors import BadInput
+    from quernel.sources.scratch import save_text
 
-    if not re.match(r"^[A-Za-z0-9][A-Za-z0-9._-]*$", name):
-        raise SourceError(f"invalid session name {name!r}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.json")
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    stream.write(bytearray(json.dumps(turns, ensure_ascii=False, indent=2).encode()))
-    stream.close()
+    if not re.match(SESSION_NAME, name):
+        raise BadInput(f"invalid session name {name!r}")
+    save_text(spark, f"{folder.rstrip('/')}/{name}.json", json.dumps(turns, ensure_ascii=False, indent=2))
 
 
 def prompt_lines(spark: SparkSession, path: str) -> DataFrame:

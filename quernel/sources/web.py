@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.errors import SourceError
+from quernel.errors import BadInput, CallFailed
 from quernel.functions.text import media_type, scheme_allowed
+from quernel.operators.scoring import call_with_retry
 
 Fetcher = Callable[[str], tuple[int, str, bytes]]
 
@@ -28,16 +29,17 @@ def http_fetcher(proxy: str | None = None, timeout: float = 30.0) -> Fetcher:
         except urllib.error.HTTPError as error:
             return error.code, error.headers.get("Content-Type", ""), b""
         except OSError as error:
-            raise SourceError(f"{url}: {error}") from error
+            raise BadInput(f"{url}: {error}") from error
 
     return fetch
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, *, url: str = "url", clients: int = 8) -> DataFrame:
+def fetch(urls: DataFrame, fetcher: Fetcher, *, url: str = "url", clients: int = 8, retries: int = 2) -> DataFrame:
     """(origin, status, content, content_type, error) of every url.
 
     At most ``clients`` partitions fetch at once.  Schemes other than http and https
-    are refused without a request; a failed fetch is a row with an ``error``.
+    are refused without a request; a failed fetch is a row with an ``error``, after
+    ``retries`` more attempts where the failure may pass.
     """
     rows = urls.select(F.col(url).alias("origin"), scheme_allowed(F.col(url)).alias("allowed")).repartition(clients)
 
@@ -49,8 +51,8 @@ def fetch(urls: DataFrame, fetcher: Fetcher, *, url: str = "url", clients: int =
                     out.append((origin, None, None, None, "unsupported scheme (http and https only)"))
                     continue
                 try:
-                    status, kind, content = fetcher(origin)
-                except (SourceError, OSError) as error:
+                    status, kind, content = call_with_retry(lambda u=origin: fetcher(u), retries)
+                except (BadInput, CallFailed, OSError) as error:
                     out.append((origin, None, None, None, str(error)))
                     continue
                 good = 200 <= status < 300
@@ -80,7 +82,7 @@ def probe(base: str, fetcher: Fetcher) -> dict:
         try:
             status, _, body = fetcher(address)
             return status, body
-        except (SourceError, OSError):
+        except (BadInput, OSError):
             return None, b""
 
     health, _ = get(health_address(base))
