@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, hash128, staged
+from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, staged
 
 UNIT_BITS = 24
 SLOT_ROWS = 256
@@ -44,6 +44,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"{NON_WHITESPACE_CLASS}++")), F.lit(0)).cast("long")
 
 
+def number_of(digits: Column) -> Column:
+    """Hexadecimal digits as a number."""
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def size_class(size: Column) -> Column:
+    """Eight classes a doubling: the binary length of size + 1, and the three bits after its first."""
+    bits = F.bin(size + 1)
+    return (F.char_length(bits) * 8 + F.conv(F.rpad(F.substring(bits, 2, 3), 3, "0"), 2, 10).cast("int")).cast("int")
+
+
 def shares(sizes: list[int], weights: list[int], total: Fraction, most: int) -> list[Fraction]:
     """Targets: ``total`` shared by weight, none above ``most`` times its size, and
     the excess shared again by weight among the rest until none is above."""
@@ -77,7 +88,7 @@ def _class_plan(sized: DataFrame, names: dict[str, str], targets: DataFrame) ->
     n = F.col(names["n"])
     classes = sized.groupBy(names["source"], names["class"]).agg(F.count("*").alias(names["n"]))
     placed = classes.withColumns({names["before"]: F.coalesce(F.sum(n).over(earlier), F.lit(0)), names["slots"]: F.ceil(n / SLOT_ROWS)})
-    return staged(placed.drop(names["n"]).join(targets, names["source"]), "mix-classes")
+    return staged(placed.drop(names["n"]).join(targets, names["source"]), "mix-classes", kept=True)
 
 
 def copies(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, keep: Sequence[str] | None = None) -> DataFrame:
@@ -87,29 +98,29 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", weights:
     made = ["size", "source_size", "target", "copies"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     own = docs.columns if keep is None else list(keep)
-    names = {k: free_name(docs, f"__{k}") for k in ("source", "class", "slots", "slot", "before", "expected", "source_size", "target", "size", "a", "b", "k", "start", "n")}
+    names = {k: free_name(docs, f"__{k}") for k in ("source", "class", "slots", "slot", "before", "expected", "source_size", "target", "size", "row", "k", "start", "n")}
     scalar = [F.col(f"`{c}`").cast("string") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "array", "struct", "variant")]
-    name, row = F.col(f"`{source}`").cast("string"), hash128(*scalar)
+    name = F.col(f"`{source}`").cast("string")
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in scalar]))
     sized = docs.select(
         *[F.col(f"`{c}`") for c in own],
         F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), name)).alias(names["source"]),
         word_count(F.col(f"`{text}`").cast("string")).alias(names["size"]),
-        row["a"].alias(names["a"]),
-        row["b"].alias(names["b"]),
+        row.alias(names["row"]),
     )
-    sized = staged(sized.withColumn(names["class"], F.floor(F.log2(F.col(names["size"]) + 1) * 8).cast("int")), "mix-sized")
+    sized = staged(sized.withColumn(names["class"], size_class(F.col(names["size"]))), "mix-sized", kept=True)
     plan = _class_plan(sized, names, _targets(sized, names, weights, share, most))
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     keys = [names["source"], names["class"]]
-    placed = sized.join(plan, keys).withColumn(names["slot"], F.pmod(F.col(names["a"]), F.col(names["slots"])))
+    placed = sized.join(plan, keys).withColumn(names["slot"], number_of(F.substring(names["row"], 1, 15)) % F.col(names["slots"]))
 
     counts = placed.groupBy(*keys, names["slot"]).agg(F.count("*").alias(names["n"]))
     earlier = Window.partitionBy(*keys).orderBy(names["slot"]).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, names["slot"], F.coalesce(F.sum(names["n"]).over(earlier), F.lit(0)).alias(names["start"]))
 
-    inside = Window.partitionBy(*keys, names["slot"]).orderBy(names["size"], names["a"], names["b"])
+    inside = Window.partitionBy(*keys, names["slot"]).orderBy(names["size"], names["row"])
     numbered = placed.withColumn(names["k"], F.row_number().over(inside)).join(starts, [*keys, names["slot"]])
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col(names["source"])), F.lit(1 << UNIT_BITS))
+    offset = number_of(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(names["source"]))), 1, UNIT_BITS // 4))
     upto = F.col(names["before"]) + F.col(names["start"]) + F.col(names["k"])
     boundary = lambda index: F.shiftright(offset + index * F.col(names["expected"]), UNIT_BITS)
     return numbered.select(

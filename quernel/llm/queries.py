@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm.bpe import bpe_encode
+from quernel.llm.common import LOWER, UPPER
 from quernel.llm.langid import identify_language
 from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.lmscore import cross_entropy_difference
@@ -16,7 +17,7 @@ from quernel.llm.mixing import copies
 from quernel.llm.neardup import near_duplicates
 from quernel.llm.pii import KINDS, count_kind, personal_data, spans_text
 from quernel.llm.topk import top_k
-from quernel.llm.urls import Rule, judge
+from quernel.llm.urls import LINK, Rule, judge
 
 #: Place of the public vocabularies on this machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -58,7 +59,27 @@ RULES = [
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES).drop("url")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+UPPER_LOWER = f"'{UPPER}', '{LOWER}'"
+#: The same rules; PageRank as the sum over walks of growing length, up to 200 links.
+OP4_SQL = rf"""
+WITH RECURSIVE cut AS (SELECT row_number() OVER () AS rid, page_id, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), {UPPER_LOWER}) AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+rules(verdict, h, p) AS (VALUES {", ".join(str(tuple(r)) for r in RULES)}),
+hits AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS kind FROM cut JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid),
+ruled AS (SELECT cut.*, rule, kind FROM cut LEFT JOIN hits USING (rid)),
+seeds AS (SELECT kind, host, count(*) / sum(count(*)) OVER (PARTITION BY kind) AS mass FROM ruled WHERE kind IS NOT NULL GROUP BY kind, host),
+links AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1), lambda x: translate(x, {UPPER_LOWER})))) AS dst FROM cut),
+edges AS (SELECT src, dst, count(*) AS w FROM links WHERE src <> dst AND src <> '' GROUP BY src, dst),
+ways AS (SELECT 'allow' AS kind, src, dst, w FROM edges UNION ALL SELECT 'block', dst, src, w FROM edges),
+flow AS (SELECT kind, src, dst, 0.85 * w / sum(w) OVER (PARTITION BY kind, src) AS share FROM ways),
+walks(n, kind, host, score) AS (SELECT 0, kind, host, 0.15::DOUBLE * mass FROM seeds
+    UNION ALL SELECT n + 1, walks.kind, dst, sum(score * share) FROM walks JOIN flow ON flow.kind = walks.kind AND src = host WHERE n < 200 GROUP BY n, walks.kind, dst),
+scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM walks GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN scores USING (host)
+"""
 
 
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +120,26 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+#: The same with sums over sources, classes and slots; targets by filling sources in order of their limit for each unit of weight.
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws('|', coalesce('+' || doc_id, '-'), coalesce('+' || text, '-'), coalesce('+' || source, '-'))) AS k FROM documents),
+sources AS (SELECT s, sum(size)::HUGEINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY s = '', s) - 1) % 3 + 1]::HUGEINT AS w FROM docs GROUP BY s),
+filled AS (SELECT *, row_number() OVER f AS i, 3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER e, 0) AS twice_left, sum(w) OVER () - coalesce(sum(w) OVER e, 0) AS open_w FROM sources
+    WINDOW f AS (ORDER BY 2 * source_size / w, s), e AS (ORDER BY 2 * source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first AS (SELECT min(i) AS i FROM filled WHERE twice_left * w <= 4 * source_size * open_w),
+level AS (SELECT f.i, f.twice_left, f.open_w FROM filled f JOIN first ON f.i = first.i),
+targets AS (SELECT s, source_size, CASE WHEN filled.i < coalesce(level.i, 1000000000) THEN (2 * source_size)::DOUBLE ELSE (level.twice_left * w)::DOUBLE / (2 * level.open_w)::DOUBLE END AS target,
+    CASE WHEN source_size = 0 THEN 0 WHEN filled.i < coalesce(level.i, 1000000000) THEN 33554432 ELSE (level.twice_left * w * 16777216) // (2 * level.open_w) // source_size END AS expected
+    FROM filled LEFT JOIN level ON true),
+classed AS (SELECT *, length(bin(size + 1)) * 8 + list_position(['000', '001', '010', '011', '100', '101', '110', '111'], rpad(substr(bin(size + 1), 2, 3), 3, '0')) AS c FROM docs),
+slotted AS (SELECT *, ('0x' || substr(k, 1, 15))::BIGINT % ceil(count(*) OVER (PARTITION BY s, c) / 256.0)::BIGINT AS slot FROM classed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c, slot, size, k) AS upto, ('0x' || substr(md5('17#' || s), 1, 6))::BIGINT AS start FROM slotted)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, size * (((start + upto * expected::BIGINT) >> 24) - ((start + (upto - 1) * expected::BIGINT) >> 24)) AS taken
+FROM placed JOIN targets USING (s)
+"""
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -109,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op8_lines": OP8_SQL}
+    return {"op3_topk": OP3_SQL, "op4_urls": OP4_SQL, "op8_lines": OP8_SQL, "op9_mixing": OP9_SQL}
