@@ -15,6 +15,10 @@ the last return the columns of ``documents``.
    the least id.
 4. mixing: every document is emitted as often as the systematic sampling says.
 5. tokens: every emitted document is encoded, decoded and described by digests.
+
+Null texts and ids, empty and very long texts, ties, repeated rows, an empty table and
+extra columns are treated as each operator states; extra columns pass through to the
+last stage.  Of rows with equal id and text near_duplicates keeps the same one on every run.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm.bpe import bpe_encode
-from quernel.llm.common import staged
+from quernel.llm.common import scratch, staged
 from quernel.llm.langid import UNKNOWN, predict, train_on_documents
 from quernel.llm.linededup import drop_repeated_lines
 from quernel.llm.mixing import mix
@@ -77,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage wrote on its way goes when its result is there
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)

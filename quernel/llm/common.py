@@ -6,8 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def scratched(operator: Callable) -> Callable:
+    """An operator, a function of a DataFrame first, within a :func:`scratch` of its own."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        with scratch(df.sparkSession):
+            return operator(df, *args, **options)
+
+    return run
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder with the file system that owns it."""
     jvm = spark.sparkContext._jvm

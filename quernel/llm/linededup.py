@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WHITESPACE, ascii_lower, children, free_name, hash128, remove, shared_path, staged
+from quernel.llm.common import WHITESPACE, ascii_lower, children, free_name, hash128, remove, scratched, shared_path, staged
 
 KEY = ["a", "b"]
 
@@ -115,9 +115,9 @@ class LineRuns:
         """The rows of ``keys`` (with columns a and b) whose key is in no run yet."""
         return reduce(lambda left, run: left.join(run.select(*KEY).hint("merge"), KEY, "left_anti"), self.runs(), keys)
 
-    def add(self, keys: DataFrame, batch: str | None = None) -> DataFrame:
-        """Add a batch, one row (a, b) for each document and distinct key in it, and return the keys that no earlier
-        batch had.  A named batch that the folder has already is passed over."""
+    def add(self, keys: DataFrame, batch: str | None = None, fresh: bool = False) -> DataFrame | None:
+        """Add a batch, one row (a, b) for each document and distinct key in it, and return, if asked for ``fresh``
+        ones, the keys that no earlier batch had.  A named batch that the folder has already is passed over."""
         if batch is not None and batch in self.batches:
             return self.spark.range(0).select(*[F.col("id").alias(c) for c in (*KEY, "n")])
         with _sorted_scans(self.spark):
@@ -130,10 +130,10 @@ class LineRuns:
             self.levels["keys"][0].append(own)
             self.batches.append(batch or own)
             self._commit()
-            fresh = staged(self._read(own), "line-fresh", kept=True)  # the run itself may be compacted away
+            new = staged(self._read(own), "line-fresh", kept=True) if fresh else None  # the run itself may be compacted away
             for kind in self.levels:
                 self._compact(kind)
-        return fresh
+        return new
 
     def _compact(self, kind: str) -> None:
         """Merge the runs of every full level, two at a time, into one of the next; counts of a key add up."""
@@ -174,6 +174,7 @@ class LineRuns:
         remove(self.spark, self.folder)
 
 
+@scratched
 def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """Remove all lines whose key is in at least ``min_docs`` documents.
 

@@ -15,8 +15,11 @@ p(w|c) = (n(cw) + k p'(w|c')) / (n(c) + k).  A document's own counts are taken o
 a model that was counted over it, so that no document is scored by what it brought along.
 
 Null and empty texts have no token and the score 0.  An empty target gives the
-uniform distribution for the target.  Repeated rows get equal scores.  Rows with the
-same id share a block.
+uniform distribution for the target.  Repeated rows, as ties, get equal scores.  Rows with
+the same id share a block; rows with a null id are dealt by their text and are in no
+target.  A very long text is one row of a block and is counted piece by piece, with no
+n-gram lost between pieces.  An empty table gives an empty result.  Only the id and the
+text are read, so extra columns may have any name; the id's name is kept.
 """
 
 from __future__ import annotations

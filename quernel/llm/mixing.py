@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, staged
+from quernel.llm.common import NON_WHITESPACE_CLASS, free_name, scratched, staged
 
 UNIT_BITS = 24
 SLOT_ROWS = 256
@@ -91,6 +91,7 @@ def _class_plan(sized: DataFrame, names: dict[str, str], targets: DataFrame) ->
     return staged(placed.drop(names["n"]).join(targets, names["source"]), "mix-classes", kept=True)
 
 
+@scratched
 def copies(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, how often
     the mix emits the row; columns of ``docs`` with these names are replaced.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import free_name, hash128, scratch, staged
+from quernel.llm.common import free_name, hash128, scratch, scratched, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -381,6 +381,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         return signed.select("id", "node").join(classes, "node").select(F.col("id").alias(id_column), "class_id", "node", "class_node")
 
 
+@scratched
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the one with the least id (a null
     id comes last), then the least text hash; of rows that share both the one whose

@@ -28,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import LOWER, UPPER, free_name, remove, shared_path, staged
+from quernel.llm.common import LOWER, UPPER, free_name, remove, scratched, shared_path, staged
 
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -96,6 +96,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return score
 
 
+@scratched
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", threshold: float = 1.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict, trust and distrust; columns with
     these names are replaced, and the html column is left out."""

@@ -50,7 +50,7 @@ def keyed(spark, *n):
 
 def test_runs_compact_and_tell_new_keys(spark):
     runs = ld.LineRuns(spark, min_docs=3, fanout=2)
-    fresh = [{r["a"] for r in runs.add(keyed(spark, *batch)).collect()} for batch in ((1, 1, 2), (1, 3), (2, 2, 4), (1, 4), (4, 5))]
+    fresh = [{r["a"] for r in runs.add(keyed(spark, *batch), fresh=True).collect()} for batch in ((1, 1, 2), (1, 3), (2, 2, 4), (1, 4), (4, 5))]
     assert fresh[0] == {1, 2} and fresh[4] == {5}
     assert len(runs.levels["keys"]) >= 3 and len(runs.levels["tallies"]) >= 3
     stored = [r["a"] for run in runs.runs() for r in run.collect()]
@@ -70,7 +70,7 @@ def test_a_folder_is_opened_again(spark, tmp_path):
         for name in spark.catalog.listTables(pattern="quernel_lines_*"):
             spark.sql(f"DROP TABLE {name.name}")  # as in a new session, which knows no table
         runs.add(keyed(spark, *batch), str(i))
-        assert runs.add(keyed(spark, *batch), str(i)).count() == 0  # a repeated batch counts once
+        assert runs.add(keyed(spark, *batch), str(i), fresh=True).count() == 0  # a repeated batch counts once
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         again = ld.LineRuns(spark, folder=f"file://{tmp_path}/runs", min_docs=3, fanout=2)
