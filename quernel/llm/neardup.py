@@ -40,7 +40,7 @@ from quernel.llm.common import free_name, hash128, scratch, scratched, staged
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-BLOCK = 256
+BLOCK = 128
 PIECE = 1 << 22
 COLUMNS = 4096
 
