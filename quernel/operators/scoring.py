@@ -8,8 +8,9 @@ samples of one segment are distinct calls, also behind a cache.
 
 from __future__ import annotations
 
+import asyncio
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Awaitable, Callable, Iterator, Sequence
 from typing import TypeVar
 
 import pandas as pd
@@ -46,18 +47,52 @@ def transient(error: BaseException) -> bool:
     return getattr(error, "kind", None) in TRANSIENT_KINDS or (isinstance(status, int) and (status in TRANSIENT_STATUS or status >= 500))
 
 
+def wait_after(error: Exception, attempt: int, retries: int) -> float:
+    """Seconds to wait after a failed attempt; raises ``error`` where no other attempt is due."""
+    if attempt > retries or not transient(error):
+        raise error
+    return min(LONGEST_WAIT, 2.0 ** (attempt - 1))
+
+
 def call_with_retry(call: Callable[[], R], retries: int = 2, sleep: Callable[[float], None] = time.sleep) -> R:
     """``call()``, again after transient failures only, at most ``retries`` more times."""
     for attempt in range(1, retries + 2):
         try:
             return call()
         except Exception as error:
-            if attempt > retries or not transient(error):
-                raise
-            sleep(min(LONGEST_WAIT, 2.0 ** (attempt - 1)))
+            sleep(wait_after(error, attempt, retries))
+    raise CallFailed("no attempt was allowed")
+
+
+async def await_with_retry(call: Callable[[], Awaitable[R]], retries: int = 2, sleep: Callable[[float], Awaitable] = asyncio.sleep) -> R:
+    """:func:`call_with_retry` for calls that are awaited; other calls go on meanwhile."""
+    for attempt in range(1, retries + 2):
+        try:
+            return await call()
+        except Exception as error:
+            await sleep(wait_after(error, attempt, retries))
     raise CallFailed("no attempt was allowed")
 
 
+def concurrent(call: Callable[[str, int], Awaitable[tuple[object, str]]], at_once: int = 8, retries: int = 2) -> Scorer:
+    """A scorer of batches out of a coroutine function for one segment and sample index.
+
+    Up to ``at_once`` calls of a batch are under way together, and each is retried alone.
+    Give it to :func:`score_with` with ``retries=0``, or a batch would be sent again.
+    """
+
+    async def batch(segments: Sequence[str], indexes: Sequence[int]) -> list[tuple[object, str]]:
+        free = asyncio.Semaphore(at_once)
+
+        async def one(segment: str, index: int) -> tuple[object, str]:
+            async with free:
+                return await await_with_retry(lambda: call(segment, index), retries)
+
+        return await asyncio.gather(*[one(s, i) for s, i in zip(segments, indexes, strict=True)])
+
+    return lambda segments, indexes: asyncio.run(batch(segments, indexes))
+
+
 def stub_score(segment: Column, sample_idx: Column) -> Column:
     """A deterministic stand-in for a model: a whole number from -10 to 10 by hash.
 

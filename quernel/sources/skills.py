@@ -17,21 +17,45 @@ NAME = r"^[a-z][a-z0-9_-]*$"
 BUILTIN, USER = "builtin", "user"
 
 
-def _unquoted(value: Column) -> Column:
-    plain = strip(F.regexp_replace(value, rf"[{SPACE}]#.*$", ""))
-    quoted = F.regexp_extract(value, rf"""^[{SPACE}]*(["'])(.*)\1[{SPACE}]*$""", 2)
-    return F.when(value.rlike(rf"""^[{SPACE}]*(["']).*\1[{SPACE}]*$"""), quoted).otherwise(plain)
+def _block(value: Column) -> Column:
+    """The text of a block scalar: ``|`` keeps line ends, ``>`` folds them; ``-`` drops the last one."""
+    body = F.regexp_replace(F.regexp_extract(value, r"(?s)^[^\n]*\n(.*)$", 1), r"(?m)^#[^\n]*\n?", "")
+    indent = F.regexp_extract(body, r"^(?:[ \t]*\n)*( *)[^ \n]", 1)
+    kept = F.regexp_replace(F.regexp_replace(body, F.concat(F.lit("(?m)^"), indent), F.lit("")), r"\s+$", "")
+    folded = F.regexp_replace(F.regexp_replace(kept, r"(?<!\n)\n(?!\n)", " "), r"\n(\n+)", "$1")
+    text = F.when(value.rlike(r"^[ \t]*>"), folded).otherwise(kept)
+    return F.when(value.rlike(r"^[ \t]*[|>]-") | (kept == ""), text).otherwise(F.concat(text, F.lit("\n")))
+
+
+def _scalar(value: Column) -> Column:
+    """What follows a key: a block, a quoted or a plain text; the last two may go on over lines. Empty for no value."""
+    line = F.regexp_replace(F.regexp_replace(value, r"\n[ \t]*#[^\n]*", ""), r"[ \t]*\n\s*", " ")
+    double = rf"""^[{SPACE}]*"((?:[^"\\]++|\\.)*+)"[{SPACE}]*(?:[{SPACE}]#.*)?$"""
+    single = rf"""^[{SPACE}]*'((?:[^']++|'')*+)'[{SPACE}]*(?:[{SPACE}]#.*)?$"""
+    inside = F.regexp_extract(line, double, 1)
+    escaped = F.get(F.from_json(F.concat(F.lit('["'), inside, F.lit('"]')), "array<string>"), F.lit(0))
+    plain = strip(F.regexp_replace(line, rf"[{SPACE}]#.*$", ""))
+    return (
+        F.when(value.rlike(r"^[ \t]*[|>][+-]?[ \t]*(?:#[^\n]*)?(?:\n|$)"), _block(value))
+        .when(line.rlike(double), F.coalesce(escaped, inside))
+        .when(line.rlike(single), F.replace(F.regexp_extract(line, single, 1), F.lit("''"), F.lit("'")))
+        .otherwise(F.when(plain.isin("~", "null"), "").otherwise(plain))
+    )
 
 
 def parse_manifest(text: Column) -> Column:
     """A struct of the header's fields and ``error`` (null where the manifest is valid).
 
-    The header is a block of ``key: value`` lines between two fences.
+    The header is a mapping of texts between two fences, in the part of YAML that such
+    headers use: plain, quoted and block texts, comments, values that go on over
+    indented lines.  Flow and nested collections are refused as unknown or invalid.
     """
     body = F.regexp_replace(text, rf"^[{SPACE}]+", "")
     parts = F.split(body, FENCE, 3)
-    lines = F.filter(F.transform(F.split(F.get(parts, F.lit(1)), LINE_END, -1), lambda x: x), lambda x: strip(x).rlike(r"^[^#]"))
-    pair = F.transform(lines, lambda x: F.struct(strip(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), _unquoted(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v"), x.contains(":").alias("ok")))
+    header = F.regexp_replace(F.get(parts, F.lit(1)), LINE_END, "\n")
+    level = F.regexp_replace(header, F.concat(F.lit("(?m)^"), F.regexp_extract(header, r"(?:^|\n)( *)[^\s#]", 1)), F.lit(""))
+    entries = F.filter(F.split(level, r"\n(?=[^\s#])", -1), lambda x: strip(F.regexp_replace(x, r"(?m)^[ \t]*#[^\n]*", "")) != "")
+    pair = F.transform(entries, lambda x: F.struct(strip(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), _scalar(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)).alias("v"), x.contains(":").alias("ok")))
     has = lambda k: F.exists(pair, lambda p: p["k"] == k)
     value = lambda k: F.get(F.transform(F.filter(pair, lambda p: p["k"] == k), lambda p: F.nullif(p["v"], F.lit(""))), F.lit(0))
     extra = F.filter(F.transform(pair, lambda p: p["k"]), lambda k: ~k.isin(*FIELDS))

@@ -33,6 +33,39 @@ def test_retry():
         assert len(calls) == n
 
 
+def test_concurrent_calls_are_bounded_and_retried_alone(spark):
+    import asyncio
+
+    tried, under_way, most = [], [], []
+
+    async def call(segment, index):
+        tried.append(segment)
+        under_way.append(1)
+        most.append(len(under_way))
+        await asyncio.sleep(0.01)
+        under_way.pop()
+        if segment == "b" and tried.count("b") == 1:
+            raise CallFailed("busy", status=429)
+        return index, segment.upper()
+
+    assert scoring.concurrent(call, at_once=2)("abcd", [0, 1, 2, 3]) == [(0, "A"), (1, "B"), (2, "C"), (3, "D")]
+    assert max(most) == 2 and sorted(tried) == list("abbcd")
+
+    async def broken(segment, index):
+        tried.append(segment)
+        raise CallFailed("bad", status=400)
+
+    with pytest.raises(CallFailed):
+        scoring.concurrent(broken)(["x"], [0])
+    assert tried.count("x") == 1
+
+    async def length(segment, index):
+        return len(segment), ""
+
+    rows = spark.createDataFrame([("aa", 0), ("b", 0)], "segment string, sample_idx int")
+    assert {r["segment"]: r["raw"] for r in scoring.score_with(rows, scoring.concurrent(length), retries=0).collect()} == {"aa": "2", "b": "1"}
+
+
 def test_scorer_runs_each_distinct_call_once(spark, tmp_path):
     log = str(tmp_path / "calls")
 
@@ -147,6 +180,26 @@ def test_skills(spark, tmp_path):
     assert known.where("name = 'extract'").select(skills.dataset_path(F.lit("/d/"), F.col("trainset"))).first()[0] == "/d/t.jsonl"
 
 
+MANIFESTS = [
+    ("---\nname: a\ndescription: >\n  one\n  two\n\n  three\n---\n", ("a", "one two\nthree\n", None)),
+    ("---\r\nname: a\r\ndescription: |-\r\n  one\r\n    two\r\nversion: 1\r\n---", ("a", "one\n  two", None)),
+    ("---\n# first\nname: a # short\ndescription: one\n  two: three\n# last\n---\n", ("a", "one two: three", None)),
+    ('---\n  name: "a"\n  description: "say \\"no\\"" # so\n---\n', ("a", 'say "no"', None)),
+    ("---\nname: 'a'\ndescription: 'it''s\n  long'\ntrainset: ~\n---\n", ("a", "it's long", None)),
+    ("---\nname: a\n- item\n---\n", (None, None, "the header block must be a mapping")),
+    ("---\nname: a\ncolour: red\n---\n", (None, None, "unknown fields: colour")),
+    ("---\n---\n", (None, None, "name and description are needed")),
+]
+
+
+def test_manifest_headers(spark):
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(MANIFESTS)], "i int, text string")
+    got = {r["i"]: r["m"] for r in rows.select("i", skills.parse_manifest(F.col("text")).alias("m")).collect()}
+    for i, (_, (name, description, error)) in enumerate(MANIFESTS):
+        assert got[i]["error"] == error
+        assert error or (got[i]["name"], got[i]["description"], got[i]["trainset"]) == (name, description, None)
+
+
 def test_model_names(spark):
     registry = catalog.model_registry(spark, {"big": {"model": "m", "ctx": 131072, "reasoning": "nothink"}, "baked": {"model": "Some@131072"}, "both": {"model": "x@1", "ctx": 2}, "tag": {"model": "org/model@latest"}}, "mine")
     got = {r["alias"]: r["model_string"] for r in catalog.model_aliases(registry).collect()}
