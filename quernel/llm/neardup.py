@@ -1,7 +1,9 @@
 """Near-duplicate classes by DartMinHash and banded joining (operator 2).
 
-A text is the weighted set of its shingles of five words, each weighing as often as it
-occurs (or, by choice, 1); words are split at ASCII white space.  DartMinHash throws hashed darts at the plane of
+A text is the weighted set of its shingles of five words; words are split at ASCII white
+space.  A shingle weighs the number of binary digits of its count (1 for one, 2 for two or
+three, 9 for 300), or, by choice, always 1: repetition counts, but one phrase repeated
+hundreds of times doesn't outweigh the rest of two different texts.  DartMinHash throws hashed darts at the plane of
 weight and rank above every shingle; those under the shingle's weight count, the
 earliest one for each coordinate is the signature, and two texts agree in a
 coordinate with the probability of their (weighted) Jaccard similarity.  Bands of
@@ -86,8 +88,8 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingles(text: bytes, multiset: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a text and their weights (1, or how often each occurs)."""
+def shingles(text: bytes, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a text and their weights (1, or the binary digits of how often each occurs)."""
     w = word_hashes(text)
     if not len(w):
         return w, np.zeros(0)
@@ -96,7 +98,7 @@ def shingles(text: bytes, multiset: bool = False) -> tuple[np.ndarray, np.ndarra
     for j in range(size):
         h = h * np.uint64(0xA24BAED4963EE407) + w[j : j + len(h)]
     found, n = np.unique(_mix(h), return_counts=True)
-    return found, n.astype(float) if multiset else np.ones(len(found))
+    return found, np.frexp(n)[1].astype(float) if weighted else np.ones(len(found))
 
 
 def _darts(h: np.ndarray, weight: np.ndarray, reach: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +161,7 @@ def text_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def signatures(docs: DataFrame, id_column: str, text: str, multiset: bool, bands: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, id_column: str, text: str, weighted: bool, bands: int, rows: int) -> DataFrame:
     """(id, node, n, bands) of every row: text hash, weight of all shingles, band keys (empty without words)."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_hash(body).alias("node"), body.cast("binary").alias("text"))
@@ -170,7 +172,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, multiset: bool, bands
                 part = batch.slice(at, 512)
                 sizes, keys = [], []
                 for cell in part.column(2):
-                    h, weight = shingles(cell.as_py(), multiset)
+                    h, weight = shingles(cell.as_py(), weighted)
                     sizes.append(int(weight.sum()))
                     keys.append(band_keys(dart_minhash(h, weight, bands * rows), bands, rows) if len(h) else np.zeros(0, np.int64))
                 lengths = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
@@ -190,7 +192,7 @@ def _similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray],
     return bool(shared >= least * (total - shared) - 1e-9)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, multiset: bool, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
     """The pairs (node, hub) whose whole texts have a similarity of at least ``least``."""
     left = pairs.select("node", "hub").join(texts.select("node", "text").hint("merge"), "node")
     both = left.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub").select("node", "text", "hub", "hub_text")
@@ -202,8 +204,8 @@ def verified(pairs: DataFrame, texts: DataFrame, multiset: bool, least: float) -
             for i in range(batch.num_rows):
                 node, text, hub, hub_text = (batch.column(c)[i].as_py() for c in range(4))
                 if hub != last:
-                    last, known = hub, shingles(hub_text, multiset)
-                if _similar(shingles(text, multiset), known, least):
+                    last, known = hub, shingles(hub_text, weighted)
+                if _similar(shingles(text, weighted), known, least):
                     nodes.append(node)
                     hubs.append(hub)
             yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "hub": pa.array(hubs, pa.binary())})
@@ -229,13 +231,13 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _forest(texts: list[bytes], nodes: list[bytes], comps: list[bytes], side: np.ndarray, multiset: bool, least: float) -> list[tuple[bytes, bytes]]:
+def _forest(texts: list[bytes], nodes: list[bytes], comps: list[bytes], side: np.ndarray, weighted: bool, least: float) -> list[tuple[bytes, bytes]]:
     """Links between classes among the texts of a pair of blocks, as a forest.
 
     ``side`` is 0 and 1 for the two blocks, whose pairs across count, or 0 throughout
     for a block with itself.
     """
-    own = [shingles(t, multiset) for t in texts]
+    own = [shingles(t, weighted) for t in texts]
     size = np.array([w.sum() for _, w in own])
     count = len(own)
     flat = np.concatenate([h for h, _ in own])
@@ -306,7 +308,7 @@ def second_hubs(around: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return weighed.join(chosen, "hub").where(fits & (F.col("comp") != F.col("next_comp"))).select("node", F.col("next").alias("hub")).dropDuplicates()
 
 
-def unsettled_links(around: DataFrame, texts: DataFrame, multiset: bool, least: float) -> DataFrame:
+def unsettled_links(around: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
     """Links (node, hub) between nodes around a hub that are still in different classes.
 
     The open nodes around a hub are cut into blocks, and so are those of its largest
@@ -329,17 +331,17 @@ def unsettled_links(around: DataFrame, texts: DataFrame, multiset: bool, least:
     def run(t: pa.Table) -> pa.Table:
         nodes, comps = t.column("node").to_pylist(), t.column("comp").to_pylist()
         side = (t.column("block").to_numpy() != t.column("i")[0].as_py()).astype(int)
-        found = _forest(t.column("text").to_pylist(), nodes, comps, side, multiset, least)
+        found = _forest(t.column("text").to_pylist(), nodes, comps, side, weighted, least)
         return pa.table({"node": pa.array([a for a, _ in found], pa.binary()), "hub": pa.array([b for _, b in found], pa.binary())})
 
     return full.groupBy("hub", "i", "j").applyInArrow(run, "node binary, hub binary")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, multiset: bool = True, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *, weighted: bool = True, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id, node, class_node) of every row; node names the text, class_node
     the class also where ids are null."""
     with scratch(docs.sparkSession):
-        signed = staged(signatures(docs, id_column, text, multiset, bands, rows), "neardup-signed", kept=True)
+        signed = staged(signatures(docs, id_column, text, weighted, bands, rows), "neardup-signed", kept=True)
         nodes = signed.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
         nodes = staged(nodes, "neardup-nodes")
 
@@ -361,16 +363,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         texts = staged(source.join(known, match, "left_semi").select("node", "text").dropDuplicates(["node"]), "neardup-texts")
 
         fitting = pairs.where(F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n") - 1e-9)
-        links = staged(verified(fitting, texts, multiset, similarity), "neardup-links")
+        links = staged(verified(fitting, texts, weighted, similarity), "neardup-links")
         comp = components(links)
         around = _around(pairs, comp)
         again = second_hubs(around, nodes, similarity)
-        more = staged(verified(again, texts, multiset, similarity), "neardup-links")
+        more = staged(verified(again, texts, weighted, similarity), "neardup-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links)
             around = _around(pairs, comp)
-        more = staged(unsettled_links(around, texts, multiset, similarity), "neardup-more")
+        more = staged(unsettled_links(around, texts, weighted, similarity), "neardup-more")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
 

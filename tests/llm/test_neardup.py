@@ -9,7 +9,8 @@ from quernel.llm import neardup as nd
 
 def shingle_bag(text):
     w = (text or "").split()
-    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    counts = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    return Counter({k: n.bit_length() for k, n in counts.items()})
 
 
 def brute(rows):
@@ -50,7 +51,7 @@ def planted(words):
     for i in range(6):
         texts += copies_of(texts[i], 4, [1, 2], i)
     texts += copies_of(words(999, 150), 320, [0, 1, 2, 3, 4, 5, 6, 8], 5)  # a group whose members are not all alike
-    for i in range(8):  # lines that are repeated weigh as often as they occur
+    for i in range(8):  # lines that are repeated weigh more, the more often they occur
         line = words(500 + i, 12)
         texts += ["\n".join([line] * n + [texts[i]]) for n in (3, 12, 13, 14, 40)]
     texts += texts[:30]
@@ -74,15 +75,22 @@ def test_signature_estimates_weighted_similarity():
     assert abs((one == two).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
 
 
-def test_weights_are_counts_or_one(spark):
+def test_weights_grow_with_counts_or_are_one(spark):
     base = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, base), (2, " ".join([base] * 4)), (3, " ".join([base] * 4) + " tail")], "doc_id long, text string")
     classes = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()}
     assert classes == {1: 1, 2: 2, 3: 2}
-    classes = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs, multiset=False, similarity=0.6).collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs, weighted=False, similarity=0.6).collect()}
     assert classes == {1: 1, 2: 1, 3: 1}
 
 
+def test_a_repeated_phrase_does_not_join_different_texts(spark, words):
+    phrase = "\n".join([words(7, 12)] * 300)
+    rows = [(i, f"{phrase}\n{words(20 + i, 60)}") for i in range(4)]
+    docs = spark.createDataFrame([*rows, (9, rows[0][1] + " tail")], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
+
+
 def test_the_same_row_stays_on_every_run(spark):
     rows = [(1, "same id and text", s, s * 3) for s in "dcba"] + [(2, "same id and text", "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
