@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +49,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/quernel-{label}-{uuid.uuid4().hex}"
 
 
-#: Paths to remove at the end of each open :func:`scratch`, innermost last.
-_scratch: list[list[str]] = []
+#: Paths to remove at the end of each open :func:`scratch`, innermost last; operators in other threads have their own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def staged(df: DataFrame, label: str, kept: bool = False, by: Sequence[str] = ()) -> DataFrame:
@@ -63,7 +64,7 @@ def staged(df: DataFrame, label: str, kept: bool = False, by: Sequence[str] = ()
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.partitionBy(*by).parquet(path)
-    open_ = _scratch[:-1] if kept else _scratch
+    open_ = _scratch.get()[:-1] if kept else _scratch.get()
     if open_:
         open_[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -72,11 +73,13 @@ def staged(df: DataFrame, label: str, kept: bool = False, by: Sequence[str] = ()
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove what :func:`staged` wrote meanwhile from the shared folder."""
-    _scratch.append([])
+    paths: list[str] = []
+    before = _scratch.set((*_scratch.get(), paths))
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(before)
+        for path in paths:
             remove(spark, path)
 
 
