@@ -54,3 +54,11 @@ def test_mixing_with_odd_rows_equals_sql(spark, tmp_path, odd_docs):
 def test_query_has_a_row_for_every_document(spark, name):
     docs = {r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
     assert {r["doc_id"] for r in llm.queries()[name](spark, FOLDER).select("doc_id").collect()} == docs
+
+
+def test_filter_audit_with_odd_rows_equals_sql(spark, tmp_path, odd_docs):
+    odd_docs.select("doc_id", "text", "lang").coalesce(1).write.parquet(f"{tmp_path}/raw")
+    os.rename(glob.glob(f"{tmp_path}/raw/*.parquet")[0], f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (12, 1, None)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/marks")
+    os.rename(glob.glob(f"{tmp_path}/marks/*.parquet")[0], f"{tmp_path}/labels.parquet")
+    compare(spark, "op12_filters", str(tmp_path))
