@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import importlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +15,10 @@ from quernel.errors import BadSkill, NoSkill
 from quernel.functions.text import casefold, overlap, strip, tokens
 from quernel.operators.scoring import call_with_retry
 
-#: Skills up to which a catalog is inlined into a routing plan; a larger one is joined by word.
-MOST_SKILLS = 1000
+#: Skills up to which a word pairs them with requests one by one.
+COMMON = 64
+#: Skills that a selector is offered.
+SHORTLIST = 20
 
 
 def latest_wins(rows: DataFrame, key: str, priority: str) -> DataFrame:
@@ -50,86 +50,105 @@ def get_skill(skills: DataFrame, name: str) -> dict:
     return found.asDict()
 
 
-def _inlined(skills: DataFrame) -> list[tuple[str, str]] | None:
-    """The catalog's names and descriptions in order, or None where it is too large for a plan."""
-    rows = skills.select("name", "description").orderBy("name").limit(MOST_SKILLS + 1).collect()
-    return None if len(rows) > MOST_SKILLS else [(r["name"], r["description"] or "") for r in rows]
+def _listed(skills: DataFrame) -> DataFrame:
+    return skills.select("name", tokens(F.concat_ws(" ", "name", "description")).alias("words"))
 
 
-def _words(texts: Sequence[str]) -> list[list[str]]:
-    """:func:`tokens` of the catalog's texts, once on the driver."""
-    return [list(dict.fromkeys(re.findall("[a-z0-9]+", t.casefold()))) for t in texts]
+def _best(marks: DataFrame, key: str, top: int) -> DataFrame:
+    """(key, ranked): of rows (key, name, overlap) the first ``top`` a key, best first, ties by name."""
+    order = F.array_sort(F.collect_set(F.struct((-F.col("overlap")).alias("minus"), "name")))
+    named = F.transform(F.slice(order, 1, top), lambda m: F.struct(m["name"].alias("name"), (-m["minus"]).cast("int").alias("overlap")))
+    return marks.groupBy(key).agg(named.alias("ranked"))
 
 
-def rank_skills(requests: DataFrame, skills: DataFrame, request: str = "request") -> DataFrame:
-    """Add ``ranked``: (overlap, name) of all skills, best first, ties by name.
+def rank_skills(requests: DataFrame, skills: DataFrame, request: str = "request", top: int = 2, common: int = COMMON) -> DataFrame:
+    """Add ``ranked``: (name, overlap) of the ``top`` skills that share the most words, best first, ties by name.
 
-    A small catalog goes into the plan, and requests are neither joined nor shuffled.  Of
-    one with more than ``MOST_SKILLS`` skills only those that share a word are ranked, by
-    a join on words; what shares none could not be routed to either.
+    An inverted index, with one answer at every size of the catalog, whose sides Spark broadcasts or
+    shuffles by their size.  Distinct requests meet skills only through words that at most ``common``
+    skills have.  Words of more skills would pair nearly all requests with nearly all skills, so there
+    the distinct sets of such words meet, each standing for all requests or skills that have it: a skill
+    that shares no rarer word can only rank among the first of its set.  Fewer sharing skills than
+    ``top`` are followed by others in order of name, with an overlap of 0.
     """
-    catalog = _inlined(skills)
-    if catalog is None:
-        return _rank_by_words(requests, skills, request)
-    if not catalog:
-        return requests.withColumn("ranked", F.array().cast("array<struct<name:string,overlap:int>>"))
-    words = requests.withColumn("__words", tokens(F.col(request)))
-    listed = _words([f"{n} {d}" for n, d in catalog])
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, w)).cast("array<string>").alias("words")) for (n, _), w in zip(catalog, listed, strict=True)])
-    marks = F.transform(table, lambda s: F.struct((-overlap(F.col("__words"), s["words"])).alias("minus"), s["name"].alias("name")))
-    ranked = F.transform(F.array_sort(marks), lambda m: F.struct(m["name"].alias("name"), (-m["minus"]).alias("overlap")))
-    return words.withColumn("ranked", ranked).drop("__words")
-
-
-def _rank_by_words(requests: DataFrame, skills: DataFrame, request: str) -> DataFrame:
-    key = F.md5(F.col(request))
-    own = requests.select(key.alias("__key"), F.col(request).alias("__request")).dropDuplicates(["__key"])
-    asked = own.select("__key", F.explode(tokens(F.col("__request"))).alias("word"))
-    listed = skills.select("name", F.explode(tokens(F.concat_ws(" ", "name", "description"))).alias("word"))
-    marks = asked.join(listed, "word").groupBy("__key", "name").agg(F.count("*").cast("int").alias("overlap"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("minus"), "name")))
-    ranked = marks.groupBy("__key").agg(F.transform(order, lambda m: F.struct(m["name"].alias("name"), (-m["minus"]).alias("overlap"))).alias("ranked"))
+    key = F.md5(F.coalesce(F.col(request), F.lit("")))
+    asked = requests.select(key.alias("__key"), F.col(request).alias("__request")).groupBy("__key").agg(F.first("__request").alias("__request"))
+    asked = asked.select("__key", F.explode(tokens(F.col("__request"))).alias("word"))
+    listed = _listed(skills).select("name", F.explode("words").alias("word"))
+    spread = listed.groupBy("word").agg((F.count("*") > common).alias("frequent"))
+    asked, listed = asked.join(spread, "word"), listed.join(spread, "word")
+
+    def frequent_sets(rows: DataFrame, owner: str, words: str, name: str) -> DataFrame:
+        """(owner, words, name): the owner's frequent words, and what tells the set apart."""
+        sets = rows.where("frequent").groupBy(owner).agg(F.array_sort(F.collect_set("word")).alias(words))
+        return sets.withColumn(name, F.md5(F.array_join(words, " ")))
+
+    own, theirs = frequent_sets(asked, "__key", "own", "own_set"), frequent_sets(listed, "name", "theirs", "their_set")
+    rare = asked.where("NOT frequent").join(listed.where("NOT frequent"), "word").groupBy("__key", "name").agg(F.count("*").alias("n"))
+    both = rare.join(own, "__key", "left").join(theirs, "name", "left")
+    shared = F.coalesce(overlap(F.col("own"), F.col("theirs")), F.lit(0))
+    marks = both.select("__key", "name", (F.col("n") + shared).alias("overlap"))
+
+    first = theirs.groupBy("their_set").agg(F.slice(F.array_sort(F.collect_set("name")), 1, top).alias("names"))
+    a = own.select("own_set", F.explode("own").alias("word")).distinct()
+    b = theirs.select("their_set", F.explode("theirs").alias("word")).distinct()
+    of_sets = a.join(b, "word").groupBy("own_set", "their_set").agg(F.count("*").alias("overlap")).join(first, "their_set")
+    of_sets = _best(of_sets.select("own_set", F.explode("names").alias("name"), "overlap"), "own_set", top)
+    marks = marks.unionByName(own.join(of_sets, "own_set").select("__key", F.inline("ranked")))
+    ranked = _best(marks.groupBy("__key", "name").agg(F.max("overlap").alias("overlap")), "__key", top)
+
     none = F.array().cast("array<struct<name:string,overlap:int>>")
-    return requests.withColumn("__key", key).join(ranked, "__key", "left").withColumn("ranked", F.coalesce("ranked", none)).drop("__key")
+    # At most `top` names are taken by what shares a word, so twice as many are enough to fill up.
+    spare = [r["name"] for r in names(skills).limit(2 * top).collect()]
+    fill = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(0).alias("overlap")) for n in spare]) if spare else none
+    found = F.coalesce("ranked", none)
+    others = F.filter(fill, lambda s: ~F.exists(found, lambda r: r["name"] == s["name"]))
+    return requests.withColumn("__key", key).join(ranked, "__key", "left").withColumn("ranked", F.slice(F.concat(found, others), 1, top)).drop("__key")
 
 
-def route(requests: DataFrame, skills: DataFrame, request: str = "request", selector: Callable[[str, list[tuple[str, str]]], str] | None = None, retries: int = 2) -> DataFrame:
+def route(requests: DataFrame, skills: DataFrame, request: str = "request", selector: Callable[[str, list[tuple[str, str]]], str] | None = None, retries: int = 2, shortlist: int = SHORTLIST) -> DataFrame:
     """Add ``skill`` and ``reason``: an exact name, or the one skill that shares the most
     words; null and ``ambiguous`` where no single one does.
 
-    ``selector`` may settle ambiguous requests: a function of the request and the
-    catalog that returns a name; a name that isn't in the catalog leaves it ambiguous.
+    ``selector`` may settle ambiguous requests: a function of the request and a list of (name,
+    description), which returns a name; one that isn't on the list leaves it ambiguous.  The list
+    holds the best ``shortlist`` skills in order of name, and so the whole of a smaller catalog.
     It runs in batches, like any model call, and transient failures are tried again.
     """
-    catalog = _inlined(skills)
-    asked = casefold(strip(F.col(request)))
-    ranked = rank_skills(requests, skills, request)
-    if catalog is None:
-        by_name = skills.select(casefold(F.col("name")).alias("__asked"), F.col("name").alias("__exact"))
-        ranked = ranked.withColumn("__asked", asked).join(by_name, "__asked", "left").drop("__asked")
-    else:
-        ranked = ranked.withColumn("__exact", F.coalesce(*[F.when(asked == n.casefold(), F.lit(n)) for n, _ in catalog], F.lit(None).cast("string")))
+    top = 2 if selector is None else max(2, shortlist)
+    by_name = skills.groupBy(casefold(F.col("name")).alias("__asked")).agg(F.min("name").alias("__exact"))
+    ranked = rank_skills(requests, skills, request, top).withColumn("__asked", casefold(strip(F.col(request)))).join(by_name, "__asked", "left").drop("__asked")
     best, second = F.get("ranked", F.lit(0)), F.coalesce(F.get("ranked", F.lit(1))["overlap"], F.lit(0))
     single = F.coalesce((best["overlap"] > 0) & (best["overlap"] > second), F.lit(False))
     skill = F.when(F.col("__exact").isNotNull(), F.col("__exact")).when(single, best["name"])
     reason = F.when(F.col("__exact").isNotNull(), "exact name match").when(single, F.concat(F.lit("keyword match (score "), best["overlap"].cast("string"), F.lit(")"))).otherwise("ambiguous")
-    out = ranked.withColumns({"skill": skill, "reason": reason}).drop("ranked", "__exact")
+    out = ranked.withColumns({"skill": skill, "reason": reason})
     if selector is None:
-        return out
-    listed = catalog if catalog is not None else [(r["name"], r["description"] or "") for r in skills.orderBy("name").collect()]
-    known = {n for n, _ in listed}
-    at = out.columns.index(request)
+        return out.drop("ranked", "__exact")
+    return _settled(out.drop("__exact"), skills, request, selector, retries, requests.columns)
+
+
+def _settled(routed: DataFrame, skills: DataFrame, request: str, selector: Callable[[str, list[tuple[str, str]]], str], retries: int, columns: list[str]) -> DataFrame:
+    """Ambiguous requests by ``selector``, each distinct one asked once with its shortlist."""
+    key = F.md5(F.coalesce(F.col(request), F.lit("")))
+    routed = routed.withColumn("__key", key)
+    open_ = routed.where(F.col("skill").isNull()).groupBy("__key").agg(F.first(request).alias("__request"), F.first("ranked").alias("ranked"))
+    offered = open_.select("__key", "__request", F.explode_outer(F.transform("ranked", lambda r: r["name"])).alias("name")).join(skills.select("name", "description"), "name", "left")
+    lists = offered.groupBy("__key").agg(F.first("__request").alias("__request"), F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", F.coalesce("description", F.lit("")).alias("description"))))).alias("offered"))
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i in np.flatnonzero(frame["skill"].isna()):
-                text = frame.iat[i, at]
-                chosen = (call_with_retry(lambda t=text: selector(t, listed), retries) or "").strip()
-                if chosen in known:
-                    frame.loc[frame.index[i], ["skill", "reason"]] = [chosen, "selector"]
-            yield frame
-
-    return out.mapInPandas(settle, out.schema)
+            chosen: list[str | None] = []
+            for text, rows in zip(frame["__request"], frame["offered"], strict=True):
+                known = [(r["name"], r["description"]) for r in rows]
+                name = (call_with_retry(lambda t=text, k=known: selector(t, k), retries) or "").strip()
+                chosen.append(name if name in {n for n, _ in known} else None)
+            yield pd.DataFrame({"__key": frame["__key"], "__chosen": pd.Series(chosen, dtype=object)})
+
+    answers = lists.mapInPandas(settle, "__key string, __chosen string").where(F.col("__chosen").isNotNull())
+    out = routed.join(answers, "__key", "left")
+    reason = F.when(F.col("skill").isNull() & F.col("__chosen").isNotNull(), "selector").otherwise(F.col("reason"))
+    return out.withColumn("reason", reason).withColumn("skill", F.coalesce("skill", F.when(F.col("reason") == "selector", F.col("__chosen")))).select(*columns, "skill", "reason")
 
 
 def route_one(spark: SparkSession, request: str, skills: DataFrame) -> tuple[str, str]:

@@ -19,12 +19,20 @@ from quernel.operators.evaluation import evaluate
 
 MAX_BOOTSTRAPPED, MAX_LABELED = 4, 8
 
+#: Scores examples under a program: records with the key, ``hits`` and ``score``.
+Run = Callable[["Program", DataFrame], DataFrame]
+
 
 def order_by_hash(key: Column, seed: int = 0) -> Column:
     """A fixed shuffle of rows that any engine can repeat: md5 of seed and key."""
     return F.md5(F.concat_ws("#", F.lit(str(seed)), key.cast("string")))
 
 
+def place(key: Column, seed: int = 0) -> Column:
+    """Where a row stands in that shuffle, from 0 up to 1: the first 52 bits of the hash."""
+    return F.conv(F.substring(order_by_hash(key, seed), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
 def bootstrap_demos(scored: DataFrame, key: str = "example_id", bootstrapped: int = MAX_BOOTSTRAPPED, labeled: int = MAX_LABELED, seed: int = 0) -> DataFrame:
     """(key, kind, position): demonstrations from training rows.
 
@@ -41,6 +49,53 @@ def bootstrap_demos(scored: DataFrame, key: str = "example_id", bootstrapped: in
     return scored.sparkSession.createDataFrame([(r[key], r["kind"], i) for i, r in enumerate(chosen)], schema)
 
 
+@dataclass
+class Bootstrap:
+    """Demonstrations as (key, kind, round), and how many rows were scored for them."""
+
+    demos: list[tuple[object, str, int]] = field(default_factory=list)
+    scored: int = 0
+
+
+def bootstrap_rounds(run: Run, train: DataFrame, *, key: str = "example_id", bootstrapped: int = MAX_BOOTSTRAPPED, labeled: int = MAX_LABELED, max_rounds: int = 1, first: float = 1 / 64, growth: int = 4, seed: int = 0) -> Bootstrap:
+    """Demonstrations from training rows that pass under a teacher, in rounds.
+
+    The teacher of a round is the last round's program, that is, one with the demonstrations found until then.
+    Rows are tried in hash order in batches that grow, each one a job, until enough have passed; rows that have
+    passed aren't tried again.  Rows that never passed fill up as labelled ones to ``labeled`` in all.
+    """
+    from pyspark.sql import Observation
+
+    out, at = Bootstrap(), place(F.col(key), seed)
+    for number in range(1, max_rounds + 1):
+        known = [k for k, _, _ in out.demos]
+        teacher = Program(demos=_rows_of(train, known, key))
+        low, high = 0.0, first
+        while low < 1 and len(out.demos) < bootstrapped:
+            left = train.where((at >= low) & (at < high) & ~F.col(key).isin(known)) if known else train.where((at >= low) & (at < high))
+            seen = Observation()
+            records = run(teacher, left).observe(seen, F.count("*").alias("n"))
+            passed = records.where(passes_gate(F.col("hits"))).orderBy(order_by_hash(F.col(key), seed), key).select(key).limit(bootstrapped - len(out.demos)).collect()
+            out.demos += [(r[key], "bootstrapped", number) for r in passed]
+            out.scored += seen.get.get("n", 0)
+            low, high = high, min(1.0, high * growth)
+        if len(out.demos) == len(known) or len(out.demos) >= bootstrapped:
+            break
+    known = [k for k, _, _ in out.demos]
+    rest = train.where(~F.col(key).isin(known)) if known else train
+    fill = rest.orderBy(order_by_hash(F.col(key), seed), key).select(key).limit(max(0, labeled - len(known))).collect()
+    out.demos += [(r[key], "labeled", 0) for r in fill]
+    return out
+
+
+def _rows_of(train: DataFrame, keys: list, key: str) -> list[dict]:
+    """The training rows of a few keys, in the keys' order."""
+    if not keys:
+        return []
+    rows = {r[key]: r.asDict() for r in train.where(F.col(key).isin(keys)).collect()}
+    return [rows[k] for k in keys]
+
+
 def candidate_scores(scored: DataFrame) -> DataFrame:
     """(candidate, n, score) of every candidate's scored examples."""
     return scored.groupBy("candidate").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
@@ -83,15 +138,12 @@ class Optimized:
     save_path: str | None
 
 
-Run = Callable[[Program, DataFrame], DataFrame]
-
-
-def optimize(run: Run, train: DataFrame, *, dev: DataFrame | None = None, method: str = "bootstrap", instructions: tuple[str, ...] = ("",), save_path: str | Path | None = None, key: str = "example_id", seed: int = 0) -> Optimized:
+def optimize(run: Run, train: DataFrame, *, dev: DataFrame | None = None, method: str = "bootstrap", instructions: tuple[str, ...] = ("",), save_path: str | Path | None = None, key: str = "example_id", seed: int = 0, max_rounds: int = 1) -> Optimized:
     """Check, baseline, compile, measure again, save.
 
     ``run(program, examples)`` gives scored records (with ``hits`` and ``score``).
-    ``bootstrap`` picks demonstrations; ``search`` also tries each of the
-    ``instructions`` with and without them, on ``dev`` or else ``train``.
+    ``bootstrap`` picks demonstrations in up to ``max_rounds`` rounds; ``search`` also chooses one of the
+    ``instructions``, with these demonstrations or without, by successive halving on ``dev`` or else ``train``.
     """
     if train.isEmpty():
         raise BadInput("the training set is empty")
@@ -102,15 +154,15 @@ def optimize(run: Run, train: DataFrame, *, dev: DataFrame | None = None, method
     baseline = measured(Program())
     if method not in ("bootstrap", "search"):
         raise ValueError(f"unknown method {method!r}")
-    records = run(Program(), train).cache()
-    demos = [r.asDict() for r in bootstrap_demos(records, key, seed=seed).join(train, key).orderBy("position").collect()]
-    records.unpersist()
+    found = bootstrap_rounds(run, train, key=key, max_rounds=max_rounds, seed=seed)
+    demos = _rows_of(train, [k for k, _, _ in found.demos], key)
     program = Program(demos=demos)
     if method == "search":
-        valid = dev if dev is not None else train
+        from quernel.operators.search import one_by_one, successive_halving
+
         options = [Program(i, d) for i in instructions for d in ([], demos)]
-        marks = [evaluate(run(p, valid)).first()["score_frac"] for p in options]
-        program = options[max(range(len(options)), key=lambda i: (marks[i], -i))]
+        best, _ = successive_halving(one_by_one(run), options, dev if dev is not None else train, key=key, seed=seed)
+        program = options[best]
     after = measured(program)
     if save_path is not None:
         program.save(save_path)

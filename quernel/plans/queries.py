@@ -1020,8 +1020,11 @@ def program_search(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from quernel.plans import workflows  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
