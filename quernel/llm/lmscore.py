@@ -11,8 +11,10 @@ blocks of about ``BLOCK`` bytes by hash of the id.  A block counts its distinct
 n-grams, these counts are summed over all blocks by n-gram in a shuffle, and the sums
 go back to the blocks that have the n-gram, so that a task holds no more n-grams than
 its block has.  Probabilities back off with a Dirichlet prior:
-p(w|c) = (n(cw) + k p'(w|c')) / (n(c) + k).  A document's own counts are taken out of
-a model that was counted over it, so that no document is scored by what it brought along.
+p(w|c) = (n(cw) + k p'(w|c')) / (n(c) + k), where n(c) counts the tokens that follow the
+context, at the start of a document too, so that the probabilities after any context add
+up to 1.  A document's own counts are taken out of a model that was counted over it, so that
+no document is scored by what it brought along.
 
 Null and empty texts have no token and the score 0.  An empty target gives the
 uniform distribution for the target.  Repeated rows, as ties, get equal scores.  Rows with
@@ -52,8 +54,9 @@ def _grams(key: np.ndarray, order: int) -> np.ndarray:
     return _slots(key, order) | order << 32
 
 
-#: Contexts of a document's first byte, which end in no document.
-FIRST = np.array([int.from_bytes(START[:k], "big") | k << 32 for k in range(1, ORDER)])
+def _contexts(key: np.ndarray, length: int) -> np.ndarray:
+    """What comes before the last byte of ``key``, so many bytes of it; told apart from n-grams, which may end a document."""
+    return _slots(key >> np.uint32(8), length) | ORDER + length << 32
 
 
 def _packed(data: bytes) -> np.ndarray:
@@ -101,17 +104,17 @@ def _texts(part: pa.Table) -> tuple[list[int | None], list[bytes | None], list[b
 
 
 def _count_block(part: pa.Table) -> pa.Table:
-    """(block, gram, target, n): the block's n-grams of all orders, those that it only needs as contexts, and its tokens."""
+    """(block, gram, target, n): the block's n-grams of all orders, their contexts, and its tokens."""
     _, texts, inside = _texts(part)
     halves = [_tally(t for t, x in zip(texts, inside, strict=True) if t and x == side) for side in (True, False)]
     keys, n = (np.concatenate(x) for x in zip(*halves, strict=True))
     target = np.concatenate([halves[0][1], np.zeros_like(halves[1][1])])
     tokens = np.zeros(1, np.int64)
-    grams, back = np.unique(np.concatenate([*(_grams(keys, k) for k in range(1, ORDER + 1)), FIRST, tokens]), return_inverse=True)
+    grams, back = np.unique(np.concatenate([*(_grams(keys, k) for k in range(1, ORDER + 1)), *(_contexts(keys, k) for k in range(1, ORDER)), tokens]), return_inverse=True)
     sums = []
     for x in (target, n):
         sums.append(np.zeros(len(grams), np.int64))
-        np.add.at(sums[-1], back, np.concatenate([*[x] * ORDER, np.zeros_like(FIRST), [x.sum()]]))
+        np.add.at(sums[-1], back, np.concatenate([*[x] * (2 * ORDER - 1), [x.sum()]]))
     block = part.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(len(grams), block), pa.int32()), "gram": pa.array(grams), "target": pa.array(sums[0]), "n": pa.array(sums[1])})
 
@@ -129,8 +132,7 @@ class NgramModel:
         without = lambda at, own: (n := self.counts[at]) - np.minimum(own, n)
         p = (without(slots[0], own[0]) + 1) / (self.tokens - min(own_tokens, self.tokens) + SIZES[0])
         for k in range(1, ORDER):
-            n = without(slots[k], own[k])
-            p = (n + PRIOR * p) / (np.maximum(without(contexts[k], own_contexts[k]), n) + PRIOR)
+            p = (without(slots[k], own[k]) + PRIOR * p) / (without(contexts[k], own_contexts[k]) + PRIOR)
         return -np.log(p)
 
 
@@ -141,8 +143,7 @@ def _places(grams: np.ndarray, keys: np.ndarray) -> tuple[list[np.ndarray], list
         at = np.searchsorted(grams, wanted)
         return np.where(np.append(grams, -1)[at] == wanted, at, len(grams))
 
-    before = keys >> np.uint32(8)
-    return [place(_grams(keys, k + 1)) for k in range(ORDER)], [np.zeros(0, np.int64), *[place(_grams(before, k)) for k in range(1, ORDER)]]
+    return [place(_grams(keys, k + 1)) for k in range(ORDER)], [np.zeros(0, np.int64), *[place(_contexts(keys, k)) for k in range(1, ORDER)]]
 
 
 class _Scratch:
@@ -154,7 +155,8 @@ class _Scratch:
     def places(self, grams: np.ndarray, keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         if self.grams is not grams:
             self.grams, self.table = grams, np.zeros(len(grams) + 1, np.int64)
-            self.longest = (grams[np.searchsorted(grams, ORDER << 32) :] & 0xFFFFFFFF).astype(np.uint32)
+            first, end = np.searchsorted(grams, [ORDER << 32, ORDER + 1 << 32])
+            self.longest = (grams[first:end] & 0xFFFFFFFF).astype(np.uint32)
             self.all = _places(grams, self.longest)
         at = np.searchsorted(self.longest, keys)
         if len(at) and (at[-1] == len(self.longest) or (self.longest[at] != keys).any()):
@@ -162,10 +164,11 @@ class _Scratch:
         return tuple([x[at] if len(x) else x for x in part] for part in self.all)
 
     def counted(self, slots: list[np.ndarray], contexts: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        for at in slots:
+        places = [*slots, *contexts[1:]]
+        for at in places:
             np.add.at(self.table, at, n)
         own, own_contexts = [self.table[at] for at in slots], [self.table[at] if len(at) else at for at in contexts]
-        for at in slots:
+        for at in places:
             self.table[at] = 0
         return own, own_contexts
 

@@ -8,35 +8,63 @@ from pyspark.sql import functions as F
 from quernel.llm import lmscore as lm
 
 
-def key_of(gram):
-    """A gram's place in its table, as the operator's tables have it."""
-    import numpy as np
+def occurrences(text):
+    """Every token with each context of up to three bytes; a document starts after newlines."""
+    data = b"\n" * 3 + text
+    return [(data[j - k : j], data[j : j + 1]) for j in range(3, len(data)) for k in range(4)]
+
 
-    packed = np.array([int.from_bytes(gram, "big")], np.uint32)
-    return len(gram), int(lm._slots(packed, len(gram))[0])
+def counts_of(texts):
+    """How often a token follows a context, and how often anything does."""
+    pairs = Counter(o for t in texts for o in occurrences(t))
+    after = Counter()
+    for (context, _), n in pairs.items():
+        after[context] += n
+    return pairs, after
 
 
-def grams(text):
-    data = lm.START + text
-    return [[key_of(data[i + 1 - k : i + 1]) for k in range(1, lm.ORDER + 1)] for i in range(lm.ORDER - 1, len(data))], [[None, *[key_of(data[i - k : i]) for k in range(1, lm.ORDER)]] for i in range(lm.ORDER - 1, len(data))]
+def probability(context, token, pairs, after):
+    """The written formula with counts as dictionaries."""
+    p = (pairs[b"", token] + 1) / (after[b""] + 256)
+    for k in range(1, 4):
+        c = context[3 - k :]
+        p = (pairs[c, token] + 20 * p) / (after[c] + 20)
+    return p
 
 
 def loss(text, texts, own):
-    """Mean loss by the written formula, with counts as dictionaries."""
-    n = Counter(g for t in texts for row in grams(t)[0] for g in row)
-    tokens = sum(map(len, texts))
+    """Mean loss of a text, without its own counts if it is one of ``texts``."""
+    pairs, after = counts_of(texts)
     if own:
-        mine = Counter(g for row in grams(text)[0] for g in row)
-        n = Counter({g: n[g] - min(mine[g], n[g]) for g in n})
-        tokens -= len(text)
-    total = 0.0
-    for row, context in zip(*grams(text), strict=True):
-        p = (n[row[0]] + 1) / (tokens + 256)
-        for k in range(1, lm.ORDER):
-            c = n[context[k]]
-            p = (n[row[k]] + lm.PRIOR * p) / (max(c, n[row[k]]) + lm.PRIOR)
-        total -= math.log(p)
-    return total / len(text)
+        mine, mine_after = counts_of([text])
+        pairs.subtract(mine)
+        after.subtract(mine_after)
+    data = b"\n" * 3 + text
+    return -sum(math.log(probability(data[j - 3 : j], data[j : j + 1], pairs, after)) for j in range(3, len(data))) / len(text)
+
+
+def test_probabilities_add_up(words):
+    """After any context, seen or not, at a start or not, with or without a document's own counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [words(i, 60).encode() for i in range(30)] + [b"\nx", b"\n\n\n", b"z"]
+    part = pa.table({"block": pa.array([0] * len(texts), pa.int32()), "id": list(range(len(texts))), "text": texts, "mark": [False] * len(texts)})
+    counts = lm._count_block(part)
+    grams, n = counts.column("gram").to_numpy(), counts.column("n").to_numpy()
+    model = lm.NgramModel(n[1:], grams[1:], int(n[0]))
+    pairs, after = counts_of(texts)
+    for context in (b"\n\n\n", b"\n\nk", texts[0][:3], texts[3][10:13], b"\x00\xff\x00", b"qqk", texts[5][-3:]):
+        keys = np.array([int.from_bytes(context + bytes([w]), "big") for w in range(256)], np.uint32)
+        slots, contexts = lm._places(model.grams, keys)
+        none = [0] * lm.ORDER
+        got = np.exp(-model.losses(slots, contexts, none, none, 0))
+        assert got.sum() == pytest.approx(1, abs=1e-9)
+        assert got == pytest.approx([probability(context, bytes([w]), pairs, after) for w in range(256)])
+        own, own_after = counts_of([texts[0]])
+        mine = [np.array([own[context[3 - k :], bytes([w])] for w in range(256)]) for k in range(lm.ORDER)]
+        before = [np.full(256, own_after[context[3 - k :]]) for k in range(lm.ORDER)]
+        assert np.exp(-model.losses(slots, contexts, mine, before, len(texts[0]))).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_equal_to_the_formula(spark, words):
@@ -93,23 +121,7 @@ def test_counts_are_exact_and_grow(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 3)], "doc_id long, quality int")
     got = {x["doc_id"]: x for x in lm.cross_entropy_difference(docs, labels, F.col("quality") == 1).collect()}
 
-    counts = [Counter(), Counter()]
-    for i, t in enumerate(texts):
-        d = lm.START + t.encode()
-        found = Counter(d[j + 1 - k : j + 1] for j in range(3, len(d)) for k in range(1, 5))
-        counts[1].update(found)
-        if i % 3 == 0:
-            counts[0].update(found)
-    sizes = [sum(v for g, v in c.items() if len(g) == 1) for c in counts]
+    every = [t.encode() for t in texts]
     for i in (0, 1, 39):
-        d = lm.START + texts[i].encode()
-        own = Counter(d[j + 1 - k : j + 1] for j in range(3, len(d)) for k in range(1, 5))
-        for n, size, mine, column in ((counts[0], sizes[0], own if i % 3 == 0 else Counter(), "ce_target"), (counts[1], sizes[1], own, "ce_background")):
-            total, left = 0.0, lambda g: n[g] - mine[g]  # noqa: B023, E731
-            for j in range(3, len(d)):
-                p = (left(d[j : j + 1]) + 1) / (size - (len(texts[i]) if mine else 0) + 256)
-                for k in range(2, 5):
-                    w = left(d[j + 1 - k : j + 1])
-                    p = (w + lm.PRIOR * p) / (max(left(d[j + 1 - k : j]), w) + lm.PRIOR)
-                total -= math.log(p)
-            assert got[i][column] == pytest.approx(total / len(texts[i]), rel=1e-12)
+        assert got[i]["ce_background"] == pytest.approx(loss(every[i], every, True), rel=1e-12)
+        assert got[i]["ce_target"] == pytest.approx(loss(every[i], every[::3], i % 3 == 0), rel=1e-12)
