@@ -5,10 +5,10 @@ greyscale PNG of width :data:`WIDTH`, kept as a member of a ZIP archive, one
 archive a task.  :class:`MediaArchiveSource` is a Spark data source that reads
 such archives back.  Planning is by size alone: every archive is cut into byte
 ranges, and a range owns the members whose offset lies in it, so the driver never
-lists members.  A task reads its archive's directory, fetches each of its members
-by offset, checks the CRC that the directory states, retries a failed member on
-its own with a newly opened file, and passes the members on in Arrow batches of
-bounded size.
+lists members.  A task reads the entries of its range from the index that lies beside the
+archive (from the archive's directory where there is none), fetches each member by offset,
+checks the CRC that the entry states, retries a failed, short or damaged read on its own
+with a newly opened file, and passes the members on in Arrow batches of bounded size.
 
 Null texts count as empty; an empty payload is one row of padding.  Ties and
 repeated rows are separate members.  An empty table gives archives without
@@ -27,7 +27,8 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quernel.llm.common import shared_path
 
+R = TypeVar("R")
+
 #: Samples in a row of the image; payloads are padded to a multiple of it.
 WIDTH = 576
 PAD = 255
@@ -47,6 +50,11 @@ PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Fixed layout of a ZIP member's local header: 30 bytes, then name and extra field.
 LOCAL_HEADER = struct.Struct("<4s5H3I2H")
 
+#: What a read cut short, of a member or of a directory, can raise besides errors of the file system.
+READ_ERRORS = (OSError, EOFError, struct.error, zipfile.BadZipFile, pa.ArrowInvalid)
+
+#: Entries in a row group of an archive's index.
+INDEX_ROWS = 4096
 BATCH_BYTES = 4 << 20
 #: Byte ranges up to which more archives make more of them.
 MOST_RANGES = 200_000
@@ -125,12 +133,17 @@ def write_media(docs: DataFrame, folder: str, id_column: str = "doc_id", text: s
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
         path, members = f"{base}/{uuid.uuid4().hex}.zip", 0
+        entries = pa.schema([("offset", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("name", pa.string())])
         with fs.open_output_stream(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
             for batch in batches:
                 for key, data in zip(batch.column(0), batch.column(1), strict=True):
                     name = f"{members}-{'' if key.as_py() is None else key.as_py()}.png"
                     archive.writestr(zipfile.ZipInfo(name), encode_png(padded(data.as_py() or b""), level=level))
                     members += 1
+            with fs.open_output_stream(f"{path}.index") as out_index, pq.ParquetWriter(out_index, entries) as index:
+                for at in range(0, members, INDEX_ROWS):
+                    part = archive.filelist[at : at + INDEX_ROWS]
+                    index.write_table(pa.table([[m.header_offset for m in part], [m.file_size for m in part], [m.CRC for m in part], [m.filename for m in part]], schema=entries))
         size = fs.get_file_info(path).size
         yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "members": [members]})
 
@@ -139,6 +152,15 @@ def write_media(docs: DataFrame, folder: str, id_column: str = "doc_id", text: s
     return manifest
 
 
+class Member(NamedTuple):
+    """An archive's entry for one member."""
+
+    offset: int
+    size: int
+    crc: int
+    name: str
+
+
 class ArchiveRange(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -163,7 +185,7 @@ class MediaArchiveReader(DataSourceReader):
         fs, _ = _open(self.folder)
         names, media, held = [], [], 0
         for member in self._members(fs, partition):
-            names.append(member.filename)
+            names.append(member.name)
             media.append(self._fetch(fs, partition.path, member))
             held += len(media[-1])
             if held >= BATCH_BYTES:
@@ -178,35 +200,50 @@ class MediaArchiveReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(media, pa.binary())], names=["id", "member", "media"])
 
     @staticmethod
-    def _members(fs: pafs.FileSystem, partition: ArchiveRange) -> list[zipfile.ZipInfo]:
-        """The range's members in order of their offset, from the archive's directory."""
-        for attempt in range(ATTEMPTS):
+    def _retried(read: Callable[[], R]) -> R:
+        """``read()``, again after a failed or short read."""
+        for attempt in range(ATTEMPTS - 1):
             try:
-                with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
-                    own = [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
-                    return sorted(own, key=lambda m: m.header_offset)
-            except OSError:
-                if attempt + 1 == ATTEMPTS:
-                    raise
+                return read()
+            except READ_ERRORS:
                 time.sleep(0.1 * 2**attempt)
-        return []
+        return read()
+
+    def _members(self, fs: pafs.FileSystem, partition: ArchiveRange) -> list[Member]:
+        """The range's members in order of their offset."""
 
-    def _fetch(self, fs: pafs.FileSystem, path: str, member: zipfile.ZipInfo) -> bytes:
-        """One member by its offset; a failed or damaged read is tried again by itself."""
-        for attempt in range(ATTEMPTS):
+        def entries() -> list[Member]:
+            if fs.get_file_info(f"{partition.path}.index").type == pafs.FileType.NotFound:
+                with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
+                    found = [Member(m.header_offset, m.file_size, m.CRC, m.filename) for m in archive.infolist()]
+                return sorted(m for m in found if partition.start <= m.offset < partition.end)
+            with fs.open_input_file(f"{partition.path}.index") as f, pq.ParquetFile(f) as index:
+                groups = []
+                for g in range(index.num_row_groups):
+                    offsets = index.metadata.row_group(g).column(0).statistics
+                    if offsets.max >= partition.start and offsets.min < partition.end:
+                        groups.append(g)
+                rows = index.read_row_groups(groups).to_pylist()
+            return [m for m in (Member(**r) for r in rows) if partition.start <= m.offset < partition.end]
+
+        return self._retried(entries)
+
+    def _fetch(self, fs: pafs.FileSystem, path: str, member: Member) -> bytes:
+        """One member by its offset; a failed, short or damaged read is tried again by itself."""
+
+        def body() -> bytes:
             try:
                 f = self._handle(fs, path)
-                head = LOCAL_HEADER.unpack(f.read_at(LOCAL_HEADER.size, member.header_offset))
-                data = f.read_at(member.file_size, member.header_offset + LOCAL_HEADER.size + head[-2] + head[-1])
-                if len(data) != member.file_size or binascii.crc32(data) != member.CRC:
-                    raise OSError(f"damaged member {member.filename} of {path}")
+                head = LOCAL_HEADER.unpack(f.read_at(LOCAL_HEADER.size, member.offset))
+                data = f.read_at(member.size, member.offset + LOCAL_HEADER.size + head[-2] + head[-1])
+                if len(data) != member.size or binascii.crc32(data) != member.crc:
+                    raise OSError(f"damaged member {member.name} of {path}")
                 return data
-            except OSError:
+            except READ_ERRORS:
                 self._opened = None
-                if attempt + 1 == ATTEMPTS:
-                    raise
-                time.sleep(0.1 * 2**attempt)
-        raise AssertionError
+                raise
+
+        return self._retried(body)
 
     _opened: tuple[str, pa.NativeFile] | None = None
 

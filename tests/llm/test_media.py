@@ -88,3 +88,68 @@ def test_a_failed_member_is_read_again_alone(spark, odd_docs, monkeypatch):
         f.write(b"\x00\x01\x02")
     with pytest.raises(OSError, match="damaged"):
         [b for p in reader.partitions() for b in reader.read(p)]
+
+
+@pytest.mark.parametrize("short", ["header", "body", "index", "directory"])
+def test_short_reads_are_tried_again(spark, odd_docs, monkeypatch, short):
+    """A read that returns less than was asked for, in every place where bytes are read."""
+    import os
+
+    folder = shared_path(spark, f"short-{short}")
+    manifest = media.write_media(odd_docs, folder)
+    paths = [x["path"] for x in pq.read_table(manifest.removeprefix("file:")).to_pylist() if x["members"]]
+    if short == "directory":
+        for path in paths:
+            os.remove(f"{path}.index")
+    cuts = {"header": 1, "body": 1, "index": 1, "directory": 1}
+
+    class Short:
+        """A file whose next read of one kind is cut."""
+
+        def __init__(self, f):
+            self.f = f
+
+        def read_at(self, n, at):
+            kind = "header" if n == media.LOCAL_HEADER.size else "body"
+            data = self.f.read_at(n, at)
+            if kind == short and cuts[kind]:
+                cuts[kind] -= 1
+                return data[: len(data) // 2]
+            return data
+
+    def opened(self, fs, path):
+        return Short(fs.open_input_file(path))
+
+    monkeypatch.setattr(media.MediaArchiveReader, "_handle", opened)
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    if short in ("index", "directory"):
+        whole = {p: open(p if short == "directory" else f"{p}.index", "rb").read() for p in paths}
+        for p in paths:
+            with open(p if short == "directory" else f"{p}.index", "wb") as f:
+                f.write(whole[p][: len(whole[p]) // 2])
+
+        def heal(s):
+            for p in paths:
+                with open(p if short == "directory" else f"{p}.index", "wb") as f:
+                    f.write(whole[p])
+
+        monkeypatch.setattr(media.time, "sleep", heal)
+        cuts[short] = 0
+    reader = media.MediaArchiveReader({"path": folder, "rangebytes": 5000})
+    got = [m for p in reader.partitions() for b in reader.read(p) for m in b.column("media").to_pylist()]
+    assert len(got) == odd_docs.count() and cuts[short] == 0
+    for m in got:
+        media.decode_png(m)
+
+
+def test_a_range_reads_its_own_entries(spark, monkeypatch):
+    monkeypatch.setattr(media, "INDEX_ROWS", 3)
+    folder = shared_path(spark, "entries")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    media.write_media(docs, folder)  # the writer's workers keep the module's own number of rows
+    reader = media.MediaArchiveReader({"path": folder, "rangebytes": 2000})
+    fs, _ = media._open(folder)
+    parts = [p for p in reader.partitions() if p.path]
+    found = [reader._members(fs, p) for p in parts]
+    assert len(parts) > 3 and sorted(m.name for part in found for m in part) == sorted(f"{i}-{i}.png" for i in range(40))
+    assert all(p.start <= m.offset < p.end for p, part in zip(parts, found, strict=True) for m in part)
