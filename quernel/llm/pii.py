@@ -1,17 +1,21 @@
 """Personal data by weak supervision (operator 7).
 
 Four kinds of spans: email, ip, card, phone.  Base spans follow fixed patterns with
-their checks and always stay.  Matches that fail their check, and matches of wider
-patterns (addresses with the at sign or dots in brackets or words, defanged quads and
-IPv6, cards with other separators, national and 00 phone numbers), are candidates.  On every candidate
-six labelers vote or abstain: the base pattern, a gazetteer (top-level domains, issuer
-digits, reserved networks, area codes), the shape, cue words before, cue words after,
-and the characters around.  Expectation-maximisation over the counts of vote patterns
-estimates each labeler's reliability and each pattern's probability.  A logistic span
-classifier, which sees none of the votes but only features of the span's form (digits,
-groups, separators, variety, length, start, check digit, neighbours), is trained on these
-probabilities; a candidate is added if the classifier accepts it and at least one
-labeler is for it.
+their checks and always stay; matches that fail their check are never spans of that kind.
+Matches of wider patterns (addresses with the at sign or dots in brackets or words, defanged
+quads and IPv6, cards with other separators, national and 00 phone numbers) are candidates.
+On every candidate six labelers vote or abstain: a stricter pattern, a gazetteer (top-level
+domains, issuer digits, reserved networks, area codes), the shape, cue words before, cue
+words after, and the characters around.  Expectation-maximisation over the counts of vote
+patterns estimates each labeler's reliability and each pattern's probability.  It starts from
+the votes on a fixed set of written examples and look-alikes (:func:`seeds`), which count as
+:data:`SEED_WEIGHT` candidates each, so that what is rare in a corpus is judged alike whatever
+else the corpus holds, and only many candidates can move the estimates.  A logistic span
+classifier, which sees none of the votes but only features of the span's form (digits, groups,
+separators, variety, length, start, check digit, neighbours), is trained on these
+probabilities and on the examples.  A candidate is added if the classifier accepts it and the
+labelers of its content (pattern, gazetteer, shape) are for it rather than against it, unless it
+overlaps a base span.
 
 Everything that touches rows is DataFrame operations, without a shuffle of texts.  To
 the driver come counts of vote patterns (at most 3**6 a kind) and, for each combination
@@ -28,9 +32,11 @@ empty result.  Extra columns are kept, under whatever names; ``base`` and ``span
 from __future__ import annotations
 
 import math
+import random
+import re
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm.common import free_name, scratch, staged
@@ -79,6 +85,8 @@ COUNTER_FOLLOWS = r"(?i)^(?:\x20?(?:%|eur\b|usd\b|kg\b|km\b|ms\b|px\b|mb\b|items
 
 CONTEXT, AFTER = 40, 12
 LABELERS = ("pattern", "listed", "shape", "before", "after", "around")
+#: Those that look at the span itself.
+CONTENT = ("pattern", "listed", "shape")
 FEATURES = ("digits", "groups", "separator", "variety", "length", "start", "check", "left", "right")
 MATCH = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
@@ -138,30 +146,41 @@ def plain_quad(match: Column) -> Column:
     return F.regexp_replace(match, r"(?i)\x20?[\[(]\x20?(?:dot|\.)\x20?[\])]\x20?", ".")
 
 
+def passes(kind: str, match: Column) -> Column:
+    """The check of a base match."""
+    digits = digits_of(match)
+    many = F.char_length(digits)
+    if kind == "ip":
+        return match.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")
+    if kind == "card":
+        return many.between(14, 19) & luhn(digits)
+    return many.between(10, 15) if kind == "phone" else F.lit(True)
+
+
 def _votes(kind: str, x: Column) -> dict[str, Column]:
-    """The labelers' votes on one candidate: 1 personal data, -1 not, 0 abstains.  On a wide match the pattern abstains."""
-    match, digits, wide = x["match"], digits_of(x["match"]), ~x["base"]
+    """The labelers' votes on one candidate: 1 personal data, -1 not, 0 abstains."""
+    match, digits = x["match"], digits_of(x["match"])
     many = F.char_length(digits)
     if kind == "email":
-        pattern = _vote(~wide)
+        bracketed = match.rlike(rf"(?i)[\[({{]\x20?at")
+        pattern = _vote(bracketed, ~bracketed & ~match.rlike(r"(?i)\x20dot\x20|[\[({]\x20?(?:dot|\.)"))
         listed = _vote(match.rlike(TOP_LEVEL), ~match.rlike(TOP_LEVEL))
         marked, local = match.rlike(r"@|[\[({]|(?i)\x20dot\x20"), match.rlike(r"(?i)^[a-z0-9._%+-]*[a-z]")
         shape = _vote(marked & local & match.rlike(r"(?i)[a-z]{2,}$"), ~marked | ~local | ~match.rlike(r"(?i)[a-z]$"))
     elif kind == "ip":
         quad, six = plain_quad(match), match.contains(":")
         good = quad.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")
-        pattern = F.when(wide, 0).otherwise(_vote(good, ~good))
+        pattern = _vote(six | good, ~six & ~good)
         listed = _vote(good & ~quad.rlike(RESERVED_NETWORK) | match.rlike(r"(?i)^(?:2[0-9a-f]{3}|3[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):"), quad.rlike(RESERVED_NETWORK) | ~good & ~six)
         shape = _vote(six | good & ~quad.rlike(r"(?:^|\.)0[0-9]"), ~six & (~good | quad.rlike(r"(?:^|\.)0[0-9]")))
     elif kind == "card":
-        good = many.between(14, 19) & luhn(digits)
-        pattern = F.when(wide, 0).otherwise(_vote(good, ~good))
+        pattern = _vote(many == 16, many < 14)
         listed = _vote(digits.rlike(ISSUER), ~digits.rlike(ISSUER))
         shape = _vote(luhn(digits), ~luhn(digits))
     else:
         good = many.between(10, 15)
-        pattern = F.when(wide, 0).otherwise(_vote(good, ~good))
-        listed = _vote(match.rlike(r"^\+[1-9]|^00[1-9]|^0[1-9]") | digits.rlike("^[2-9][0-9]{2}[2-9]"), digits.rlike("^(?:[2-9][0-9]{2}[01]|[2-9]11|1)") & wide)
+        pattern = _vote(match.rlike(r"^\(|^00|/|-"), match.rlike(r"\.[0-9]{3}\."))
+        listed = _vote(match.rlike(r"^00[1-9]|^0[1-9]") | digits.rlike("^[2-9][0-9]{2}[2-9]"), digits.rlike("^(?:[2-9][0-9]{2}[01]|[2-9]11|1|0[01][0-9])"))
         shape = _vote(good & match.rlike(r"[\x20()/-]"), ~good | match.rlike(r"\.[0-9]{3}\."))
     left, right = F.right(x["before"], F.lit(1)), F.left(x["after"], F.lit(1))
     glued = r"[\p{L}0-9_=\"#$/]"
@@ -180,7 +199,17 @@ def _step(c: Column, *limits: int) -> Column:
     return sum(((c >= limit).cast("int") for limit in limits), F.lit(0))
 
 
-def _features(x: Column) -> dict[str, Column]:
+def _check(kind: str, match: Column) -> Column:
+    """Whether the parts of a candidate have values that its kind allows."""
+    digits = digits_of(match)
+    if kind == "email":
+        return match.rlike(r"(?i)[\x20.\])}][a-z]{2,4}$")
+    if kind == "ip":
+        return match.contains(":") | passes("ip", plain_quad(match))
+    return luhn(digits) if kind == "card" else digits.rlike("^(?:00?[1-9]|[2-9][0-9]{2}[2-9])")
+
+
+def _features(kind: str, x: Column) -> dict[str, Column]:
     """Small discrete features of a candidate's form for the span classifier."""
     match, digits = x["match"], digits_of(x["match"])
     neighbour = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[.,;:!?()]"), 2).otherwise(3)
@@ -194,7 +223,7 @@ def _features(x: Column) -> dict[str, Column]:
         "variety": _step(F.size(F.array_distinct(F.split(digits, "(?!^)"))), 3, 5),
         "length": _step(F.char_length(match), 8, 12, 16, 24, 40),
         "start": start,
-        "check": luhn(digits),
+        "check": _check(kind, match),
         "left": neighbour(F.right(x["before"], F.lit(1))),
         "right": neighbour(F.left(x["after"], F.lit(1))),
     }
@@ -203,14 +232,14 @@ def _features(x: Column) -> dict[str, Column]:
 def _labelled(kind: str, spans: Column) -> Column:
     def label(x: Column) -> Column:
         votes = F.struct(*[v.cast("int").alias(k) for k, v in _votes(kind, x).items()])
-        features = F.struct(*[v.cast("int").alias(k) for k, v in _features(x).items()])
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), votes.alias("votes"), features.alias("features"))
+        features = F.struct(*[v.cast("int").alias(k) for k, v in _features(kind, x).items()])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("base"), votes.alias("votes"), features.alias("features"))
 
     return F.transform(spans, label)
 
 
 def candidates(docs: DataFrame, names: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` with a column for each kind, named by ``names``: its candidates with votes and features."""
+    """``docs`` with a column for each kind, named by ``names``: its base spans, and candidates with votes and features."""
     base, wide = ({k: free_name(docs, f"{names[k]}_{w}") for k in KINDS} for w in ("base", "wide"))
     body, digit = free_name(docs, "__pii_text"), free_name(docs, "__pii_digit")
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -220,34 +249,110 @@ def candidates(docs: DataFrame, names: dict[str, str], text: str = "text") -> Da
     found = marked.withColumns({base[k]: F.when(gates[k], spans_by(b, BASE[k])).otherwise(none) for k in KINDS})
     found = found.withColumns({wide[k]: F.when((d if k != "email" else F.lit(True)) & b.rlike(NEEDS[k]), spans_by(b, WIDE[k])).otherwise(none) for k in KINDS})
 
+    nothing = [F.lit(None).cast("struct<" + ",".join(f"{f}:int" for f in fields) + ">") for fields in (LABELERS, FEATURES)]
+
     def both(k: str) -> Column:
-        own = F.transform(base[k], lambda x: x.withField("base", F.lit(True)))
+        good = F.filter(base[k], lambda x: passes(k, x["match"]))
+        own = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("base"), nothing[0].alias("votes"), nothing[1].alias("features")))
         apart = F.filter(wide[k], lambda w: ~F.exists(base[k], lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"])))
-        more = F.transform(apart, lambda x: x.withField("base", F.lit(False)))
-        return F.when(F.size(wide[k]) > 0, F.concat(own, more)).otherwise(own)
+        return F.when(F.size(wide[k]) > 0, F.concat(own, _labelled(k, apart))).otherwise(own)
 
-    merged = found.withColumns({names[k]: both(k) for k in KINDS}).drop(*base.values(), *wide.values(), body, digit)
-    return merged.withColumns({names[k]: _labelled(k, F.col(names[k])) for k in KINDS})
+    return found.withColumns({names[k]: both(k) for k in KINDS}).drop(*base.values(), *wide.values(), body, digit)
 
 
-def estimate(counts: dict[tuple[int, ...], float], rounds: int = 60) -> dict[tuple[int, ...], float]:
+#: Candidates that each written example counts for.
+SEED_WEIGHT = 25.0
+#: Written examples and look-alikes: w a word, d a digit, e a digit from 2 on, b a byte, x a hex group, C a number with a right check digit.
+EXAMPLES = {
+    "email": ["w.w (at) w.com", "wd[at]w[dot]org", "w_w {at} w {dot} de", "w at w dot net", "w.w(AT)w(DOT)fr", "w-w [ at ] w [ dot ] io", "w (at) w-w.edu", "wdd at w dot w dot com"],
+    "ip": ["b[.]b[.]b[.]b", "b(.)b(.)b(.)b", "b[dot]b[dot]b[dot]b", "b (dot) b (dot) b (dot) b", "2001:x:x:x:x:x:x:x", "2a02:x:x:x:x:x:x:x", "fe80:x:x:x:x:x:x:x"],
+    "card": ["C/C/C/C", "C.C.C.C", "C - C - C - C", "C_C_C_C", "C  C  C  C"],
+    "phone": ["(edd) edd-dddd", "edd-edd-dddd", "(edd) edd dddd", "edd edd dddd", "00e1 dd ddddddd", "00e4/dd/dddddd", "0edd/dddddd", "0edd/ddddddd", "01dd/dddddddd", "00ed dd dddd dddd"],
+}
+LOOKALIKES = {
+    "email": ["w at w.w", "w at w.ww", "w at w-w.w", "ww at w.w.w"],
+    "ip": ["7dd[.]8dd[.]9dd[.]3dd", "4dd(.)b(.)b(.)b", "b[.]b[.]b[.]999", "0db[.]b[.]0dd[.]b"],
+    "card": ["9ddd/dddd/dddd/dddX", "1ddd.dddd.dddd.dddX", "0ddd - dddd - dddd - dddX", "7ddd_dddd_dddd_dX", "8ddd  dddd  dddd  dddX"],
+    "phone": ["0dd.1dd.dddd", "1dd.0dd.dddd", "1dd-0dd-dddd", "1dd 1dd dddd", "0dd.0dd.dddd", "e11.0dd.dddd"],
+}
+LEADS = {True: ["", "see ", "(", "contact: ", "{cue} ", "{cue}: "], False: ["", "see ", "part ", "version ", "total ", "order "]}
+TAILS = {True: ["", ".", ", thanks", " today", ")"], False: ["", ".", " then", " units", "/w", " beta"]}
+SEED_CUES = {"email": "mail", "ip": "host", "card": "card", "phone": "call"}
+
+
+def _written(form: str, r: random.Random) -> str:
+    """One text of a form."""
+    digit = lambda low=0: str(r.randrange(low, 10))
+    if "C" in form:
+        body = [int(c) for c in r.choice(["4", "51", "53", "55"])]
+        body += [r.randrange(10) for _ in range(15 - len(body))]
+        number = "".join(map(str, body)) + str(-sum(sum(divmod(n * (2 - i % 2), 10)) for i, n in enumerate(body)) % 10)
+        groups = iter(number[i : i + 4] for i in range(0, 16, 4))
+        return "".join(next(groups) if c == "C" else c for c in form)
+    word = lambda: "".join(r.choice(["lo", "nar", "ke", "mi", "sto", "bu", "ha"]) for _ in range(r.randrange(1, 4)))
+    made = {"w": word, "d": digit, "e": lambda: digit(2), "b": lambda: str(r.randrange(1, 255)), "x": lambda: f"{r.randrange(65536):x}", "X": digit}
+    kept = re.split(r"(com|org|net|edu|fr|de|io|dot|at|AT|DOT|fe80|2a02)", form) if "w" in form or "b" in form or "x" in form else [form]
+    return "".join(part if i % 2 else "".join(made[c]() if c in made else c for c in part) for i, part in enumerate(kept))
+
+
+def seeds(each: int = 12, seed: int = 1) -> list[tuple[str, str, bool]]:
+    """(text, kind, whether its candidate is personal data), the same on every run."""
+    r, out = random.Random(seed), []
+    for kind in KINDS:
+        for forms, sure in ((EXAMPLES[kind], True), (LOOKALIKES[kind], False)):
+            for i in range(each * max(len(EXAMPLES[kind]), len(LOOKALIKES[kind]))):
+                lead, tail = r.choice(LEADS[sure]).replace("{cue}", SEED_CUES[kind]), r.choice(TAILS[sure]).replace("w", "lo")
+                out.append((lead + _written(forms[i % len(forms)], r) + tail, kind, sure))
+    return out
+
+
+#: Votes and features of one written example, and whether it is personal data.
+Seed = tuple[tuple[int, ...], tuple[int, ...], bool]
+
+
+def seed_marks(spark: SparkSession) -> dict[str, list[Seed]]:
+    """Votes and features of the written examples: a job over a few hundred fixed short texts."""
+    docs = spark.createDataFrame(seeds(), "text string, kind string, sure boolean")
+    names = {k: f"c_{k}" for k in KINDS}
+    out: dict[str, list[Seed]] = {k: [] for k in KINDS}
+    for r in candidates(docs, names).collect():
+        for x in r[names[r["kind"]]]:
+            if not x["base"]:
+                out[r["kind"]].append((tuple(x["votes"]), tuple(x["features"]), r["sure"]))
+    return out
+
+
+def estimate(counts: dict[tuple[int, ...], float], known: list[Seed] = (), rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Probability that a span with a vote pattern is personal data, by
     expectation-maximisation over the labelers' confusion tables (two classes,
-    three votes, abstaining is one), started from the majority of the votes."""
-    belief = {v: (sum(x > 0 for x in v) + 0.5) / (sum(x != 0 for x in v) + 1) for v in counts}
+    three votes, abstaining is one).  It starts from the ``known`` examples, which stay in
+    every round, or else from the majority of the votes."""
+    fixed_size = [1.0, 1.0]
+    fixed = [[defaultdict(lambda: 1.0) for _ in LABELERS] for _ in range(2)]
+    for votes, _, sure in known:
+        fixed_size[sure] += SEED_WEIGHT
+        for labeler, x in enumerate(votes):
+            fixed[sure][labeler][x] += SEED_WEIGHT
+
+    def judged(size: list[float], table: list) -> dict[tuple[int, ...], float]:
+        out = {}
+        for v in counts:
+            odds = math.log(size[1]) - math.log(size[0])
+            for labeler, x in enumerate(v):
+                odds += math.log(table[1][labeler][x] / (size[1] + 2)) - math.log(table[0][labeler][x] / (size[0] + 2))
+            out[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        return out
+
+    belief = judged(fixed_size, fixed) if known else {v: (sum(x > 0 for x in v) + 0.5) / (sum(x != 0 for x in v) + 1) for v in counts}
     for _ in range(rounds):
-        size = [1.0, 1.0]
-        table = [[defaultdict(lambda: 1.0) for _ in LABELERS] for _ in range(2)]
+        size = list(fixed_size)
+        table = [[t.copy() for t in side] for side in fixed]
         for v, n in counts.items():
             for y, p in ((1, belief[v]), (0, 1 - belief[v])):
                 size[y] += n * p
                 for labeler, x in enumerate(v):
                     table[y][labeler][x] += n * p
-        for v in counts:
-            odds = math.log(size[1]) - math.log(size[0])
-            for labeler, x in enumerate(v):
-                odds += math.log(table[1][labeler][x] / (size[1] + 2)) - math.log(table[0][labeler][x] / (size[0] + 2))
-            belief[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        belief = judged(size, table)
     return belief
 
 
@@ -282,14 +387,16 @@ class SpanClassifier:
             feature, _, value = name.partition("=")
             if value:
                 z = z + F.when(x["features"][feature] == int(value), w).otherwise(0.0)
-        return (z > self.cut) & F.greatest(*[x["votes"][v] for v in LABELERS]).eqNullSafe(F.lit(1))
+        content = [x["votes"][v] for v in CONTENT]
+        return F.coalesce(~x["base"] & (z > self.cut) & (sum(content[1:], content[0]) > 0), F.lit(False))
 
 
 def train(found: DataFrame, names: dict[str, str], threshold: float = 0.9) -> SpanClassifier:
-    """Estimate the labelers' reliabilities on all candidates of ``found`` and fit the classifier."""
+    """Estimate the labelers' reliabilities on all candidates of ``found`` and the written examples, and fit the classifier."""
+    known = seed_marks(found.sparkSession)
 
     def tagged(kind: str) -> Column:
-        return F.transform(names[kind], lambda x: F.struct(F.lit(kind).alias("kind"), x["votes"].alias("votes"), x["features"].alias("features")))
+        return F.transform(F.filter(names[kind], lambda x: ~x["base"]), lambda x: F.struct(F.lit(kind).alias("kind"), x["votes"].alias("votes"), x["features"].alias("features")))
 
     each = F.flatten(F.array(*map(tagged, KINDS)))
     spans = found.select(F.explode(each).alias("x")).select("x.kind", *[F.col(f"x.votes.{v}") for v in LABELERS], *[F.col(f"x.features.{f}") for f in FEATURES])
@@ -297,13 +404,14 @@ def train(found: DataFrame, names: dict[str, str], threshold: float = 0.9) -> Sp
     voted: dict[str, dict[tuple[int, ...], float]] = {k: {} for k in KINDS}
     for r in patterns.groupBy("kind", *LABELERS).agg(F.sum("count").alias("n")).collect():
         voted[r["kind"]][tuple(r[v] for v in LABELERS)] = float(r["n"])
-    belief = {k: estimate(v) for k, v in voted.items()}
-    known = [(F.lit("|".join(map(str, (k, *v)))), F.lit(p)) for k in KINDS for v, p in sorted(belief[k].items())]
-    table = F.create_map(*[x for pair in known for x in pair]) if known else F.create_map().cast("map<string,double>")
+    belief = {k: estimate(v, known[k]) for k, v in voted.items()}
+    told = [(F.lit("|".join(map(str, (k, *v)))), F.lit(p)) for k in KINDS for v, p in sorted(belief[k].items())]
+    table = F.create_map(*[x for pair in told for x in pair]) if told else F.create_map().cast("map<string,double>")
     weighed = patterns.withColumn("p", F.element_at(table, F.concat_ws("|", "kind", *LABELERS)) * F.col("count"))
-    rows: dict[str, list] = {k: [] for k in KINDS}
+    named = lambda values: ("bias", *(f"{f}={v}" for f, v in zip(FEATURES, values, strict=True)))
+    rows: dict[str, list] = {k: [(named(features), float(sure), SEED_WEIGHT) for _, features, sure in known[k]] for k in KINDS}
     for r in weighed.groupBy("kind", *FEATURES).agg(F.sum("count").alias("n"), F.sum("p").alias("p")).collect():
-        rows[r["kind"]].append((("bias", *(f"{f}={r[f]}" for f in FEATURES)), r["p"] / r["n"], float(r["n"])))
+        rows[r["kind"]].append((named([r[f] for f in FEATURES]), r["p"] / r["n"], float(r["n"])))
     return SpanClassifier({k: fit_classifier(sorted(v)) for k, v in rows.items() if v}, threshold)
 
 
@@ -316,13 +424,18 @@ def personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.9) -
     with scratch(docs.sparkSession):
         classifier = train(found, names, threshold)
 
+    strict = lambda x: x["base"]
+    places = lambda k: F.transform(F.filter(names[k], strict), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    taken = free_name(docs, "__pii_taken")
+    found = found.withColumn(taken, F.concat(*map(places, KINDS)))
+
     def chosen(k: int, kind: str, base: bool) -> Column:
-        strict = lambda x: x["base"] & (x["votes"]["pattern"] == 1)
-        keep = F.filter(names[kind], strict if base else lambda x: strict(x) | classifier.accepts(kind, x))
+        clear = lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
+        keep = F.filter(names[kind], strict if base else lambda x: strict(x) | classifier.accepts(kind, x) & clear(x))
         return F.transform(keep, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
 
     both = {name: F.array_sort(F.concat(*[chosen(i, k, name == "base") for i, k in enumerate(KINDS)])) for name in ("base", "spans")}
-    return found.withColumns(both).drop(*names.values())
+    return found.withColumns(both).drop(*names.values(), taken)
 
 
 def spans_text(spans: Column) -> Column:
