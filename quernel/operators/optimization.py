@@ -10,12 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.errors import BadInput
 from quernel.functions.metrics import passes_gate
 from quernel.operators.evaluation import evaluate
+from quernel.sources.scratch import read_text, save_text
 
 MAX_BOOTSTRAPPED, MAX_LABELED = 4, 8
 
@@ -64,8 +65,6 @@ def bootstrap_rounds(run: Run, train: DataFrame, *, key: str = "example_id", boo
     Rows are tried in hash order in batches that grow, each one a job, until enough have passed; rows that have
     passed aren't tried again.  Rows that never passed fill up as labelled ones to ``labeled`` in all.
     """
-    from pyspark.sql import Observation
-
     out, at = Bootstrap(), place(F.col(key), seed)
     for number in range(1, max_rounds + 1):
         known = [k for k, _, _ in out.demos]
@@ -121,13 +120,12 @@ class Program:
     demos: list[dict] = field(default_factory=list)
 
     def save(self, path: str | Path) -> None:
-        target = Path(path)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(json.dumps({"instructions": self.instructions, "demos": self.demos}, indent=2, sort_keys=True, default=str), encoding="utf-8")
+        """Write to the file system that owns the path, which on a cluster is the shared one."""
+        save_text(SparkSession.active(), str(path), json.dumps({"instructions": self.instructions, "demos": self.demos}, indent=2, sort_keys=True, default=str))
 
     @classmethod
     def load(cls, path: str | Path) -> Program:
-        return cls(**json.loads(Path(path).read_text(encoding="utf-8")))
+        return cls(**json.loads(read_text(SparkSession.active(), str(path))))
 
 
 @dataclass(frozen=True)

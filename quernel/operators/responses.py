@@ -1,32 +1,19 @@
 """A store of model responses that outlives a run.
 
 Responses are addressed by content: the call's key is a hash of the model's name, the
-sample index and the segment.  A store is a folder that all executors share:
-
-* ``batches/<id>`` holds the responses of one batch as Parquet, cut into buckets by the
-  first two digits of the key;
-* ``commits/<id>`` is a small file that is written when the batch is complete, and
-  names the batches that it replaces.
-
-A batch counts only with its commit, so readers never see half of one, a lost run loses at
-most its open batch, and runs can append side by side.  Should two of them have answered
-one call, the batch that sorts first is taken.  New calls are found by an anti-join that reads
-only the buckets of the batch at hand.
+sample index and the segment.  The store is a :class:`quernel.sources.store.BatchStore`: a
+batch counts when all of it is written, so a lost run loses at most its open batch, and a
+second run asks for nothing.  New calls are found by an anti-join that reads only the buckets
+of the batch at hand.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.scoring import Scorer, score_with
-from quernel.sources.scratch import files_in, read_text, remove, save_text, shared_path
-
-BUCKETS = 256
-SCHEMA = "call string, raw string, rationale string, bucket int"
+from quernel.sources.store import BatchStore, in_batches
 
 
 def response_key(model: str, segment: Column, sample_idx: Column) -> Column:
@@ -34,78 +21,20 @@ def response_key(model: str, segment: Column, sample_idx: Column) -> Column:
     return F.md5(F.concat_ws("#", F.lit(model), sample_idx.cast("string"), segment))
 
 
-def bucket_of(call: Column) -> Column:
-    return F.conv(F.substring(call, 1, 2), 16, 10).cast("int")
-
-
-@dataclass
-class ResponseStore:
-    spark: SparkSession
-    folder: str
-
-    def batches(self) -> list[str]:
-        """The batches that count, in order."""
-        committed = files_in(self.spark, f"{self.folder}/commits")
-        committed = [c for c in committed if not c.startswith(".")]
-        replaced = {old for c in committed for old in read_text(self.spark, f"{self.folder}/commits/{c}").split()}
-        return [c for c in committed if c not in replaced]
-
-    def append(self, responses: DataFrame, replacing: list[str] | None = None) -> str:
-        """Store (call, raw, rationale) as one batch; it counts once all of it is written."""
-        batch = uuid.uuid4().hex
-        rows = responses.select("call", "raw", "rationale", bucket_of(F.col("call")).alias("bucket"))
-        rows.write.partitionBy("bucket").parquet(f"{self.folder}/batches/{batch}")
-        save_text(self.spark, f"{self.folder}/commits/{batch}", "\n".join(replacing or []))
-        return batch
-
-    def read(self) -> DataFrame:
-        """(call, raw, rationale, bucket), one row a call."""
-        rows = None
-        for batch in self.batches():
-            part = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/batches/{batch}").withColumn("batch", F.lit(batch))
-            rows = part if rows is None else rows.unionByName(part)
-        if rows is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        first = F.min_by(F.struct("raw", "rationale"), "batch")
-        return rows.groupBy("bucket", "call").agg(first.alias("r")).select("call", "r.raw", "r.rationale", "bucket")
-
-    def compact(self) -> None:
-        """All batches as one, sorted by call; the old ones stay until :meth:`clean`, for readers that hold them."""
-        old = self.batches()
-        if len(old) > 1:
-            self.append(self.read().repartitionByRange("call").sortWithinPartitions("call"), replacing=old)
+class ResponseStore(BatchStore):
+    """(call, raw, rationale) by the call's key."""
 
-    def clean(self) -> None:
-        """Remove what no commit counts: replaced batches, and those of lost runs.  No run may be open meanwhile."""
-        kept = set(self.batches())
-        for batch in files_in(self.spark, f"{self.folder}/batches"):
-            if batch not in kept:
-                remove(self.spark, f"{self.folder}/batches/{batch}")
-        for batch in kept:
-            save_text(self.spark, f"{self.folder}/commits/{batch}", "")
-        for commit in files_in(self.spark, f"{self.folder}/commits"):
-            if commit not in kept:
-                remove(self.spark, f"{self.folder}/commits/{commit}")
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder, "call", "raw string, rationale string")
 
 
 def score_stored(samples: DataFrame, scorer: Scorer, store: ResponseStore, model: str = "default", batches: int = 4, **options) -> DataFrame:
     """:func:`score_with`, asking only for what ``store`` doesn't hold; adds ``raw`` and ``rationale``.
 
-    Distinct calls are written once, in order of their key, then asked in ``batches`` parts of the key space.
-    Each part is a job that looks up its own buckets, calls the model for the rest, and commits.
+    Distinct calls are asked in ``batches`` parts of the key space, each of them a job that commits what it got.
     """
-    spark = samples.sparkSession
     keyed = samples.withColumn("__call", response_key(model, F.col("segment"), F.col("sample_idx")))
     calls = keyed.groupBy(F.col("__call").alias("call")).agg(F.first("segment").alias("segment"), F.first("sample_idx").alias("sample_idx"))
-    path = shared_path(spark, "calls")
-    calls.withColumn("bucket", bucket_of(F.col("call"))).repartitionByRange("call").write.partitionBy("bucket").parquet(path)
-    asked = spark.read.schema(f"call string, segment string, sample_idx {samples.schema['sample_idx'].dataType.simpleString()}, bucket int").parquet(path)
-    step = -(-BUCKETS // max(1, batches))
-    for low in range(0, BUCKETS, step):
-        part = (F.col("bucket") >= low) & (F.col("bucket") < low + step)
-        new = asked.where(part).join(store.read().where(part).select("bucket", "call"), ["bucket", "call"], "left_anti").drop("bucket")
-        if not new.isEmpty():
-            store.append(score_with(new, scorer, **options))
-    remove(spark, path)
+    in_batches(calls, store, lambda new: score_with(new, scorer, **options), batches)
     known = store.read().select(F.col("call").alias("__call"), "raw", "rationale")
     return keyed.join(known, "__call").drop("__call")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import asyncio
 import time
 from collections.abc import Awaitable, Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 import pandas as pd
@@ -64,6 +65,19 @@ def call_with_retry(call: Callable[[], R], retries: int = 2, sleep: Callable[[fl
     raise CallFailed("no attempt was allowed")
 
 
+def counted_call(call: Callable[[], R], retries: int = 2, sleep: Callable[[float], None] = time.sleep) -> tuple[R | None, int, str | None]:
+    """(answer, attempts, error): like :func:`call_with_retry`, but a call that fails for good is told, not raised."""
+    for attempt in range(1, retries + 2):
+        try:
+            return call(), attempt, None
+        except Exception as error:
+            try:
+                sleep(wait_after(error, attempt, retries))
+            except Exception as last:
+                return None, attempt, f"{type(last).__name__}: {last}"
+    raise CallFailed("no attempt was allowed")
+
+
 async def await_with_retry(call: Callable[[], Awaitable[R]], retries: int = 2, sleep: Callable[[float], Awaitable] = asyncio.sleep) -> R:
     """:func:`call_with_retry` for calls that are awaited; other calls go on meanwhile."""
     for attempt in range(1, retries + 2):
@@ -137,6 +151,47 @@ def score_with(samples: DataFrame, scorer: Scorer, *, retries: int = 2, parallel
     return source.mapInPandas(run, f"{fields}, raw string, rationale string")
 
 
+Call = Callable[[str, int], tuple[object, str]]
+
+
+def score_each(samples: DataFrame, call: Call, *, retries: int = 2, parallelism: int | None = None, at_once: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Score rows by a function for one segment and sample index, each row retried alone.
+
+    Adds ``raw``, ``rationale``, ``attempts`` and ``error``.  A call that fails for good leaves ``raw`` null and
+    its reason in ``error``, and the rows beside it are scored all the same.  Up to ``at_once`` calls of a
+    task wait together.  Attempts are part of the rows, so those of a task that Spark runs again, as after
+    the loss of an executor, are counted once: what the result took, not what was lost on the way.
+    """
+    source = samples.repartition(parallelism) if parallelism else samples
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                one = lambda s, i: counted_call(lambda: call(s, i), retries, sleep)
+                got = list(pool.map(one, frame["segment"].tolist(), frame["sample_idx"].tolist()))
+                raw = [None if a is None or a[0] is None else str(a[0]) for a, _, _ in got]
+                yield frame.assign(raw=raw, rationale=["" if a is None else a[1] or "" for a, _, _ in got], attempts=[n for _, n, _ in got], error=[e for _, _, e in got])
+
+    return source.mapInPandas(run, f"{fields}, raw string, rationale string, attempts int, error string")
+
+
+def call_costs(scored: DataFrame, keys: Sequence[str] = (), *, price_sent: float = 0.0, price_received: float = 0.0) -> DataFrame:
+    """What scored rows took, in all or by ``keys``: (keys..., calls, attempts, failed, sent, received, cost).
+
+    ``sent`` counts the characters of every attempt, ``received`` those of answers; prices are for a million.
+    """
+    received = F.coalesce(F.char_length("raw"), F.lit(0)) + F.coalesce(F.char_length("rationale"), F.lit(0))
+    told = scored.groupBy(*keys).agg(
+        F.count("*").alias("calls"),
+        F.coalesce(F.sum(F.col("attempts").cast("bigint")), F.lit(0)).alias("attempts"),
+        F.count(F.when(F.col("error").isNotNull(), 1)).alias("failed"),
+        F.coalesce(F.sum(F.char_length("segment").cast("bigint") * F.col("attempts")), F.lit(0)).alias("sent"),
+        F.coalesce(F.sum(received.cast("bigint")), F.lit(0)).alias("received"),
+    )
+    return told.withColumn("cost", (F.col("sent") * price_sent + F.col("received") * price_received) / 1e6)
+
+
 def score_distinct(samples: DataFrame, scorer: Scorer, **options) -> DataFrame:
     """:func:`score_with`, each distinct (segment, sample index) once, joined back.
 

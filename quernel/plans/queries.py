@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -476,7 +477,7 @@ def _predicted(gold: DataFrame, program: optimization.Program) -> DataFrame:
     lost = lambda known, n: F.lit(not known) & (key % n == 0)
     return gold.select(
         "example_id",
-        F.when(lost("merchants" in program.instructions, 3), "Costco").otherwise(F.concat(F.lit("  "), F.upper("merchant"))).alias("merchant"),
+        F.when(lost("merchants" in program.instructions, 3), "Corner Stall").otherwise(F.concat(F.lit("  "), F.upper("merchant"))).alias("merchant"),
         F.when(lost("dates" in program.instructions or bool(program.demos), 5), "2026-01-01").otherwise(F.col("date")).alias("date"),
         F.when(key % 7 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("amount").cast("decimal(18,2)").cast("string"))).alias("amount"),
     )
@@ -573,9 +574,9 @@ def lift(spark, sf_dir):
 
 #: The catalog of the routing queries.
 SKILLS = [
-    ("extract", "pull merchant date and amount from an expense note of the house", "builtin", "/b/extract"),
+    ("extract", "read who was paid, when and how much out of notes on what the house bought", "builtin", "/b/extract"),
     ("sentiment", "measure the tone of documents and the spread that is in them", "builtin", "/b/sentiment"),
-    ("chat", "answer questions with history of the chat", "builtin", "/b/chat"),
+    ("chat", "go on with a talk, given its turns and the next one", "builtin", "/b/chat"),
     ("chat", "talk about those things with others", "user", "/u/chat"),
 ]
 
@@ -616,9 +617,23 @@ def route_ambiguous(spark, sf_dir):
     return catalog.route(_requests(spark, sf_dir), catalog.shadowed(_skills(spark))).where("skill IS NULL").select("item_id")
 
 
-@query(f"WITH {ROUTE} SELECT name, description, arg_max(source, (source = 'user')::INT) AS source FROM raw JOIN cat USING (name, description) GROUP BY ALL")
+#: Skills made of tables: a built-in one for each supplier, a user's for each nation, some under the same names.
+TABLE_SKILLS = """
+raw AS (SELECT 's-' || s_suppkey AS name, s_name || ' of nation ' || s_nationkey AS description, 'builtin' AS source FROM supplier
+    UNION ALL SELECT 's-' || n_nationkey, n_name || ' in region ' || n_regionkey, 'user' FROM nation),
+cat AS (SELECT name, arg_max(description, (source = 'user')::INT) AS description, max(source) AS source FROM raw GROUP BY name)"""
+
+
+def _table_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda c: F.col(c).cast("string")
+    builtin = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s-"), key("s_suppkey")).alias("name"), F.concat("s_name", F.lit(" of nation "), key("s_nationkey")).alias("description"), F.lit("builtin").alias("source"))
+    user = table(spark, sf_dir, "nation").select(F.concat(F.lit("s-"), key("n_nationkey")).alias("name"), F.concat("n_name", F.lit(" in region "), key("n_regionkey")).alias("description"), F.lit("user").alias("source"))
+    return builtin.unionByName(user).withColumn("directory", F.concat(F.lit("/"), F.left("source", F.lit(1)), F.lit("/"), "name"))
+
+
+@query(f"WITH {TABLE_SKILLS} SELECT name, description, source FROM cat")
 def skill_shadowing(spark, sf_dir):
-    return catalog.shadowed(_skills(spark)).select("name", "description", "source")
+    return catalog.shadowed(_table_skills(spark, sf_dir)).select("name", "description", "source")
 
 
 OVERRIDES = {"BUILDING": {"model": "small@4096"}, "MACHINERY": {"model": "org/m@latest", "ctx": 8192, "reasoning": "think"}, "default": {"model": "big", "provider": "local"}}
@@ -634,9 +649,18 @@ def alias_resolve(spark, sf_dir):
     return catalog.resolve_models(named, catalog.model_registry(spark, OVERRIDES)).select("c_custkey", "model_string")
 
 
-@query(f"WITH {REGISTRY} SELECT alias, p || '/' || m || '::' || r || coalesce('@' || c, '') AS model_string FROM reg")
+@query("""
+SELECT 'a' || p_partkey AS alias, lower(p_type) || '/' || p_brand || '::' || CASE WHEN p_size % 3 = 0 THEN 'think' ELSE 'nothink' END
+    || CASE WHEN p_size % 2 = 0 THEN '@' || p_size * 1024 WHEN p_size % 5 = 0 THEN '@' || p_size ELSE '' END AS model_string FROM part
+""")
 def model_aliases(spark, sf_dir):
-    return catalog.model_aliases(catalog.model_registry(spark, OVERRIDES))
+    """Every part as a model: some with a context, some with one in the name."""
+    size, baked = F.col("p_size"), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("@"), F.col("p_size").cast("string"))).otherwise("")
+    registry = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("alias"), F.concat("p_brand", baked).alias("model"), F.when(size % 2 == 0, size * 1024).cast("bigint").alias("ctx"),
+        F.when(size % 3 == 0, "think").alias("reasoning"), F.lower("p_type").alias("provider"),
+    )
+    return catalog.model_aliases(registry)
 
 
 @query("""
@@ -766,9 +790,9 @@ def model_listing(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(web.model_ids(answer), "|").alias("ids"))
 
 
-@query(f"WITH {ROUTE} SELECT name FROM raw WHERE source = 'builtin' ORDER BY name")
+@query(f"WITH {TABLE_SKILLS} SELECT name FROM raw WHERE source = 'builtin'")
 def skill_filter(spark, sf_dir):
-    return catalog.by_source(_skills(spark), "builtin").select("name")
+    return catalog.by_source(_table_skills(spark, sf_dir), "builtin").select("name")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '/skills/' || c_mktsegment || '/train.jsonl' END AS path FROM customer")
@@ -825,69 +849,81 @@ def html_files(spark, sf_dir):
 
 
 def _stored_lines(spark: SparkSession, sf_dir: str, good: bool = False) -> str:
-    """A JSON Lines file of one line a document in order, with a blank line for each seventh; with ``good`` only valid rows."""
+    """JSON Lines files of one line a document in order, 400 documents a file, with a blank line for each seventh; with ``good`` only valid rows."""
     folder, k = scratch.shared_path(spark, "lines"), F.col("doc_id") % 7
-    valid = F.concat(F.lit('{"text": "t'), F.col("doc_id").cast("string"), F.lit('", "merchant": "m", "date": "d", "amount": 1.5}'))
-    value = F.when(k == 0, "  ").when((k == 3) & F.lit(not good), "{broken").when((k == 5) & F.lit(not good), '{"text": "t"}').otherwise(valid)
-    table(spark, sf_dir, "documents").select("doc_id", value.alias("value")).repartition(1).sortWithinPartitions("doc_id").select("value").write.text(folder)
-    return folder
+    valid = F.to_json(F.struct("text", F.lit("m").alias("merchant"), F.col("source").alias("date"), (F.col("n_chars") / 4).alias("amount")))
+    value = F.when(k == 0, "  ").when((k == 3) & F.lit(not good), "{broken").when((k == 5) & F.lit(not good), F.to_json(F.struct("text"))).otherwise(valid)
+    rows = table(spark, sf_dir, "documents").select("doc_id", value.alias("value"), F.floor(F.col("doc_id") / 400).alias("file"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(folder)
+    return f"{folder}/*"
 
 
-@query("""
-WITH n AS (SELECT doc_id % 7 AS k, row_number() OVER (ORDER BY doc_id) AS line FROM documents)
-SELECT line, CASE WHEN k IN (3, 5) THEN NULL ELSE 1.5 END AS amount, CASE k WHEN 3 THEN 'invalid JSON' WHEN 5 THEN 'schema error: merchant, date, amount' END AS error FROM n WHERE k <> 0
-""".replace("THEN NULL ELSE 1.5 END", "THEN NULL ELSE 1.5 END::DOUBLE"))
+FILE = r"file=(\d+)"
+LINES = "n AS (SELECT doc_id // 400 AS file, doc_id % 7 AS k, text, source, n_chars, row_number() OVER (PARTITION BY doc_id // 400 ORDER BY doc_id) AS line FROM documents)"
+
+
+@query(f"""
+WITH {LINES}
+SELECT file, line, CASE WHEN k = 3 THEN NULL ELSE md5(text) END AS digest, CASE WHEN k NOT IN (3, 5) THEN n_chars / 4.0::DOUBLE END AS amount, CASE k WHEN 3 THEN 'invalid JSON' WHEN 5 THEN 'schema error: merchant, date, amount' END AS error FROM n WHERE k <> 0
+""")
 def jsonl_scan(spark, sf_dir):
-    """A file by its lines: blank ones are counted and left out, bad ones carry their error."""
-    return jsonl.parse(jsonl.numbered_lines(spark, _stored_lines(spark, sf_dir))).select("line", "amount", "error")
+    """Many files by their lines: blank ones are counted and left out, bad ones carry their error."""
+    found = jsonl.parse(jsonl.numbered_lines(spark, _stored_lines(spark, sf_dir)))
+    return found.select(F.regexp_extract("path", FILE, 1).cast("bigint").alias("file"), "line", F.md5("text").alias("digest"), "amount", "error")
 
 
-@query("""
-WITH n AS (SELECT doc_id % 7 AS k, row_number() OVER (ORDER BY doc_id) AS line FROM documents), bad AS (SELECT min(line) AS line FROM n WHERE k IN (3, 5))
-SELECT 'bad' AS file, line, (SELECT CASE k WHEN 3 THEN 'invalid JSON' ELSE 'schema error: merchant, date, amount' END FROM n WHERE n.line = bad.line) AS outcome FROM bad
+@query(f"""
+WITH {LINES}, bad AS (SELECT line, k FROM n WHERE k IN (3, 5) AND file = 0 ORDER BY line LIMIT 1)
+SELECT 'bad' AS kind, line, CASE k WHEN 3 THEN 'invalid JSON' ELSE 'schema error: merchant, date, amount' END AS outcome FROM bad
 UNION ALL SELECT 'good', max(line), count(*) || ' rows' FROM n WHERE k <> 0
 """)
 def jsonl_first_error(spark, sf_dir):
-    """Loading stops at the first bad line and names it; a good file gives all rows."""
+    """Loading stops at the first bad line and names it; good files give all rows."""
     try:
         jsonl.load(spark, _stored_lines(spark, sf_dir)).count()
         failure = ("", "0", "none")
     except BadInput as error:
-        failure = str(error).rsplit(":", 2) if "schema" not in str(error) else [*str(error).rsplit(":", 3)[:2], ":".join(str(error).rsplit(":", 2)[1:])]
+        failure = re.fullmatch(r"(.*):(\d+): (.*)", str(error)).groups()
     rows = jsonl.load(spark, _stored_lines(spark, sf_dir, good=True))
-    bad = spark.range(1).select(F.lit("bad").alias("file"), F.lit(int(failure[1])).cast("bigint").alias("line"), F.lit(failure[2].strip()).alias("outcome"))
-    return bad.unionByName(rows.agg(F.lit("good").alias("file"), F.max("line").alias("line"), F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("outcome")))
+    bad = spark.range(1).select(F.lit("bad").alias("kind"), F.lit(int(failure[1])).cast("bigint").alias("line"), F.lit(failure[2]).alias("outcome"))
+    return bad.unionByName(rows.agg(F.lit("good").alias("kind"), F.max("line").alias("line"), F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("outcome")))
 
 
-@query("SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, 'q ' || length(text) AS prompt FROM conversations WHERE role = 'user'")
+@query("""
+SELECT conv_id // 50 AS file, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) - 1 AS pos, replace(text, chr(10), ' ') AS prompt FROM conversations WHERE role = 'user'
+""")
 def prompt_lines(spark, sf_dir):
-    """A history file of prompts, one a line, read back in order."""
+    """History files of prompts, one a line, for 50 conversations each, read back in order."""
     folder = scratch.shared_path(spark, "prompts")
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("q "), F.char_length("text").cast("string")).alias("value"))
-    rows.repartition(1).sortWithinPartitions("conv_id", "turn").select("value").write.text(folder)
-    return sessions.prompt_lines(spark, f"{folder}/part-*").select(F.col("pos").cast("bigint").alias("pos"), "prompt")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"), F.floor(F.col("conv_id") / 50).alias("file"))
+    rows.repartition("file").sortWithinPartitions("file", "conv_id", "turn").select("file", "value").write.partitionBy("file").text(folder)
+    return sessions.prompt_lines(spark, f"{folder}/*").select(F.regexp_extract("path", FILE, 1).cast("bigint").alias("file"), "pos", "prompt")
 
 
-def _skill_folders(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The catalog as skill folders, built-in and a user's, and one folder without a header."""
+def _skill_folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tables' skills as folders, built-in and a user's; those of one region are broken."""
     root = scratch.shared_path(spark, "skills")
-    for name, description, source, directory in SKILLS:
-        scratch.save_text(spark, f"{root}{directory}/SKILL.md", f"---\nname: {name}\ndescription: '{description}'\n---\nHow to.\n")
-    scratch.save_text(spark, f"{root}/u/broken/SKILL.md", "no header")
+    header = F.concat(F.lit("---\nname: "), "name", F.lit("\ndescription: '"), "description", F.lit("'\n---\nHow to.\n"))
+    made = _table_skills(spark, sf_dir)
+    text = F.when((F.col("source") == "user") & F.col("description").endswith("region 0"), "no header").otherwise(header)
+    docsrc.write_files(made.select(F.concat(F.ltrim("directory", F.lit("/")), F.lit("/SKILL.md")).alias("name"), text.alias("text")), root)
     return skills.discover(skills.scan(spark, f"{root}/b", f"{root}/u"))
 
 
-@query(f"SELECT name, description, source, NULL::VARCHAR AS error FROM (VALUES {', '.join(map(str, SKILLS))}) v(name, description, source, directory) UNION ALL SELECT 'broken', NULL, 'user', 'the header block is missing'")
+@query(f"""
+WITH {TABLE_SKILLS} SELECT name, CASE WHEN bad THEN NULL ELSE description END AS description, source, CASE WHEN bad THEN 'the header block is missing' END AS error
+FROM (SELECT *, source = 'user' AND ends_with(description, 'region 0') AS bad FROM raw)
+""")
 def skill_scan(spark, sf_dir):
-    good, bad = _skill_folders(spark)
+    good, bad = _skill_folders(spark, sf_dir)
     named = bad.select(F.regexp_extract("directory", "([^/]+)$", 1).alias("name"), F.lit(None).cast("string").alias("description"), "source", "error")
     return good.select("name", "description", "source", F.lit(None).cast("string").alias("error")).unionByName(named)
 
 
-@query(f"WITH {ROUTE} SELECT name, description FROM cat WHERE name = 'chat'")
+@query(f"WITH {TABLE_SKILLS} SELECT name, description FROM cat WHERE name = 's-7'")
 def skill_lookup(spark, sf_dir):
     """One skill by name, from folders: the user's shadows the built-in one."""
-    found = catalog.get_skill(catalog.shadowed(_skill_folders(spark)[0]), "chat")
+    found = catalog.get_skill(catalog.shadowed(_skill_folders(spark, sf_dir)[0]), "s-7")
     return spark.range(1).select(*[F.lit(found[k]).alias(k) for k in ("name", "description")])
 
 
@@ -1011,7 +1047,7 @@ WITH {CANDIDATES} SELECT 'merchants' AS instructions, 8::BIGINT AS n_demos, roun
 """)
 def program_search(spark, sf_dir):
     """The whole sequence: baseline, demonstrations, search over instructions, measure again, save and load."""
-    path = Path(tempfile.mkdtemp(prefix="quernel-program-"), "deep", "program.json")
+    path = f"{scratch.shared_path(spark, 'program')}/deep/program.json"
     orders = _gold(spark, sf_dir)
     run = lambda program, rows: evaluation.scored(evaluation.pair(rows, _predicted(rows, program)))
     found = optimization.optimize(run, orders, dev=orders, method="search", instructions=("", "merchants"), save_path=path)

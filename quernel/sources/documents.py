@@ -132,6 +132,8 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", text: str = "t
         fs.create_dir(base, recursive=True)
         for batch in batches:
             for own, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if "/" in own:
+                    fs.create_dir(f"{base}/{own}".rsplit("/", 1)[0], recursive=True)
                 with fs.open_output_stream(f"{base}/{own}") as out:  # a second attempt writes the same file
                     out.write((body or "").encode())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})

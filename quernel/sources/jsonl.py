@@ -14,9 +14,11 @@ EXPENSE = {"text": "string", "merchant": "string", "date": "string", "amount": "
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame:
     """(path, line, value) of the files under ``path``; blank lines are numbered and then dropped.
 
+    Values lose white space at both ends; if not ``stripped``, they don't, and only empty lines go.
+
     Files are read by splits.  A line's number is its place in the split plus the number
     of lines in the splits before it, of which only the counts are brought together.
     """
@@ -31,7 +33,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     each = placed.join(starts, ["path", "split"]).select("path", (F.col("before") + F.col("first")).alias("at"), F.posexplode("lines").alias("pos", "value"))
-    return each.select("path", (F.col("at") + F.col("pos") + 1).alias("line"), strip(F.col("value")).alias("value")).where("value <> ''")
+    return each.select("path", (F.col("at") + F.col("pos") + 1).alias("line"), (strip(F.col("value")) if stripped else F.col("value")).alias("value")).where("value <> ''")
 
 
 def _typed(v: Column, name: str, kind: str) -> Column:
@@ -69,10 +71,12 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str, fields: dict[str, str] = EXPENSE) -> DataFrame:
     """All rows, or an error that names the first bad line as ``path:line: reason``."""
     parsed = parse(numbered_lines(spark, path), fields)
-    first = quarantine(parsed).orderBy("path", "line").first()
-    if first:
-        raise BadInput(f"{first['path']}:{first['line']}: {first['error']}")
-    if parsed.isEmpty():
+    # One pass finds the least bad line and counts the good ones.
+    bad = F.when(F.col("error").isNotNull(), F.struct("path", "line", "error"))
+    told = parsed.agg(F.min(bad).alias("first"), F.count(F.when(F.col("error").isNull(), 1)).alias("good")).first()
+    if told["first"]:
+        raise BadInput(f"{told['first']['path']}:{told['first']['line']}: {told['first']['error']}")
+    if not told["good"]:
         raise BadInput(f"{path}: no valid rows")
     return good_rows(parsed, fields)
 

@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.text import LINE_END, SESSION_NAME, decode_utf8
+from quernel.errors import BadInput
+from quernel.functions.text import SESSION_NAME, decode_utf8
+from quernel.sources.jsonl import numbered_lines
 
 TURNS = "array<struct<text:string,answer:string>>"
 MOST_PROMPTS = 1000
@@ -59,13 +61,15 @@ def save_session(spark: SparkSession, folder: str, name: str, turns: list[dict[s
 
 
 def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, prompt) of a history file's non-empty lines; none for a missing file."""
+    """(path, pos, prompt) of history files' lines that aren't empty, by place from 0; none for a missing file.
+
+    Files are read by splits, like JSON Lines.
+    """
     try:
-        found = spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return spark.createDataFrame([], "pos int, prompt string")
-    lines = F.split(decode_utf8(F.col("content")), LINE_END, -1)
-    return found.select(F.posexplode(lines).alias("pos", "prompt")).where("prompt <> ''")
+        lines = numbered_lines(spark, path, stripped=False)
+    except BadInput:
+        return spark.createDataFrame([], "path string, pos bigint, prompt string")
+    return lines.select("path", (F.col("line") - 1).alias("pos"), F.col("value").alias("prompt"))
 
 
 def save_prompts(history: DataFrame, path: str) -> None:

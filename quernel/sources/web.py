@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quernel.errors import BadInput, CallFailed
 from quernel.functions.text import media_type, scheme_allowed
-from quernel.operators.scoring import call_with_retry
+from quernel.operators.scoring import TRANSIENT_STATUS, call_with_retry, is_retryable
+from quernel.sources.store import BatchStore, in_batches
 
 Fetcher = Callable[[str], tuple[int, str, bytes]]
 
@@ -34,35 +39,94 @@ def http_fetcher(proxy: str | None = None, timeout: float = 30.0) -> Fetcher:
     return fetch
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, *, url: str = "url", clients: int = 8, retries: int = 2) -> DataFrame:
+class HostTurns:
+    """Keeps requests to one host at least so many seconds apart, for the threads of a task."""
+
+    def __init__(self, apart: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.apart, self.clock, self.sleep, self.lock = apart, clock, sleep, Lock()
+        self.free: dict[str, float] = {}
+
+    def wait(self, url: str) -> None:
+        if not self.apart:
+            return
+        host = urlsplit(url).netloc.lower()
+        with self.lock:
+            now = self.clock()
+            turn = max(now, self.free.get(host, now))
+            self.free[host] = turn + self.apart
+        if turn > now:
+            self.sleep(turn - now)
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def fetch(urls: DataFrame, fetcher: Fetcher, *, url: str = "url", clients: int = 8, retries: int = 2, apart: float = 0.0, at_once: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(origin, status, content, content_type, error) of every url.
 
-    At most ``clients`` partitions fetch at once.  Schemes other than http and https
-    are refused without a request; a failed fetch is a row with an ``error``, after
-    ``retries`` more attempts where the failure may pass.
+    At most ``clients`` partitions fetch at once, each with up to ``at_once`` requests under way.  With ``apart``
+    a host's urls go to one partition, which leaves so many seconds between two requests to it.  Schemes other
+    than http and https are refused without a request; a failed fetch is a row with an ``error``, after
+    ``retries`` more attempts where the failure or the status says that it may pass.
     """
-    rows = urls.select(F.col(url).alias("origin"), scheme_allowed(F.col(url)).alias("allowed")).repartition(clients)
+    rows = urls.select(F.col(url).alias("origin"), scheme_allowed(F.col(url)).alias("allowed"))
+    rows = rows.repartition(clients, host_of(F.col("origin"))) if apart else rows.repartition(clients)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for origin, allowed in zip(frame["origin"], frame["allowed"], strict=True):
-                if not allowed:
-                    out.append((origin, None, None, None, "unsupported scheme (http and https only)"))
-                    continue
-                try:
-                    status, kind, content = call_with_retry(lambda u=origin: fetcher(u), retries)
-                except (BadInput, CallFailed, OSError) as error:
-                    out.append((origin, None, None, None, str(error)))
-                    continue
-                good = 200 <= status < 300
-                out.append((origin, status, content if good else None, kind, None if good else f"status {status}"))
-            yield pd.DataFrame(out, columns=["origin", "status", "content", "content_type", "error"])
+        turns = HostTurns(apart)
+
+        def get(origin: str) -> tuple[int, str, bytes]:
+            turns.wait(origin)
+            status, kind, content = fetcher(origin)
+            if status in TRANSIENT_STATUS or status >= 500:
+                raise CallFailed(f"status {status}", status=status)
+            return status, kind, content
+
+        def one(origin: str, allowed: bool) -> tuple:
+            if not allowed:
+                return origin, None, None, None, "unsupported scheme (http and https only)"
+            try:
+                status, kind, content = call_with_retry(lambda: get(origin), retries, sleep)
+            except (BadInput, CallFailed, OSError) as error:
+                return origin, getattr(error, "status", None), None, None, str(error)
+            good = 200 <= status < 300
+            return origin, status, content if good else None, kind, None if good else f"status {status}"
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                for start in range(0, len(frame), 4 * at_once):  # contents of so many are held together
+                    part = frame.iloc[start : start + 4 * at_once]
+                    out = pd.DataFrame(list(pool.map(one, part["origin"], part["allowed"])), columns=["origin", "status", "content", "content_type", "error"])
+                    yield out.astype({"status": "Int32"})
 
     got = rows.mapInPandas(run, "origin string, status int, content binary, content_type string, error string")
     return got.withColumn("content_type", media_type(F.col("content_type")))
 
 
+class PageStore(BatchStore):
+    """Fetched pages by the MD5 of their url."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder, "page", "origin string, status int, content binary, content_type string, error string")
+
+
+def fetch_stored(urls: DataFrame, fetcher: Fetcher, store: PageStore, *, url: str = "url", batches: int = 4, **options) -> DataFrame:
+    """:func:`fetch` of each distinct url, asking only for what ``store`` doesn't hold.
+
+    Batches are committed one by one, so a run that was lost goes on where it was.  What got no answer, or one that may
+    pass, isn't stored and so is asked for again by the next run; this run returns the stored pages of ``urls``.
+    """
+    asked = urls.where(F.col(url).isNotNull()).select(F.md5(url).alias("page"), F.col(url).alias("origin")).dropDuplicates(["page"])
+    lasting = F.coalesce(~is_retryable(F.col("status")), F.lit(False)) & F.col("status").isNotNull() | F.col("error").startswith("unsupported")
+
+    def answer(new: DataFrame) -> DataFrame:
+        return fetch(new, fetcher, url="origin", **options).where(lasting).withColumn("page", F.md5("origin"))
+
+    in_batches(asked, store, answer, batches)
+    return asked.select("page").join(store.read().drop("bucket"), "page").drop("page")
+
+
 def stored(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """A table of pages in the form of fetched ones."""
     return pages.select(F.col(url).alias("origin"), F.lit(200).alias("status"), F.encode(html, "UTF-8").alias("content"), F.lit("text/html").alias("content_type"))

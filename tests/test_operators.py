@@ -155,7 +155,7 @@ def manifest(root, name, text):
 
 
 def test_skills(spark, tmp_path):
-    for name, words in (("extract", "pull merchant date and amount from an expense"), ("chat", "talk to a model")):
+    for name, words in (("extract", "read payee day and sum out of a receipt"), ("chat", "go on with a talk")):
         manifest(tmp_path / "b", name, f"---\nname: {name}\ndescription: {words}\ntrainset: t.jsonl\n---\nbody")
     manifest(tmp_path / "u", "chat", '\n---\nname: chat\ndescription: "my: own"\nentrypoint: code:make\n---\n')
     manifest(tmp_path / "u", "bad", "no header")
@@ -171,10 +171,10 @@ def test_skills(spark, tmp_path):
     with pytest.raises(NoSkill, match="chat, extract"):
         catalog.get_skill(known, "none")
     assert catalog.route_one(spark, " EXTRACT ", known) == ("extract", "exact name match")
-    assert catalog.route_one(spark, "pull merchant and amount", known)[0] == "extract"
+    assert catalog.route_one(spark, "which payee and sum", known)[0] == "extract"
     with pytest.raises(NoSkill):
-        catalog.route_one(spark, "zzz qqq", known)
-    asked = spark.createDataFrame([("zzz",)], "request string")
+        catalog.route_one(spark, "brew tea", known)
+    asked = spark.createDataFrame([("tea",)], "request string")
     assert catalog.route(asked, known, selector=lambda r, c: "chat").first()["skill"] == "chat"
     assert catalog.route(asked, known, selector=lambda r, c: "made up").first()["skill"] is None
     assert known.where("name = 'extract'").select(skills.dataset_path(F.lit("/d/"), F.col("trainset"))).first()[0] == "/d/t.jsonl"
@@ -230,14 +230,19 @@ def test_sessions_and_prompts(spark, tmp_path):
     assert [r["pos"] for r in conversations.most_recent_first(history).collect()] == [2, 1, 0]
 
 
-def test_settings(tmp_path):
+def test_settings(spark, tmp_path):
     file = tmp_path / "c.toml"
-    file.write_text('model = "from file"\nnum_threads = 2\nunknown = 1')
-    env = {"OLLAMA_HOST": "http://h:1/", "OPENAI_MODEL": "injected", "CONTEXT": "12x", "QUERNEL_NUM_THREADS": "7", "QUERNEL_CACHE": "false"}
-    got = settings.load_settings(env=env, file=file, api_key="k")
-    assert (got.model, got.num_threads, got.api_base, got.cache, got.context_tokens) == ("from file", 7, "http://h:1/v1", False, None)
-    assert got.redacted()["api_key"] == "***"
-    for bad in ({"api_key": ""}, {"default_reasoning": "maybe"}, {"num_threads": "x"}):
+    file.write_text('responses = "/kept"\nunknown = 1\n[models]\nname = "from file"\n[models.aliases.tiny]\nmodel = "t"\nctx = 8\n[endpoint]\nclients = 2\n[other]\nx = 1')
+    env = {"OLLAMA_HOST": "http://h:1/", "OPENAI_MODEL": "injected", "CONTEXT": "12x", "QUERNEL_ENDPOINT_CLIENTS": "7", "QUERNEL_NONE": "?"}
+    got = settings.load_settings(env=env, file=file, endpoint_secret="k", search_rounds=3)
+    assert (got.models.name, got.endpoint.address, got.models.context, got.models.wanted()) == ("from file", "http://h:1/v1", None, "from file")
+    assert got.endpoint.call_options() == {"retries": 2, "parallelism": 7} and got.search.options()["max_rounds"] == 3
+    assert got.redacted()["endpoint"]["secret"] == "***" and got.store(spark).folder == "/kept"
+    names = {r["alias"]: r["model_string"] for r in catalog.model_aliases(got.models.registry(spark)).collect()}
+    assert names == {"tiny": "openai/t::nothink@8", "default": "openai/from file::nothink"}
+    plain = settings.load_settings(env={"CONTEXT": "64"})
+    assert (plain.models.context, plain.models.wanted(), plain.store(spark)) == (64, "default", None)
+    for bad in ({"endpoint_secret": ""}, {"models_reasoning": "maybe"}, {"endpoint_clients": "x"}, {"endpoint_attempts": 0}):
         with pytest.raises(BadSettings):
             settings.load_settings(env={}, **bad)
 

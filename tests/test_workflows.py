@@ -259,3 +259,121 @@ def test_a_selector_sees_a_shortlist(spark):
     got = {r["i"]: (r["skill"], r["reason"]) for r in catalog.route(asked, table, selector=choose, shortlist=5).collect()}
     assert got == {1: ("s009", "selector"), 2: (None, "ambiguous"), 3: ("s004", "exact name match"), 4: ("s009", "selector")}
     assert calls.value == 2
+
+
+# Costs --------------------------------------------------------------------
+
+
+def test_each_row_is_retried_alone_and_counted(spark):
+    waits = spark.sparkContext.accumulator(0)
+
+    def call(segment, index):
+        if segment == "bad":
+            raise ValueError("refused")
+        if segment == "slow" and index == 0:
+            raise TimeoutError("busy")
+        return f"{segment}{index}", "why"
+
+    rows = spark.createDataFrame([("ok", 0), ("bad", 0), ("slow", 0), ("slow", 1), ("ok", 1)], "segment string, sample_idx int")
+    scored = scoring.score_each(rows, call, retries=2, sleep=lambda s: waits.add(1))
+    got = {(r["segment"], r["sample_idx"]): (r["raw"], r["attempts"], r["error"]) for r in scored.collect()}
+    assert got == {("ok", 0): ("ok0", 1, None), ("ok", 1): ("ok1", 1, None), ("slow", 1): ("slow1", 1, None), ("bad", 0): (None, 1, "ValueError: refused"), ("slow", 0): (None, 3, "TimeoutError: busy")}
+    assert waits.value == 2
+    told = scoring.call_costs(scored, price_sent=1e6, price_received=2e6).first().asDict()
+    assert told == {"calls": 5, "attempts": 7, "failed": 2, "sent": 2 + 2 + 3 + 12 + 4, "received": 3 + 3 + 3 + 3 + 5 + 3, "cost": pytest.approx(23 + 2 * 20)}
+    assert scoring.call_costs(scored.limit(0)).first()["calls"] == 0
+
+
+# Fetching -----------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def server():
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = []
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((time.monotonic(), self.path))
+            again = sum(p == self.path for _, p in seen) > 1
+            status = {"/gone": 404, "/down": 503}.get(self.path, 200 if again or not self.path.startswith("/busy") else 429)
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/page")
+                self.end_headers()
+                return
+            body = f"<p>{self.path}</p>".encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "Text/HTML; charset=utf-8")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_address[1]}", seen
+    httpd.shutdown()
+
+
+def test_a_server_is_fetched_at_its_rate_with_retries(spark, server):
+    from quernel.sources import web
+
+    base, seen = server
+    seen.clear()
+    paths = ["/page", "/moved", "/gone", "/down", "/busy1", "/busy2", "/a", "/b"]
+    urls = spark.createDataFrame([(base + p,) for p in paths] + [("file:///etc/hosts",), ("http://127.0.0.1:1/none",)], "url string").repartition(4)
+    got = {r["origin"].removeprefix(base): r for r in web.fetch(urls, web.http_fetcher(timeout=5), clients=3, apart=0.02, sleep=lambda s: None).collect()}
+    assert len(got) == 10
+    for path in ("/page", "/a", "/b", "/busy1", "/busy2"):
+        assert (got[path]["status"], bytes(got[path]["content"]).decode(), got[path]["content_type"], got[path]["error"]) == (200, f"<p>{path}</p>", "text/html", None)
+    assert bytes(got["/moved"]["content"]) == b"<p>/page</p>"
+    assert (got["/gone"]["status"], got["/gone"]["content"], got["/gone"]["error"]) == (404, None, "status 404")
+    assert (got["/down"]["status"], got["/down"]["error"]) == (503, "status 503") and sum(p == "/down" for _, p in seen) == 3
+    assert got["file:///etc/hosts"]["error"].startswith("unsupported") and got["http://127.0.0.1:1/none"]["status"] is None
+    times = sorted(t for t, p in seen if p != "/page")
+    assert len(times) > 8 and times[-1] - times[0] >= 0.02 * (len(times) - 2) * 0.9
+
+
+def test_turns_of_a_host():
+    from quernel.sources.web import HostTurns
+
+    slept, turns = [], HostTurns(1.0, clock=lambda: 100.0, sleep=lambda s: slept.append(s))
+    for url in ("http://a/x", "http://b/x", "http://A/y", "http://a/z"):
+        turns.wait(url)
+    assert slept == [1.0, 2.0]
+
+
+def test_fetching_goes_on_where_it_was(spark, server):
+    from quernel.sources import web
+
+    base, seen = server
+    seen.clear()
+    store = web.PageStore(spark, shared_path(spark, "test-pages"))
+    paths = [f"/n{i}" for i in range(60)] + ["/gone", "/down"]
+    urls = spark.createDataFrame([(base + p,) for p in paths * 2], "url string")
+    key = lambda p: __import__("hashlib").md5((base + p).encode()).hexdigest()
+    last = next(p for p in paths if int(key(p)[:2], 16) >= 192 and p.startswith("/n"))
+    plain = web.http_fetcher(timeout=5)
+
+    def lost(url):
+        if url.endswith(last):
+            raise RuntimeError("lost")
+        return plain(url)
+
+    with pytest.raises(Exception, match="lost"):
+        web.fetch_stored(urls, lost, store, batches=4, retries=0)
+    held = store.read().count()
+    assert 0 < held == sum(int(key(p)[:2], 16) < 192 and p != "/down" for p in paths)
+    seen.clear()
+    got = web.fetch_stored(urls, plain, store, batches=4, retries=0).collect()
+    assert len(got) == 61 and {r["origin"].removeprefix(base) for r in got} == set(paths) - {"/down"}
+    asked = [p for _, p in seen if p != "/down"]
+    assert len(asked) == 61 - held
+    seen.clear()
+    assert web.fetch_stored(urls, plain, store, retries=0).count() == 61 and {p for _, p in seen} == {"/down"}
