@@ -12,6 +12,7 @@ from quernel.operators import catalog, optimization, responses, scoring, search,
 from quernel.operators.corpora import corpus_segments
 from quernel.plans.queries import FIGURES, SAMPLES, SUMMARY, SUMMARY_COLUMNS, query, rounded, table, units_sql
 from quernel.sources.scratch import shared_path
+from quernel.streaming import chats
 
 # Prompt search ------------------------------------------------------------
 
@@ -193,3 +194,25 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sentiment.explode_segments(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep=("doc_id", "lang"))
     scored = scoring.score_each(scoring.resample(cut, 3), call, retries=3, sleep=lambda s: None)
     return rounded(scoring.call_costs(scored, ["lang"], price_sent=2.0, price_received=6.0), "cost")
+
+
+# Sessions as state --------------------------------------------------------
+
+
+@query("""
+SELECT conv_id, turn, row_number() OVER w - 1 AS n_history, 'after ' || least(3, row_number() OVER w - 1) || ' turns: ' || length(text) || coalesce(', last ' || length(lag(text) OVER w), '') AS answer
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+""")
+def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as a stream that stops after their first turns and goes on from its checkpoint; the last three turns are history."""
+    folder = shared_path(spark, "chats")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+
+    def answer(history, text):
+        return f"after {len(history)} turns: {len(text)}" + (f", last {len(history[-1]['text'])}" if history else "")
+
+    for part in ("turn < 3", "turn >= 3"):
+        turns.where(part).write.mode("append").parquet(f"{folder}/turns")
+        arriving = chats.turns_stream(spark, f"{folder}/turns", "conv_id long, turn long, text string").select(F.col("conv_id").alias("session"), "turn", "text")
+        chats.write_answers(chats.answered(arriving, answer, last=3), f"{folder}/answers", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/answers").withColumnRenamed("session", "conv_id")

@@ -377,3 +377,24 @@ def test_fetching_goes_on_where_it_was(spark, server):
     assert len(asked) == 61 - held
     seen.clear()
     assert web.fetch_stored(urls, plain, store, retries=0).count() == 61 and {p for _, p in seen} == {"/down"}
+
+
+# Sessions as state --------------------------------------------------------
+
+
+def test_a_stream_of_turns_equals_the_batch_and_goes_on_after_a_restart(spark, tmp_path):
+    from quernel.operators import conversations
+    from quernel.streaming import chats
+
+    r = random.Random(1)
+    rows = [(s, t, f"text {s} {t} " * r.randrange(3)) for s in range(8) for t in range(r.randrange(1, 9))]
+    turns = spark.createDataFrame(rows, "session long, turn long, text string")
+    told = lambda history, text: f"{len(history)}|{text}|{'/'.join(h['text'] for h in history)}"
+    for i, part in enumerate(("turn < 2", "turn = 2", "turn > 2")):
+        turns.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = chats.write_answers(chats.answered(chats.turns_stream(spark, f"{tmp_path}/in", turns.schema), told), f"{tmp_path}/out", f"{tmp_path}/cp")
+        query.awaitTermination(120)
+        assert query.exception() is None, i
+    got = {(x["session"], x["turn"]): (x["n_history"], x["answer"]) for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    batch = conversations.respond(conversations.with_history(turns, "session", "turn", ("text",)), told)
+    assert got == {(x["session"], x["turn"]): (x["n_history"], x["answer"]) for x in batch.collect()} and len(got) == len(rows)
