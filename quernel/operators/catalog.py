@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
+import importlib.abc
+import importlib.util
+import sys
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +18,7 @@ from pyspark.sql.types import StructType
 from quernel.errors import BadSkill, NoSkill
 from quernel.functions.text import casefold, overlap, strip, tokens
 from quernel.operators.scoring import call_with_retry
+from quernel.sources.scratch import files_in, read_text
 
 #: Skills up to which a word pairs them with requests one by one.
 COMMON = 64
@@ -165,37 +170,93 @@ def load_attribute(directory: str, reference: str, source: str, package: str | N
     try:
         if source == "builtin":
             return getattr(importlib.import_module(f"{package}.{module_name}" if package else module_name), attribute or default)
-        path = Path(directory) / f"{module_name}.py"
-        return code_attribute(path.read_text(encoding="utf-8"), f"{path}", attribute or default)
+        return folder_attribute(folder_code(directory), module_name, attribute or default)
     except (ImportError, AttributeError, OSError) as error:
         raise BadSkill(f"{reference}: {error}") from error
 
 
-_modules: dict[str, dict] = {}
+#: A skill's Python files: module names with their code.
+Folder = dict[str, str]
 
 
-def code_attribute(code: str, origin: str, attribute: str) -> object:
-    """An attribute of a module that came as source text; each text is run once a process."""
-    if code not in _modules:
-        _modules[code] = {"__name__": f"quernel_user_{len(_modules)}"}
-        exec(compile(code, origin, "exec"), _modules[code])  # noqa: S102
-    if attribute not in _modules[code]:
-        raise AttributeError(f"{origin} has no {attribute}")
-    return _modules[code][attribute]
+def folder_code(directory: str) -> Folder:
+    """The Python files of a folder, read with the file system that owns it."""
+    spark = SparkSession.active()
+    names = [n for n in files_in(spark, directory) if n.endswith(".py")]
+    return {n.removesuffix(".py"): read_text(spark, f"{directory.rstrip('/')}/{n}") for n in names}
+
+
+class _FolderFinder(importlib.abc.MetaPathFinder, importlib.abc.Loader):
+    """Imports modules of folders that came as text, as packages named by what they hold."""
+
+    def __init__(self):
+        self.folders: dict[str, Folder] = {}
+
+    def package(self, folder: Folder) -> str:
+        """The package of a folder; each is there once a process."""
+        name = "quernel_user_" + hashlib.sha256(repr(sorted(folder.items())).encode()).hexdigest()[:32]
+        if self not in sys.meta_path:
+            sys.meta_path.append(self)
+        self.folders[name] = folder
+        return name
+
+    def find_spec(self, fullname, path=None, target=None):
+        package, _, module = fullname.partition(".")
+        if package not in self.folders or module and module not in self.folders[package]:
+            return None
+        return importlib.util.spec_from_loader(fullname, self, is_package=not module)
+
+    def exec_module(self, module) -> None:
+        package, _, name = module.__name__.partition(".")
+        if name:
+            exec(compile(self.folders[package][name], f"{name}.py", "exec"), module.__dict__)  # noqa: S102
+
+
+_finder = _FolderFinder()
+
+
+def folder_attribute(folder: Folder, module: str, attribute: str) -> object:
+    """An attribute of a module of the folder; its modules may import each other (``from .other import name``)."""
+    if module not in folder:
+        raise ImportError(f"{module}.py is not there")
+    return getattr(importlib.import_module(f"{_finder.package(folder)}.{module}"), attribute)
 
 
 def _loader(skill: dict, reference: str, package: str | None) -> Callable[[], object]:
-    """A function that executors can run to get an attribute: a user's code travels as text, since they don't have the file."""
+    """A function that executors can run to get an attribute: a user's whole folder travels as text, since they don't have the files."""
     module_name, _, attribute = reference.partition(":")
     attribute = attribute or "build"
     if skill["source"] == "builtin":
         return lambda: load_attribute(skill["directory"], f"{module_name}:{attribute}", "builtin", package)
-    path = Path(skill["directory"].removeprefix("file:")) / f"{module_name}.py"
-    try:
-        code = path.read_text(encoding="utf-8")
-    except OSError as error:
-        raise BadSkill(f"{skill['name']}: {path.name} is not there") from error
-    return lambda: code_attribute(code, str(path), attribute)
+    folder = folder_code(skill["directory"])
+    if module_name not in folder:
+        raise BadSkill(f"{skill['name']}: {module_name}.py is not there")
+    # By reference: a function of this module is imported on executors, with one finder a process.
+    return partial(folder_attribute, folder, module_name, attribute)
+
+
+def register_skill(spark: SparkSession, skill: dict, name: str, keep: str, fields: str, inputs: Sequence[str] = ("text",), package: str | None = None, retries: int = 2) -> None:
+    """A skill as a table function for SQL: ``SELECT * FROM name(TABLE(...))``.
+
+    Of each row of the table it returns the columns of ``keep`` and the ``fields`` (both DDL strings) that the
+    skill's program gives for ``inputs``.
+    """
+    from quernel.plans.reports import as_fields
+
+    made = _loader(skill, skill.get("entrypoint") or "skill:build", package)
+    if not callable(made()):
+        raise BadSkill(f"{skill['name']}: the entrypoint can't be called")
+    kept, given = ([f.name for f in StructType.fromDDL(d)] for d in (keep, fields))
+
+    class SkillRows:
+        def __init__(self):
+            self.program = made()()
+
+        def eval(self, row):
+            got = as_fields(call_with_retry(lambda: self.program(**{k: row[k] for k in inputs}), retries))
+            yield (*(row[k] for k in kept), *(got.get(k) for k in given))
+
+    spark.udtf.register(name, F.udtf(SkillRows, returnType=f"{keep}, {fields}"))
 
 
 def run_skill(rows: DataFrame, skill: dict, fields: str, inputs: Sequence[str] = ("text",), package: str | None = None, retries: int = 2) -> DataFrame:

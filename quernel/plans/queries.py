@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -927,26 +925,42 @@ def skill_lookup(spark, sf_dir):
     return spark.range(1).select(*[F.lit(found[k]).alias(k) for k in ("name", "description")])
 
 
-#: A user's skill for the queries: a factory, and a metric.
+#: A user's skill for the queries, in two files: a factory and a metric, and what the factory's program calls.
 CODE = """
+from .cutting import words_of
+
 def build():
     def program(text):
-        return {"first": text.split()[0] if text.split() else "", "words": len(text.split())}
+        words = words_of(text)
+        return {"first": words[0] if words else "", "words": len(words)}
     return program
 
 def same_merchant(gold, predicted):
     from pyspark.sql import functions as F
     return (F.lower(F.trim(gold["merchant"])) == F.lower(F.trim(predicted["merchant"]))).cast("int")
 """
+CUTTING = """
+def words_of(text):
+    return (text or "").split()
+"""
 
 
 def _own_skill(spark: SparkSession) -> dict:
-    """A user's skill in a folder of this machine; executors get its code, not the folder."""
-    folder = tempfile.mkdtemp(prefix="quernel-skill-")
-    Path(folder, "skill.py").write_text(CODE, encoding="utf-8")
+    """A user's skill in a folder; executors get its code, not the folder."""
+    folder = scratch.shared_path(spark, "own-skill")
+    scratch.save_text(spark, f"{folder}/skill.py", CODE)
+    scratch.save_text(spark, f"{folder}/cutting.py", CUTTING)
     return {"name": "words", "source": "user", "directory": folder, "entrypoint": "skill:build", "metric": "skill:same_merchant"}
 
 
+@query(r"SELECT doc_id, coalesce(w[1], '') AS first, len(w) AS words FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)")
+def skill_in_sql(spark, sf_dir):
+    """A user's skill as a table function over all documents."""
+    catalog.register_skill(spark, _own_skill(spark), "words_of_rows", "doc_id long", "first string, words long")
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("skill_documents")
+    return spark.sql("SELECT * FROM words_of_rows(TABLE(SELECT * FROM skill_documents))")
+
+
 @query(r"SELECT item_id, w[1] AS first, len(w) AS words FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark)")
 def skill_run(spark, sf_dir):
     """A user's skill over every row of a table."""
