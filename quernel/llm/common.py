@@ -108,6 +108,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores, as a single row group is, dealt to all of them; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

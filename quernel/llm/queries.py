@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm.bpe import bpe_encode
-from quernel.llm.common import LOWER, UPPER, scratched, staged
+from quernel.llm.common import LOWER, UPPER, dealt, scratched, staged
 from quernel.llm.filteraudit import filter_audit
 from quernel.llm.langid import identify_language
 from quernel.llm.linededup import drop_repeated_lines
@@ -27,7 +27,7 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
