@@ -47,7 +47,7 @@ def sentiment_report(row: dict, origins: Sequence[str] = ()) -> str:
         within = f", 95 % between {row['ci_low']:+.2f} and {row['ci_high']:+.2f}" if row["ci_low"] is not None else ""
         said.append(f"Difference from neutral: {row['confidence']} (p {row['p_value']:.4f}{within}).")
     said += [f"Read from {', '.join(origins)}."] if origins else []
-    return " ".join([*said, *[row["explanation"]] * bool(row.get("explanation"))])
+    return " ".join([*said, *([row["explanation"]] if row.get("explanation") else [])])
 
 
 def as_fields(result: object) -> dict:

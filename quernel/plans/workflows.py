@@ -8,8 +8,10 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators import catalog, optimization, responses, scoring, search, sentiment
+from quernel.operators import catalog, conversations, optimization, responses, scoring, search, sentiment
 from quernel.operators.corpora import corpus_segments
+from quernel.plans import reports
+from quernel.plans.pipeline import Pipeline
 from quernel.plans.queries import FIGURES, SAMPLES, SUMMARY, SUMMARY_COLUMNS, query, rounded, table, units_sql
 from quernel.sources.scratch import shared_path
 from quernel.streaming import chats
@@ -216,3 +218,38 @@ def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         arriving = chats.turns_stream(spark, f"{folder}/turns", "conv_id long, turn long, text string").select(F.col("conv_id").alias("session"), "turn", "text")
         chats.write_answers(chats.answered(arriving, answer, last=3), f"{folder}/answers", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/answers").withColumnRenamed("session", "conv_id")
+
+
+# Reports ------------------------------------------------------------------
+
+
+@query(f"""
+WITH joined AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+{SUMMARY.replace("FROM documents),", "FROM joined),", 1)}
+SELECT doc_id AS conv_id, upper(left(polarity, 1)) || substr(polarity, 2) || printf(', %+.2f on a scale from -10 to 10, over %d segments that differ by %.2f. ', round(mean, 9), n_segments, round(volatility, 9))
+    || printf('%d samples put the model''s own spread at %.2f. ', n_samples, round(model_uncertainty, 9))
+    || CASE WHEN p_value IS NULL THEN 'Too little text to test against neutral.' ELSE printf('Difference from neutral: %s (p %.4f, 95 %% between %+.2f and %+.2f).', confidence, round(p_value, 9), round(ci_low, 9), round(ci_high, 9)) END AS report
+FROM summary
+""")
+def sentiment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one corpus, its summary as a printed report."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    steps = Pipeline((lambda df: corpus_segments(df, ["conv_id"], ["turn"]), lambda df: scoring.resample(df, 3)))
+    scored = steps.then(lambda df: df.withColumn("score", scoring.stub_score(F.col("segment"), F.col("sample_idx"))))(turns)
+    found = rounded(sentiment.summarize_samples(scored, ("conv_id",)), *FIGURES, digits=9)
+    names = [c for c in found.columns if c != "conv_id"]
+
+    def printed(frames):
+        for frame in frames:
+            rows = frame[names].astype(object).where(frame[names].notna(), None).to_dict("records")
+            yield frame[["conv_id"]].assign(report=[reports.sentiment_report(r) for r in rows])
+
+    return found.mapInPandas(printed, "conv_id long, report string")
+
+
+@query("SELECT conv_id * 1000 + turn AS pos, text AS prompt, row_number() OVER (ORDER BY conv_id * 1000 + turn DESC) AS nth FROM conversations WHERE role = 'user' ORDER BY pos DESC LIMIT 500")
+def recent_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five hundred prompts, the latest first, as they would be listed."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("prompt"))
+    listed = conversations.most_recent_first(conversations.last_n(rows, 500)).collect()
+    return spark.createDataFrame([(r["pos"], r["prompt"], i + 1) for i, r in enumerate(listed)], "pos bigint, prompt string, nth bigint")

@@ -48,6 +48,8 @@ class BatchStore:
         """Store rows as one batch; it counts once all of it is written."""
         batch = uuid.uuid4().hex
         kept = rows.select(self.key, *self.fields, bucket_of(F.col(self.key)).alias("bucket"))
+        # By the next two digits as well: a bucket is some files, neither one task nor a file for every task.
+        kept = kept.repartition("bucket", F.substring(self.key, 3, 2))
         kept.write.partitionBy("bucket").parquet(f"{self.folder}/batches/{batch}")
         save_text(self.spark, f"{self.folder}/commits/{batch}", "\n".join(replacing or []))
         return batch
