@@ -26,8 +26,11 @@ def coerce_score(raw: Column) -> Column:
 
 
 def sample_stdev(c: Column) -> Column:
-    """Aggregate: standard deviation with n - 1, and 0 for fewer than two values."""
-    return F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    """Aggregate: standard deviation with n - 1, and 0 for fewer than two values.
+
+    Equal values have exactly 0: partial means of them may differ in the last bit.
+    """
+    return F.when(F.max(c) - F.min(c) == 0, 0.0).otherwise(F.coalesce(F.stddev_samp(c), F.lit(0.0)))
 
 
 def t_p_value(t: Column, df: Column) -> Column:

@@ -67,7 +67,8 @@ def _mean(values: Column) -> Column:
 
 def _stdev(values: Column, mean: Column) -> Column:
     squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(F.size(values) >= 2, F.sqrt(squares / (F.size(values) - 1))).otherwise(0.0)
+    same = F.array_max(values) - F.array_min(values) == 0  # their mean may differ from them in its last bit
+    return F.when((F.size(values) >= 2) & ~same, F.sqrt(squares / (F.size(values) - 1))).otherwise(0.0)
 
 
 def score_rows(docs: DataFrame, scorer: Callable[[Column, Column], Column], *, passes: int = DEFAULT_RESAMPLE, max_segments: int = DEFAULT_MAX_SEGMENTS, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

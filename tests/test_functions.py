@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import metrics, stats
 from quernel.functions import text as tx
+from quernel.operators import sentiment
 
 ODD = ["", " ", "\xa0a\x1c", "ß SS", "Straße", "İ ŉ ﬁ ſ", "ΑΣ Σ", "a b", "Tab\tand\nline", "Ꭰ ꭰ", None]
 
@@ -131,3 +132,13 @@ def test_summaries(spark):
     zero = summary(spark, [[0.0]] * 3)
     assert (zero["t_statistic"], zero["p_value"], zero["polarity"], zero["confidence"]) == (0, 1, "neutral / mixed", "not-significant")
     assert summary(spark, [[], []]) is None
+
+
+def test_equal_segments_have_no_spread(spark):
+    """The sum of 24 means of 23/3, divided by 24, isn't 23/3: equal means still have exactly no spread, no t and p 0."""
+    rows = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_repeat(F.array(*map(F.lit, (7.0, 8.0, 8.0))), 24).alias("samples"))
+    long = rows.select("doc_id", F.posexplode("samples").alias("seg_idx", "s")).repartition(7).select("doc_id", "seg_idx", F.posexplode("s").alias("sample_idx", "score"))
+    for found in (sentiment.summarize_rows(rows), sentiment.summarize_samples(long)):
+        got = found.first()
+        assert (got["volatility"], got["std_error"], got["t_statistic"], got["p_value"], got["ci_low"]) == (0.0, 0.0, None, 0.0, got["mean"])
+    assert spark.createDataFrame([(23 / 3,)] * 24, "x double").repartition(7).agg(stats.sample_stdev(F.col("x"))).first()[0] == 0.0
