@@ -24,8 +24,14 @@ SQL: dict[str, str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one that is read in fewer tasks than there are cores, as a single row group is, is dealt to all of them."""
-    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores and name in ("documents", "pages") else rows
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name in ("documents", "pages") else rows
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of which each takes long, dealt to all cores where fewer tasks read them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -233,7 +239,7 @@ def manifest_parse(spark, sf_dir):
         .when(k == 2, F.concat(head, segment, F.lit("\nversion: 0.1.0\n---\n")))
         .otherwise(F.concat(head, segment, F.lit("\ncolor: red\n---\n")))
     )
-    m = table(spark, sf_dir, "customer").select("c_custkey", skills.parse_manifest(text).alias("m"))
+    m = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select("c_custkey", skills.parse_manifest(text).alias("m"))
     return m.select("c_custkey", "m.name", "m.description", "m.error")
 
 

@@ -200,6 +200,12 @@ def test_manifest_headers(spark):
         assert error or (got[i]["name"], got[i]["description"], got[i]["trainset"]) == (name, description, None)
 
 
+def test_a_manifest_is_taken_apart_once(spark):
+    """The plan splits the header once, not anew for each field made of it."""
+    plan = spark.createDataFrame([("---\nname: a\ndescription: b\n---",)], "text string").select(skills.parse_manifest(F.col("text")).alias("m")).select("m.name", "m.error")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+
+
 def test_model_names(spark):
     registry = catalog.model_registry(spark, {"big": {"model": "m", "ctx": 131072, "reasoning": "nothink"}, "baked": {"model": "Some@131072"}, "both": {"model": "x@1", "ctx": 2}, "tag": {"model": "org/model@latest"}}, "mine")
     got = {r["alias"]: r["model_string"] for r in catalog.model_aliases(registry).collect()}
