@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.scoring import Scorer, score_with
+from quernel.operators.scoring import Scorer, asked_texts, calls_of, score_with
 from quernel.sources.store import BatchStore, in_batches
 
 
@@ -33,8 +33,12 @@ def score_stored(samples: DataFrame, scorer: Scorer, store: ResponseStore, model
 
     Distinct calls are asked in ``batches`` parts of the key space, each of them a job that commits what it got.
     """
-    keyed = samples.withColumn("__call", response_key(model, F.col("segment"), F.col("sample_idx")))
-    calls = keyed.groupBy(F.col("__call").alias("call")).agg(F.first("segment").alias("segment"), F.first("sample_idx").alias("sample_idx"))
-    in_batches(calls, store, lambda new: score_with(new, scorer, **options), batches)
-    known = store.read().select(F.col("call").alias("__call"), "raw", "rationale")
-    return keyed.join(known, "__call").drop("__call")
+    key = response_key(model, F.col("segment"), F.col("sample_idx"))
+    kind = samples.schema["sample_idx"].dataType.simpleString()
+    calls = lambda texts: calls_of(texts, kind).withColumn("call", key)
+    held = store.read()
+    # Keys are compared before any text moves: where all are known, none does.
+    if not store.batches() or not samples.select(key.alias("call")).distinct().join(held.select("call"), "call", "left_anti").isEmpty():
+        in_batches(asked_texts(samples), store, lambda new: score_with(new, scorer, keep=["call"], **options), batches, calls)
+    known = store.read().select(F.unhex("call").alias("__call"), "raw", "rationale")
+    return samples.withColumn("__call", F.unhex(key)).join(known, "__call").drop("__call")

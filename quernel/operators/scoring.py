@@ -134,19 +134,20 @@ def resample(segments: DataFrame, passes: int, keep: Sequence[str] | None = None
     return segments.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(max(1, passes) - 1))).alias("sample_idx"))
 
 
-def score_with(samples: DataFrame, scorer: Scorer, *, retries: int = 2, parallelism: int | None = None) -> DataFrame:
+def score_with(samples: DataFrame, scorer: Scorer, *, retries: int = 2, parallelism: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``raw`` (text) and ``rationale`` to rows with ``segment`` and ``sample_idx``.
 
-    ``parallelism`` bounds how many partitions, and so model clients, run at once.
+    Of the rows' own columns only those of ``keep`` come back, where given.  ``parallelism`` bounds how many partitions, and so model clients, run at once.
     Retries happen inside the batch: Spark's own would send whole partitions again.
     """
     source = samples.repartition(parallelism) if parallelism else samples
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    own = list(keep or source.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*own).schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = call_with_retry(lambda f=frame: scorer(f["segment"].tolist(), f["sample_idx"].tolist()), retries)
-            yield frame.assign(raw=[None if s is None else str(s) for s, _ in got], rationale=[r or "" for _, r in got])
+            yield frame[own].assign(raw=[None if s is None else str(s) for s, _ in got], rationale=[r or "" for _, r in got])
 
     return source.mapInPandas(run, f"{fields}, raw string, rationale string")
 
@@ -192,16 +193,33 @@ def call_costs(scored: DataFrame, keys: Sequence[str] = (), *, price_sent: float
     return told.withColumn("cost", (F.col("sent") * price_sent + F.col("received") * price_received) / 1e6)
 
 
+#: Sample indexes that share a row of :func:`asked_texts`, as bits of a long.
+BITS = 63
+
+
+def asked_texts(samples: DataFrame) -> DataFrame:
+    """(segment, sample_idx, bits): each distinct segment once for up to :data:`BITS` sample indexes, so that texts move once."""
+    index = F.col("sample_idx").cast("bigint")
+    return samples.select("segment", F.floor(index / BITS).alias("sample_idx"), F.expr(f"shiftleft(1L, CAST(pmod(CAST(sample_idx AS BIGINT), {BITS}) AS INT))").alias("bit")).groupBy("segment", "sample_idx").agg(F.bit_or("bit").alias("bits"))
+
+
+def calls_of(texts: DataFrame, kind: str = "int") -> DataFrame:
+    """(segment, sample_idx): the distinct calls that :func:`asked_texts` holds, with indexes of this type."""
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("bits", i) == 1)
+    indexes = F.when(F.col("sample_idx").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.transform(set_, lambda i: F.col("sample_idx") * BITS + i))
+    return texts.select("segment", F.explode(indexes.cast(f"array<{kind}>")).alias("sample_idx"))
+
+
 def score_distinct(samples: DataFrame, scorer: Scorer, **options) -> DataFrame:
     """:func:`score_with`, each distinct (segment, sample index) once, joined back.
 
-    This is the response cache: copies of a segment cost one call.  Calls are told apart
-    by 128 bits of hash, so that segments are not compared, and not sent back, as texts.
+    This is the response cache: copies of a segment cost one call.  Answers are told apart
+    by 128 bits of hash, so that segments are not sent back as texts.
     """
-    keyed = samples.withColumns({"__call": call_key(), "__len": F.char_length("segment")})
-    first = keyed.groupBy("__call", "__len").agg(F.first("segment").alias("segment"), F.first("sample_idx").alias("sample_idx"))
-    scored = score_with(first, scorer, **options).select("__call", "__len", "raw", "rationale")
-    return keyed.join(scored, ["__call", "__len"]).drop("__call", "__len")
+    key = {"__call": F.unhex(call_key()), "__len": F.char_length("segment")}
+    calls = calls_of(asked_texts(samples), samples.schema["sample_idx"].dataType.simpleString())
+    scored = score_with(calls.withColumns(key), scorer, keep=list(key), **options)
+    return samples.withColumns(key).join(scored, list(key)).drop(*key)
 
 
 def call_key(segment: str = "segment", sample_idx: str = "sample_idx") -> Column:

@@ -200,6 +200,22 @@ def test_a_lost_run_repeats_its_open_batch_only(spark, store):
     assert calls.value == 600 - done
 
 
+def test_texts_move_once(spark, store):
+    """A segment is shuffled and written once for all its samples, and not at all where every call is known."""
+    calls = scoring.resample(samples(spark, 50).select("segment"), 70).withColumn("sample_idx", F.col("sample_idx").cast("long"))
+    texts = scoring.asked_texts(calls)
+    assert texts.count() == 100 and texts.select("segment").distinct().count() == 50
+    pairs = [(f"s{n}", i) for n in range(50) for i in range(70)]
+    back = scoring.calls_of(texts, "bigint")
+    assert sorted(map(tuple, back.collect())) == sorted(pairs) and back.dtypes == [("segment", "string"), ("sample_idx", "bigint")]
+    model, asked = counting(spark)
+    assert responses.score_stored(calls, model, store, batches=2).count() == 14000 and asked.value == 3500
+    held = set(files_in(spark, store.folder.rsplit("/", 1)[0]))
+    assert responses.score_stored(calls, model, store, batches=2).count() == 14000 and asked.value == 3500
+    assert set(files_in(spark, store.folder.rsplit("/", 1)[0])) == held
+    assert "Aggregate" not in store.read()._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_compaction_and_runs_side_by_side(spark, store):
     answer = lambda raw, keys: spark.createDataFrame([(k, raw, "") for k in keys], "call string, raw string, rationale string")
     a, b = store.append(answer("x", ["00aa", "ff01"])), store.append(answer("y", ["00aa", "7f02"]))
