@@ -15,6 +15,8 @@ from quernel.functions.core import let
 
 #: Python's white space as a Java character class: Unicode White_Space and U+001C to U+001F.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The same characters.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Line ends as ``str.splitlines`` sees them.
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
 DEFAULT_MAX_SEGMENTS = 24
@@ -22,11 +24,11 @@ DEFAULT_MAX_SEGMENTS = 24
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{SPACE}]+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

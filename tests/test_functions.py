@@ -142,3 +142,12 @@ def test_equal_segments_have_no_spread(spark):
         got = found.first()
         assert (got["volatility"], got["std_error"], got["t_statistic"], got["p_value"], got["ci_low"]) == (0.0, 0.0, None, 0.0, got["mean"])
     assert spark.createDataFrame([(23 / 3,)] * 24, "x double").repartition(7).agg(stats.sample_stdev(F.col("x"))).first()[0] == 0.0
+
+
+def test_stripping_takes_no_pattern(spark):
+    """White space is looked for at the ends only, and is what Python's is."""
+    odd = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    rows = spark.createDataFrame([(f"{odd}a {odd} b{odd}",), (odd,), ("",), ("\u200b\u00e9 ",), (None,)], "s string").select("s", tx.strip(F.col("s")).alias("both"), tx.rstrip(F.col("s")).alias("right"))
+    for r in rows.collect():
+        assert (r["both"], r["right"]) == (r["s"] and r["s"].strip(), r["s"] and r["s"].rstrip())
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
