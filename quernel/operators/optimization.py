@@ -19,6 +19,8 @@ from quernel.operators.evaluation import evaluate
 from quernel.sources.scratch import read_text, save_text
 
 MAX_BOOTSTRAPPED, MAX_LABELED = 4, 8
+#: Of the hash's range the part that is tried first.
+SLICE = 1 / 64
 
 #: Scores examples under a program: records with the key, ``hits`` and ``score``.
 Run = Callable[["Program", DataFrame], DataFrame]
@@ -39,15 +41,26 @@ def bootstrap_demos(scored: DataFrame, key: str = "example_id", bootstrapped: in
 
     Rows whose prediction passes the gate come first, up to ``bootstrapped``; rows
     that didn't become one of these fill up as labelled ones to ``labeled`` in all.
+    They are looked for in hash order, slice by slice, so a job holds no more of the
+    rows than it takes to find them, and all of them only where too few pass.
     """
     order = order_by_hash(F.col(key), seed)
-    passed = scored.where(passes_gate(F.col("hits"))).select(key, order.alias("o")).orderBy("o", key).limit(bootstrapped)
-    passed = passed.select(key, F.lit("bootstrapped").alias("kind"), "o")
-    rest = scored.select(key, order.alias("o")).join(passed.select(key), key, "left_anti").orderBy("o", key).limit(max(0, labeled))
-    both = passed.select(key, "kind", "o", F.lit(0).alias("g")).unionByName(rest.select(key, F.lit("labeled").alias("kind"), "o", F.lit(1).alias("g")))
-    chosen = both.orderBy("g", "o", key).limit(max(bootstrapped, labeled)).collect()  # at most a dozen rows
+    rows = scored.withColumn("__o", order)
+
+    def least(found: DataFrame, n: int) -> list:
+        """The first ``n`` of these rows, tried in slices of the hash's range that grow until there are as many."""
+        at, got, low, high = place(F.col(key), seed), [], 0.0, SLICE
+        while low < 1 and len(got) < n:
+            got += found.where((at >= low) & (at < high)).orderBy("__o", key).select(key, "__o").limit(n - len(got)).collect()
+            low, high = high, min(1.0, high * 4)
+        return [(r["__o"], r[key]) for r in got]
+
+    passed = least(rows.where(passes_gate(F.col("hits"))), bootstrapped)
+    used = [k for _, k in passed if k is not None]
+    rest = least(rows.where(F.coalesce(~F.col(key).isin(used), F.lit(True))) if used else rows, max(0, labeled))
+    chosen = [*((k, "bootstrapped") for _, k in passed), *((k, "labeled") for _, k in rest)][: max(bootstrapped, labeled)]
     schema = f"{key} {scored.schema[key].dataType.simpleString()}, kind string, position int"
-    return scored.sparkSession.createDataFrame([(r[key], r["kind"], i) for i, r in enumerate(chosen)], schema)
+    return scored.sparkSession.createDataFrame([(k, kind, i) for i, (k, kind) in enumerate(chosen)], schema)
 
 
 @dataclass

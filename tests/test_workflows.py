@@ -84,6 +84,27 @@ def test_the_surrogate_is_the_posterior_of_a_linear_model():
 # Bootstrapping ------------------------------------------------------------
 
 
+def test_demos_are_the_first_in_hash_order_and_few_rows_are_held(spark):
+    import hashlib
+
+    for passing, copies in ((1000, 1), (3, 2), (0, 1)):
+        keys = [*range(4000)] * copies + [None]
+        scored = spark.createDataFrame([(k, 3 if k is not None and k < passing else 0) for k in keys], "example_id long, hits int").repartition(4)
+        ordered = sorted((hashlib.md5(("0" if k is None else f"0#{k}").encode()).hexdigest(), k) for k in keys)
+        first = [k for _, k in ordered if k is not None and k < passing][:4]
+        want = ([(k, "bootstrapped") for k in first] + [(k, "labeled") for _, k in ordered if k not in first])[:8]
+        assert [(r["example_id"], r["kind"]) for r in optimization.bootstrap_demos(scored).collect()] == want
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(key):
+        seen.add(1)
+        return 3
+
+    optimization.bootstrap_demos(spark.range(20_000).withColumnRenamed("id", "example_id").withColumn("hits", counted("example_id")))
+    assert 0 < seen.value < 2_000
+
+
 def test_rounds_use_the_last_program_and_stop(spark):
     rows, teachers = spark.range(4000).withColumnRenamed("id", "example_id"), []
 
