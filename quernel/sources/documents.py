@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
 from quernel.errors import BadInput
 from quernel.functions.text import HIDDEN_TAGS, collapse_lines, content_kind, decode_utf8, is_blank, normalize_newlines, strip, suffix_kind
@@ -52,8 +52,13 @@ def visible_text(html: str) -> str:
     return "\n".join(n for n in page.nodes if n)
 
 
-def _visible_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else visible_text(h))
+#: Pages that are Python strings at a time; a batch of thousands stays in Arrow.
+PAGES_AT_ONCE = 64
+
+
+def _visible_text(html: pa.Array) -> pa.Array:
+    part = lambda at: [None if h is None else visible_text(h) for h in html.slice(at, PAGES_AT_ONCE).to_pylist()]
+    return pa.concat_arrays([pa.array(part(at), pa.string()) for at in range(0, len(html), PAGES_AT_ONCE)] or [pa.array([], pa.string())])
 
 
 def _pdf_pages(content: pd.Series) -> pd.Series:
@@ -70,7 +75,7 @@ def _pdf_pages(content: pd.Series) -> pd.Series:
 
 def html_to_text(html: Column) -> Column:
     """Visible text by the parser, which knows nesting and every character reference."""
-    return collapse_lines(pandas_udf(_visible_text, "string")(html))
+    return collapse_lines(arrow_udf(_visible_text, "string")(html))
 
 
 def pdf_to_text(content: Column) -> Column:
