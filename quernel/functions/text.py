@@ -19,6 +19,8 @@ SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Line ends as ``str.splitlines`` sees them.
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
+#: Those that a reader of text files leaves in a line.
+OTHER_ENDS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 DEFAULT_MAX_SEGMENTS = 24
 
 

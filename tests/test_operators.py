@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,37 @@ def test_json_lines(spark, tmp_path):
         jsonl.run_input(spark, path=str(tmp_path / "in.json"))
 
 
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\u2029", "\n\n", " \u2029\n", "\n\x85"]
+    texts = {f"{k}.txt": "".join(f"{k}-{i}{'é' * (i * k % 97)}{ends[i * (k + 1) % len(ends)]}" for i in range(k * 17 + 1)) for k in range(6)}
+    texts["blank.txt"], texts["none.txt"], texts["long.txt"] = "\n \n", "", f"a\n{'b' * 2_000}\nc\n"
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = sorted((name, i, line.strip()) for name, text in texts.items() for i, line in enumerate(text.splitlines(), 1) if line.strip())
+    batch, most, cost = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    try:
+        # Splits of a part of a line, a few lines, a few files; several in a task, and batches that end inside of them.
+        for settings in ({most: "300"}, {most: "700", cost: "0", batch: "7"}, {most: "9000", cost: "0", batch: "10"}, {}):
+            for key in (batch, most, cost):
+                spark.conf.unset(key)
+            for key, value in settings.items():
+                spark.conf.set(key, value)
+            got = jsonl.numbered_lines(spark, str(tmp_path))
+            assert sorted((r["path"].rsplit("/", 1)[1], r["line"], r["value"]) for r in got.collect()) == want
+    finally:
+        for key in (batch, most, cost):
+            spark.conf.unset(key)
+
+
+def test_lines_are_not_shuffled_and_parsed_once(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text(f"{GOOD}\n{GOOD}\n")
+    rows = jsonl.load(spark, str(tmp_path / "rows.jsonl"))
+    plan = spark.sparkContext._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert dealt and not [x for x in dealt if "value#" in x or "lines#" in x]
+    assert len(re.findall("(?i)parse_?json", rows._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
 def manifest(root, name, text):
     (root / name).mkdir(parents=True)
     (root / name / "SKILL.md").write_text(text)
