@@ -844,11 +844,12 @@ def text_files(spark, sf_dir):
 
 @query(_html_sql())
 def html_files(spark, sf_dir):
-    """Pages as files of three suffixes, read back as files."""
+    """Pages as files of three suffixes, 4,096 keys a folder, read back as files."""
     folder = scratch.shared_path(spark, "pages")
     suffix = F.get(F.array(*map(F.lit, (".html", ".HTM", ".xhtml"))), (F.col("page_id") % 3).cast("int"))
-    docsrc.write_files(table(spark, sf_dir, "pages").select(F.concat("page_id", suffix).alias("name"), F.col("html").alias("text")), folder)
-    got = docsrc.files_under(spark, f"{folder}/*").select(F.regexp_extract("origin", r"(\d+)\.\w+$", 1).cast("bigint").alias("page_id"), F.col("text").alias("t"))
+    name = F.concat(F.floor(F.col("page_id") / 4096).cast("string"), F.lit("/"), "page_id", suffix)
+    docsrc.write_files(table(spark, sf_dir, "pages").select(name.alias("name"), F.col("html").alias("text")), folder)
+    got = docsrc.files_under(spark, f"{folder}/*/*").select(F.regexp_extract("origin", r"(\d+)\.\w+$", 1).cast("bigint").alias("page_id"), F.col("text").alias("t"))
     return got.select("page_id", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 

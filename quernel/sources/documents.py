@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
 from quernel.errors import BadInput
 from quernel.functions.text import HIDDEN_TAGS, collapse_lines, content_kind, decode_utf8, is_blank, normalize_newlines, strip, suffix_kind
+from quernel.sources.scratch import file_system
 
 SCHEMA = "origin string, text string, kind_ord int, arg_ord long"
 
@@ -82,12 +84,15 @@ def pdf_to_text(content: Column) -> Column:
     return collapse_lines(pandas_udf(_pdf_pages, "string")(content))
 
 
+def _as_text(found: DataFrame, kind: str) -> DataFrame:
+    """``text`` from ``content`` that is all of one kind."""
+    body = decode_utf8(F.col("content"))
+    return found.withColumn("text", {"text": lambda: normalize_newlines(body), "html": lambda: html_to_text(body), "pdf": lambda: pdf_to_text(F.col("content"))}[kind]())
+
+
 def _by_kind(found: DataFrame) -> DataFrame:
     """``text`` from ``content`` by ``kind``; the parsers' plans are only part of it where a row needs them."""
-    body = decode_utf8(F.col("content"))
-    parts = [found.where(F.col("kind") == "text").withColumn("text", normalize_newlines(body)), found.where(F.col("kind") == "html").withColumn("text", html_to_text(body))]
-    parts.append(found.where(F.col("kind") == "pdf").withColumn("text", pdf_to_text(F.col("content"))))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_as_text(found.where(F.col("kind") == kind), kind) for kind in ("text", "html", "pdf")])
 
 
 def literals(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
@@ -109,12 +114,124 @@ def files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return _read_files(spark, list(dict.fromkeys(full)), places)
 
 
+#: A task reads about so many bytes, of so many files at most; contents leave it in batches of so many bytes.
+TASK_BYTES, TASK_FILES, BATCH_BYTES = 32 << 20, 10_000, 4 << 20
+#: Names of a listing in a batch.
+NAMES_AT_ONCE = 10_000
+WILD = re.compile(r"[*?\[{\\]")
+
+
 def files_under(spark: SparkSession, pattern: str) -> DataFrame:
-    """All files that a pattern such as ``folder/*.html`` matches, however many, without an order of their own."""
+    """All files that a pattern such as ``folder/*.html`` matches, however many, without an order of their own.
+
+    The driver holds no names: tasks list folders, one a folder, and names are dealt to the tasks that read them.
+    Only a store that Arrow can't open is left to Spark's own reader, whose driver holds a record a file.
+    """
+    steps = _steps(spark, pattern)
+    if not all(_opens(root) for root, _ in steps):
+        try:
+            return _read_files(spark, [pattern], None)
+        except AnalysisException as error:
+            raise BadInput(f"{pattern}: no file matches") from error
+    found = []
+    for root, names in steps:
+        listed = _listed(spark, root, names)
+        for kind, n, size in listed.groupBy("kind").agg(F.count("size"), F.sum("size")).collect():
+            tasks = max(spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES, n // TASK_FILES)
+            rows = listed.where((F.col("kind") == kind) & F.col("size").isNotNull()).select("path").repartition(tasks)
+            found.append(_as_text(rows.mapInArrow(_reader(root), "path string, content binary"), kind))
+    if not found:
+        raise BadInput(f"{pattern}: no file matches")
+    return reduce(DataFrame.unionByName, found).select(F.col("path").alias("origin"), "text", F.lit(1).alias("kind_ord"), F.lit(0).cast("long").alias("arg_ord"))
+
+
+def _steps(spark: SparkSession, pattern: str) -> list[tuple[str, list[str]]]:
+    """A pattern, by its alternatives that span folders: the folder before its first wildcard, and every name from there as a regular expression."""
+    glob, out = spark.sparkContext._jvm.org.apache.hadoop.fs, []
+    for one in glob.GlobExpander.expand(pattern):
+        names = one.split("/")
+        n = next((i for i, name in enumerate(names) if WILD.search(name)), len(names))
+        fs, target = file_system(spark, "/".join(names[:n]) + "/" if n else ".")
+        out.append((_bare(fs.makeQualified(target).toString()), [glob.GlobPattern(name).compiled().pattern() for name in names[n:] if name]))
+    return out
+
+
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a qualified folder, whose name need not be escaped if it is local."""
+    return (pafs.LocalFileSystem(), folder.removeprefix("file:")) if folder.startswith("file:/") else pafs.FileSystem.from_uri(folder)
+
+
+def _opens(root: str) -> bool:
+    """Whether Arrow reaches a folder; a local one that isn't there is no other store's."""
     try:
-        return _read_files(spark, [pattern], None)
-    except AnalysisException as error:
-        raise BadInput(f"{pattern}: no file matches") from error
+        fs, base = _store(root)
+        return root.startswith("file:/") or root.endswith(base) and fs.get_file_info(base).type != pafs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(path, size, kind) of all that matches: files, those of a folder that matches, and without a size what has nothing to read itself."""
+
+    def matching(fs: pafs.FileSystem, place: str, name: str | None) -> list[pafs.FileInfo]:
+        if name is None:
+            return [x for x in [fs.get_file_info(place)] if x.type != pafs.FileType.NotFound]
+        try:
+            return [x for x in fs.get_file_info(pafs.FileSelector(place, allow_not_found=True)) if re.fullmatch(name, x.base_name, re.DOTALL)]
+        except NotADirectoryError:
+            return []
+
+    def opened(fs: pafs.FileSystem, x: pafs.FileInfo) -> Iterator[tuple[str, int | None]]:
+        if x.is_file:
+            yield x.path, None if _hidden(x.base_name) else x.size
+            return
+        yield x.path, None
+        for own in fs.get_file_info(pafs.FileSelector(x.path)):
+            if not _hidden(own.base_name) and (own.is_file or "=" in own.base_name):
+                yield from opened(fs, own)
+
+    def step(name: str | None, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, base = _store(root)
+            prefix = root.removesuffix(base)
+            places = (path.removeprefix(prefix) for batch in batches for path in batch["path"].to_pylist())
+            hits = (x for place in places for x in matching(fs, place, name))
+            rows = (row for x in hits for row in opened(fs, x)) if last else ((x.path, None) for x in hits if not x.is_file)
+            while part := list(islice(rows, NAMES_AT_ONCE)):
+                yield pa.RecordBatch.from_pydict({"path": pa.array([prefix + path for path, _ in part], pa.string()), "size": pa.array([size for _, size in part], pa.int64())})
+
+        return run
+
+    found = spark.createDataFrame([(root,)], "path string")
+    for i, name in enumerate(names or [None]):
+        dealt = found.repartition(spark.sparkContext.defaultParallelism) if i else found.coalesce(1)
+        found = dealt.select("path").mapInArrow(step(name, i + 1 >= len(names)), "path string, size long")
+    return found.withColumn("kind", suffix_kind(F.col("path")))
+
+
+def _reader(root: str):
+    """Paths to paths and contents, a bounded number of bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(root)
+        prefix, paths, bodies, size = root.removesuffix(base), [], [], 0
+        for path in (path for batch in batches for path in batch["path"].to_pylist()):
+            with fs.open_input_stream(path.removeprefix(prefix), compression=None) as file:
+                bodies.append(file.read())
+            paths.append(path)
+            size += len(bodies[-1])
+            if size >= BATCH_BYTES or len(paths) >= TASK_FILES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+                paths, bodies, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+
+    return run
 
 
 def _bare(path: str) -> str:
@@ -123,6 +240,7 @@ def _bare(path: str) -> str:
 
 
 def _read_files(spark: SparkSession, paths: list[str], places: DataFrame | None) -> DataFrame:
+    """Files by Spark's own reader; its driver holds a record a file, so it is for the ones that are named."""
     found = spark.read.format("binaryFile").load(paths).withColumn("place", F.regexp_replace("path", "^file:/+", "file:/"))
     found = found.join(F.broadcast(places), "place") if places is not None else found.withColumn("arg_ord", F.lit(0).cast("long"))
     rows = found.select(F.col("path").alias("origin"), "content", suffix_kind(F.col("path")).alias("kind"), "arg_ord")
@@ -135,10 +253,13 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
         fs.create_dir(base, recursive=True)
+        made: set[str] = set()
         for batch in batches:
-            for own, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if "/" in own:
-                    fs.create_dir(f"{base}/{own}".rsplit("/", 1)[0], recursive=True)
+            slices = (batch.slice(at, PAGES_AT_ONCE) for at in range(0, batch.num_rows, PAGES_AT_ONCE))
+            for own, body in (pair for part in slices for pair in zip(*(c.to_pylist() for c in part.columns), strict=True)):
+                if "/" in own and (inner := own.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(f"{base}/{inner}", recursive=True)
+                    made.add(inner)
                 with fs.open_output_stream(f"{base}/{own}") as out:  # a second attempt writes the same file
                     out.write((body or "").encode())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})

@@ -108,6 +108,25 @@ def test_file_sources(spark, tmp_path):
     assert documents.corpus(documents.with_text(both)).first()["corpus"].startswith("one\n\nline")
 
 
+def test_files_under_keeps_no_names_on_the_driver(spark, tmp_path):
+    held = {"a b/0/1.html": b"<p>one</p>", "a b/0/2.HTM": b"", "a b/1/%20 ü.txt": b"x\r\ny", "a b/1/_no.txt": b"hidden", "a b/1/in/deep.txt": b"deep"}
+    for name, body in held.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "void").mkdir()
+    got = documents.files_under(spark, f"{tmp_path}/a b/*/*")
+    assert got.inputFiles() == []  # Spark's own reader lists every file on the driver
+    named = documents.files(spark, [str(tmp_path / name) for name in held if name.endswith(("1.html", "deep.txt")) or "%20" in name])
+    empty = (f"file:{tmp_path}/a b/0/2.HTM", "")  # that reader passes over empty files, too
+    assert sorted((r["origin"], r["text"]) for r in got.collect()) == sorted([*((r["origin"], r["text"]) for r in named.collect()), empty])
+    one = documents.files_under(spark, f"file://{tmp_path}/a b/{{0/?.html,1/*.pdf}}").collect()
+    assert [r["text"] for r in one] == ["one"]
+    assert documents.files_under(spark, f"{tmp_path}/void").collect() == []
+    for none in ("void/*", "a b/*/*.pdf", "a b/0/1.html/*", "nope/*"):
+        with pytest.raises(BadInput, match="no file matches"):
+            documents.files_under(spark, f"{tmp_path}/{none}")
+
+
 def test_pages(spark):
     answers = {"http://a/x": (200, "Text/HTML; charset=utf-8", b"<p>A</p>"), "https://b": (200, "text/plain", b"B"), "http://c": (404, "", b"")}
 
